@@ -11,12 +11,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.subword_classifier import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataledger.llm.mixing import mix_documents
 
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.subword_classifier import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.token_files import token_index
+
+    return token_index(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataledger.llm.warc import read_records, record_index, write_archive
 
@@ -31,7 +62,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op5_token_files": op5_token_files,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }

@@ -48,6 +48,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.top_k import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataledger.llm.warc import read_records, record_index, write_archive
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
+    "op7_top_k": op7_top_k,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }
@@ -105,6 +112,20 @@ with sized as (
 select doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - ahead)))::bigint as taken
 from placed
+""",
+    "op7_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as q
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+), r as (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
 """,
     "op9_warc": """
 with p as (

@@ -48,6 +48,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataledger.llm.top_k import top_k
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_top_k": op7_top_k,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,

@@ -120,27 +120,46 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def _rows(texts: Iterable[str | None], options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents as sparse rows: row starts, buckets, and weights that sum to 1."""
+def _rows(texts: Iterable[str | None], options: Options):
+    """Documents as sparse rows: row starts, columns, weights; and the bucket of each column.
+
+    Columns are the buckets of at least ``options.min_docs`` documents: what fewer share can only be learned by heart.
+    """
     ids: dict[str, int] = {}
-    docs = [tokens(t, options) for t in texts]
-    for counts in docs:
-        for w in counts:
-            ids.setdefault(w, len(ids))
-    buckets, starts = features(list(ids), options) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    sizes = np.diff(np.append(starts, len(buckets)))
-    rows, cols, vals = [0], [], []
-    for counts in docs:
-        index = np.fromiter((ids[w] for w in counts), np.int64, len(counts))
-        tf = np.fromiter(counts.values(), np.float64, len(counts))
-        n = sizes[index]
-        at = np.repeat(starts[index] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        bucket, inverse = np.unique(buckets[at], return_inverse=True)
-        share = np.repeat(tf / max(1.0, tf.sum()) / np.maximum(n, 1), n)
-        cols.append(bucket)
-        vals.append(np.bincount(inverse, weights=share, minlength=len(bucket)))
-        rows.append(rows[-1] + len(bucket))
-    return np.array(rows), np.concatenate(cols or [np.zeros(0, np.int64)]), np.concatenate(vals or [np.zeros(0)])
+    docs = []
+    for text in texts:
+        counts = tokens(text, options)
+        index = np.fromiter((ids.setdefault(w, len(ids)) for w in counts), np.int32, len(counts))
+        docs.append((index, np.fromiter(counts.values(), np.float32, len(counts))))
+    parts, sizes, words = [], [], list(ids)
+    for k in range(0, len(words), 20_000):
+        buckets, starts = features(words[k : k + 20_000], options)
+        parts.append(buckets.astype(np.int32))
+        sizes.append(np.diff(np.append(starts, len(buckets))))
+    none = np.zeros(0, np.int32)
+    buckets, size = np.concatenate([none, *parts]), np.concatenate([none, *sizes]).astype(np.int64)
+    first = np.cumsum(size) - size
+
+    def places(index):
+        n = size[index]
+        return np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
+
+    seen = np.zeros(1 << options.bits, np.int32)
+    for index, _ in docs:
+        seen[np.unique(buckets[places(index)[0]])] += 1
+    used = np.flatnonzero(seen >= min(options.min_docs, len(docs)))
+    column = np.full(1 << options.bits, -1, np.int32)
+    column[used] = np.arange(len(used))
+    rows, cols, vals = [0], [none], [np.zeros(0, np.float32)]
+    for index, tf in docs:
+        at, n = places(index)
+        own = column[buckets[at]]
+        share = np.repeat(tf / np.maximum(1, tf.sum()) / np.maximum(n, 1), n)[own >= 0]
+        unique, inverse = np.unique(own[own >= 0], return_inverse=True)
+        cols.append(unique)
+        vals.append(np.bincount(inverse, weights=share, minlength=len(unique)).astype(np.float32))
+        rows.append(rows[-1] + len(unique))
+    return np.array(rows), np.concatenate(cols), np.concatenate(vals), used
 
 
 def train(texts: Sequence[str | None], labels: Sequence[int], options: Options) -> Model:
@@ -158,13 +177,7 @@ def train(texts: Sequence[str | None], labels: Sequence[int], options: Options)
     n_buckets = 1 << options.bits
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(n_buckets, np.float32), bias, options)
-    rows, cols, vals = _rows(texts, options)
-    # buckets of few documents can only be learned by heart; they keep the weight 0
-    frequent = np.bincount(cols, minlength=n_buckets) >= min(options.min_docs, len(y))
-    kept = frequent[cols]
-    rows = np.append(0, np.cumsum(kept))[rows]
-    used, cols = np.unique(cols[kept], return_inverse=True)
-    vals = vals[kept]
+    rows, cols, vals, used = _rows(texts, options)
     vectors = rng.uniform(-0.5, 0.5, (len(used), options.dim)) / options.dim
     origin, pulled = vectors.copy(), np.zeros_like(vectors)
     softmax = rng.uniform(-0.5, 0.5, (options.dim, 2))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import mmap
 import os
+import sys
 import uuid
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -68,12 +71,46 @@ def save(folder: str, **arrays: np.ndarray) -> str:
     os.makedirs(folder, exist_ok=True)
     name = uuid.uuid4().hex
     for key, values in arrays.items():
-        np.save(os.path.join(folder, f"{name}-{key}.npy"), values)
+        np.ascontiguousarray(values).tofile(os.path.join(folder, f"{name}-{key}.{values.dtype.str[1:]}"))
     return name
 
 
-def load(folder: str, name: str, key: str) -> np.ndarray:
-    return np.load(os.path.join(folder, f"{name}-{key}.npy"), mmap_mode="r")
+def load(folder: str, name: str, key: str, kind: str) -> np.ndarray:
+    """An array as a memory map that keeps no file open; ``kind`` is its numpy type, as in ``u8``."""
+    path = os.path.join(folder, f"{name}-{key}.{kind}")
+    if not os.path.getsize(path):
+        return np.zeros(0, kind)
+    with open(path, "rb") as file:
+        untracked = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **untracked), kind)
+
+
+class WordHashes(dict):
+    """Numbers of words, in order of arrival, and their 64-bit hashes; forgets all beyond a size."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        super().__init__()
+        self.most, self.table, self.fresh = most, np.zeros(1 << 16, np.uint64), []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(xxhash.xxh3_64_intdigest(word))
+        self[word] = n = len(self)
+        return n
+
+    def index(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            while len(self) > len(self.table):
+                self.table = np.append(self.table, np.zeros_like(self.table))
+            self.table[len(self) - len(self.fresh) : len(self)] = self.fresh
+            self.fresh = []
+        return out
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        index = self.index(words)  # may replace the table
+        return self.table[index]
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:

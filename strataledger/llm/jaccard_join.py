@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataledger.llm.hash_arrays import (
+    WordHashes,
     chain,
     find,
+    from_bytes,
     load,
     local_folder,
     mix,
@@ -33,7 +35,6 @@ from strataledger.llm.hash_arrays import (
     sorted_to_bytes,
     sum_by_key,
     to_bytes,
-    from_bytes,
     unique_counts,
 )
 from strataledger.llm.storage import estimated_bytes, new_path, partitions_for, written
@@ -46,30 +47,6 @@ GROUP_SIZE = 1024
 QUERY_SIZE = 2048
 
 
-class WordHashes(dict):
-    """Numbers of words, in order of arrival, and their 64-bit hashes; forgets all beyond a size."""
-
-    def __init__(self, most: int = 1_000_000) -> None:
-        super().__init__()
-        self.most, self.table, self.fresh = most, np.zeros(1 << 16, np.uint64), []
-
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(xxhash.xxh3_64_intdigest(word))
-        self[word] = n = len(self)
-        return n
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        index = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            while len(self) > len(self.table):
-                self.table = np.append(self.table, np.zeros_like(self.table))
-            self.table[len(self) - len(self.fresh) : len(self)] = self.fresh
-            self.fresh = []
-        return self.table[index]
-
-
 def shingle_set(words: WordHashes, text: str | None, size: int) -> np.ndarray:
     """Ascending hashes of the distinct shingles of ``size`` words; of the whole sequence, if that is shorter."""
     h = words.hashes(plain_words(text))
@@ -154,7 +131,7 @@ class SharedShingles:
             if name is None:
                 continue
             if k not in self.open:
-                self.open[k] = (load(self.folder, name, "keys"), load(self.folder, name, "n"))
+                self.open[k] = (load(self.folder, name, "keys", "u8"), load(self.folder, name, "n", "u4"))
             keys, n = self.open[k]
             own = slice(cut[k], cut[k + 1])
             at = find(keys, wanted[own])

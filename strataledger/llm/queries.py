@@ -60,6 +60,12 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.language_model import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataledger.llm.warc import read_records, record_index, write_archive
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_top_k": op7_top_k,
+    "op8_language_model": op8_language_model,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }

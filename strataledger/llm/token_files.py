@@ -13,7 +13,7 @@ import re
 import struct
 import zlib
 from functools import cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -156,7 +156,7 @@ class Encoder:
     """
 
     WHOLE = re.compile(r"\s (?=\s|$)")
-    #: Only a text with one of these can match the pattern; they are found much faster.
+    #: Only a text with one of these can match the pattern; they are found much faster. The first ten are ASCII.
     BEFORE_SPACE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
     SPECIAL = "<|endoftext|>"
 
@@ -169,7 +169,9 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
+        #: Numbers of chunks after a space, and of chunks that begin a text.
         self.number: dict[str, int] = {}
+        self.lead: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.first = np.zeros(1 << 14, np.int64)
@@ -178,62 +180,63 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _add(self, chunks: list[str], together: int) -> None:
+    def _add(self, chunks: list[str], space: str, together: int, names: dict[str, int]) -> None:
         """Learn chunks: as many as said are encoded as one text, and offsets tell whose the ids are."""
         groups = [chunks[k : k + together] for k in range(0, len(chunks), together)]
-        for group, found in zip(
-            groups, self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True
-        ):
+        texts = [space + space.join(g) for g in groups]
+        for group, found in zip(groups, self.library.encode_batch(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, np.uint32)
             starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + len(space))
             sizes = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(group))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            n = len(self.number)
+            n = len(self.number) + len(self.lead)
             while n + len(group) > len(self.first):
                 self.first, self.size = (np.append(x, np.zeros_like(x)) for x in (self.first, self.size))
             self.first[n : n + len(group)] = self.used + np.cumsum(sizes) - sizes
             self.size[n : n + len(group)] = sizes
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
-            self.number.update(zip(group, range(n, n + len(group)), strict=True))
+            names.update(zip(group, range(n, n + len(group)), strict=True))
+
+    def _numbers(self, chunks: list[str], leads: np.ndarray) -> np.ndarray:
+        """The number of each chunk; ``leads`` are the places of those that begin a text."""
+        first = [chunks[k] for k in leads.tolist()]
+        new = set(first).difference(self.lead)
+        self._add(list(new), "", 1, self.lead)
+        out = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        out[leads] = np.fromiter(map(self.lead.__getitem__, first), np.int64, len(first))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            unknown = [chunks[k] for k in missing]
+            self._add(list(set(unknown)), " ", 256, self.number)
+            out[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
+        return out
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        split: list[list[str] | np.ndarray] = []
-        for text in texts:
+        if len(self.number) + len(self.lead) > self.cache_size:
+            self.reset()
+        wholes: dict[int, np.ndarray] = {}
+        chunks, lengths = [], []
+        for k, text in enumerate(texts):
             text = text or ""
-            if self.SPECIAL in text or (any(c in text for c in self.BEFORE_SPACE) and self.WHOLE.search(text)):
-                split.append(self.whole(text))
-            else:
-                parts = text.split(" ")
-                lead = parts[:1] if parts[0] else []
-                split.append(lead + [" " + p for p in parts[1:]])
-        lists = [s for s in split if isinstance(s, list)]
-        new = set().union(*lists).difference(self.number)
-        if new:
-            if len(self.number) + len(new) > self.cache_size:
-                self.reset()
-                new = set().union(*lists)
-            # a chunk that begins a text has no space before it, so it gets a text of its own
-            self._add([c for c in new if c[0] != " "], 1)
-            self._add([c for c in new if c[0] == " "], 256)
-        index = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+            pairs = self.BEFORE_SPACE[:10] if text.isascii() else self.BEFORE_SPACE
+            if self.SPECIAL in text or (any(c in text for c in pairs) and self.WHOLE.search(text)):
+                wholes[k] = self.whole(text)
+                text = ""
+            parts = text.split(" ")
+            chunks += parts
+            lengths.append(len(parts))
+        starts = np.cumsum([0, *lengths])
+        index = self._numbers(chunks, starts[:-1])
         sizes = self.size[index]
         begin = np.repeat(self.first[index] - (np.cumsum(sizes) - sizes), sizes)
         ids = self.flat[begin + np.arange(len(begin))]
-        bounds = np.append(0, np.cumsum(sizes))
-        out, counts, at = [], [], 0
-        for s in split:
-            if isinstance(s, list):
-                own = ids[bounds[at] : bounds[at + len(s)]]
-                at += len(s)
-            else:
-                own = s
-            out.append(own)
-            counts.append(len(own))
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(counts, np.int64)
+        bounds = np.append(0, np.cumsum(sizes))[starts]
+        out = [wholes[k] if k in wholes else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(list(map(len, out)), np.int64)
 
 
 @cache

@@ -88,7 +88,7 @@ def load(folder: str, name: str, key: str, kind: str) -> np.ndarray:
 class WordHashes(dict):
     """Numbers of words, in order of arrival, and their 64-bit hashes; forgets all beyond a size."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 500_000) -> None:
         super().__init__()
         self.most, self.table, self.fresh = most, np.zeros(1 << 16, np.uint64), []
 

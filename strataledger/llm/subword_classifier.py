@@ -41,7 +41,7 @@ class Options:
     seed: int = 7
     sample_rows: int = 4000
     max_chars: int = 60_000
-    cache_words: int = 500_000
+    cache_words: int = 250_000
 
 
 def tokens(text: str | None, options: Options) -> Counter:

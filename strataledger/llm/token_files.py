@@ -240,15 +240,17 @@ class Encoder:
 
 
 @cache
-def encoder(vocab_path: str) -> Encoder:
-    return Encoder(vocab_path)
+def encoder(vocab_path: str, cache_size: int) -> Encoder:
+    return Encoder(vocab_path, cache_size)
 
 
-def write_token_files(docs: DataFrame, vocab_path: str, end_id: int = 0, segment_ids: int = 1 << 20) -> str:
+def write_token_files(
+    docs: DataFrame, vocab_path: str, end_id: int = 0, segment_ids: int = 1 << 20, cache_size: int = 1_000_000
+) -> str:
     """Write the ids of all documents, each followed by ``end_id``, in ascending doc_id order; return the path.
 
     Null ids stand first; rows of equal id stand in order of a hash of their text. A segment takes whole documents
-    until it has ``segment_ids`` ids.
+    until it has ``segment_ids`` ids. ``cache_size``: chunks of text that a worker remembers; it changes no result.
     """
     spark = docs.sparkSession
     path = new_path(spark, "token-files")
@@ -258,7 +260,7 @@ def write_token_files(docs: DataFrame, vocab_path: str, end_id: int = 0, segment
     schema = "part int, place int, ids_before long, n_docs long, n_ids long, data binary"
 
     def run(batches):
-        own, part, place, before = encoder(vocab_path), TaskContext.get().partitionId(), 0, 0
+        own, part, place, before = encoder(vocab_path, cache_size), TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, held, size = [], [], [], 0
 
         def segment():

@@ -38,8 +38,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The written token ids of every document, as read back."""
-    return token_index(docs, vocabulary("byte_bpe_50k.json"))
+    """The written token ids of every document, as read back.
+
+    Workers live on between stages, so this one remembers fewer chunks than the operator does by itself.
+    """
+    return token_index(docs, vocabulary("byte_bpe_50k.json"), cache_size=400_000)
 
 
 STAGES = [

@@ -102,10 +102,12 @@ def qualified_equipment(stats: DataFrame, t: Thresholds, plausible: Iterable[str
 
 
 def overlap_of(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Shared losses of candidates of one code: ``a, b, shared`` from memberships ``candidate, code, report_id, line``."""
-    a = left.select(F.col("candidate").alias("a"), "code", "report_id", "line")
-    b = right.select(F.col("candidate").alias("b"), "code", "report_id", "line")
-    both = a.join(b, ["code", "report_id", "line"]).where(F.col("a") != F.col("b"))
+    """Shared losses of candidates of one tenant and code: ``a, b, shared`` from memberships
+    ``candidate, tenant, code, report_id, line``."""
+    keys = ["tenant", "code", "report_id", "line"]
+    a = left.select(F.col("candidate").alias("a"), *keys)
+    b = right.select(F.col("candidate").alias("b"), *keys)
+    both = a.join(b, keys).where(F.col("a") != F.col("b"))
     return both.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 

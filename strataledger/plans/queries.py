@@ -413,9 +413,30 @@ where not exists (select 1 from losses l where l.entity = c.entity and l.day = c
 """
 )
 def claims_without_record(spark, sf_dir):
-    rows = exposures(spark, sf_dir).where("report_id % 3 = 0")
+    claims = _claims(exposures(spark, sf_dir).where("report_id % 3 = 0"))
+    return M.without_recorded(claims, losses(spark, sf_dir)).withColumn("hours", F.col("hours").cast("double"))
+
+
+def _claims(rows):
+    """Reports as claims; those of odd lines claim half an hour more."""
     off = F.when(F.col("line") % 2 == 0, F.lit(0)).otherwise(F.lit(0.5)).cast("decimal(18,1)")
-    claims = rows.select(F.col("report_id").alias("claim"), "line", "entity", "code", "day", (F.col("hours") + off).cast("decimal(18,1)").alias("hours"))
+    return rows.select(F.col("report_id").alias("claim"), "line", "entity", "code", "day", (F.col("hours") + off).cast("decimal(18,1)").alias("hours"))
+
+
+@query(
+    """
+with claims as (
+  select report_id as claim, line, entity, code, day,
+    (hours + case when line % 2 = 0 then 0 else 0.5 end)::decimal(18,1) as hours from exposures
+)
+select claim, line, entity, code, day, hours::double as hours from claims c
+where not exists (select 1 from losses l where l.entity = c.entity and l.day = c.day and l.code = c.code
+  and abs(l.hours - c.hours) <= 0.1)
+"""
+)
+def claims_without_record_all(spark, sf_dir):
+    """The claims of every report."""
+    claims = _claims(exposures(spark, sf_dir))
     return M.without_recorded(claims, losses(spark, sf_dir)).withColumn("hours", F.col("hours").cast("double"))
 
 
@@ -463,12 +484,27 @@ select a, b, count(*) as shared from i join e using (tenant, code, report_id, li
 """
 )
 def pattern_overlap(spark, sf_dir):
-    rows = losses(spark, sf_dir).where("tenant = 'ASIA'")
+    return _overlap(losses(spark, sf_dir).where("tenant = 'ASIA'"))
+
+
+def _overlap(rows):
     left = rows.withColumn("candidate", F.concat_ws("|", F.lit("i"), "section", "formation"))
     right = rows.withColumn("candidate", F.concat_ws("|", F.lit("e"), "rig"))
     return P.overlap_of(left, right)
 
 
+@query(
+    """
+with i as (select tenant, code, section, formation, report_id, line, 'i|' || section || '|' || formation as a from losses),
+e as (select tenant, code, report_id, line, 'e|' || rig as b from losses)
+select a, b, count(*) as shared from i join e using (tenant, code, report_id, line) group by a, b
+"""
+)
+def pattern_overlap_all(spark, sf_dir):
+    """The overlaps of every tenant's patterns."""
+    return _overlap(losses(spark, sf_dir))
+
+
 @query(
     """
 with f as (select entity, code, hours, count(*) as f from losses where report_id % 4 <> 0 group by all),
@@ -483,6 +519,25 @@ def multiset_match(spark, sf_dir):
     return M.multiset_match(rows.where("report_id % 4 <> 0"), rows.where("report_id % 5 <> 0"), ["entity", "code", "hours"])
 
 
+@query(
+    """
+with f as (select entity, code, hours + case when report_id % 4 = 0 then 0.5 else 0 end as hours, count(*) as f from losses group by all),
+t as (select entity, code, hours + case when report_id % 5 = 0 then 0.5 else 0 end as hours, count(*) as t from losses group by all),
+b as (select coalesce(f, 0) as f, coalesce(t, 0) as t from f full join t using (entity, code, hours))
+select sum(least(f, t))::bigint as matched, sum(greatest(t - f, 0))::bigint as missed, sum(greatest(f - t, 0))::bigint as invented
+from b
+"""
+)
+def multiset_match_all(spark, sf_dir):
+    """All losses on either side; some have other hours on one side."""
+    rows = losses(spark, sf_dir)
+
+    def off(modulus):
+        return rows.withColumn("hours", F.col("hours") + F.when(F.col("report_id") % modulus == 0, F.lit(0.5)).otherwise(F.lit(0)).cast("decimal(18,1)"))
+
+    return M.multiset_match(off(4), off(5), ["entity", "code", "hours"])
+
+
 @query(
     """
 with r as (select *, row_number() over (partition by entity, code order by hours desc, report_id, line) as n from losses)

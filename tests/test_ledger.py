@@ -1,6 +1,7 @@
 """Operators of the ledger, on fixtures that can be worked out by hand, and queries against SQL."""
 
 import datetime as dt
+from collections import Counter, defaultdict
 from decimal import Decimal
 
 import duckdb
@@ -11,6 +12,7 @@ from strataledger.functions import text as X
 from strataledger.operators import matching as M
 from strataledger.operators import patterns as P
 from strataledger.operators import retrieval as R
+from strataledger.plans.bindings import exposures
 from strataledger.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -143,3 +145,29 @@ def test_queries_equal_sql(spark, name):
     key = lambda rows: sorted(repr([float(x) if isinstance(x, int | float | Decimal) else str(x) for x in r]) for r in rows)
     ours = key(found.select(*columns).collect())
     assert ours == key(want.fetchall()) and ours
+
+
+@pytest.mark.parametrize("name", ["claims_without_record_all", "pattern_overlap_all", "multiset_match_all"])
+def test_whole_queries_equal_sql(spark, name):
+    test_queries_equal_sql(spark, name)
+
+
+def test_whole_queries_leave_no_report_out(spark):
+    rows = exposures(spark, SF).collect()
+    lost = [r for r in rows if r.is_loss]
+    recorded = defaultdict(list)
+    for r in lost:
+        recorded[r.entity, r.day, r.code].append(r.hours)
+    want = Counter()
+    for r in rows:
+        hours = r.hours + (Decimal(0) if r.line % 2 == 0 else Decimal("0.5"))
+        if all(abs(h - hours) > Decimal("0.1") for h in recorded[r.entity, r.day, r.code]):
+            want[r.report_id, r.line] += 1
+    found = QUERIES["claims_without_record_all"](spark, SF).collect()
+    assert Counter((r.claim, r.line) for r in found) == want
+    assert {k % 3 for k, _ in want} == {0, 1, 2}
+    sides = QUERIES["multiset_match_all"](spark, SF).first()
+    assert sides.matched + sides.missed == sides.matched + sides.invented == len(lost)
+    shared = QUERIES["pattern_overlap_all"](spark, SF).collect()
+    same = Counter((r.tenant, r.code, r.report_id, r.line) for r in lost)
+    assert sum(r.shared for r in shared) == sum(n * n for n in same.values())

@@ -140,7 +140,7 @@ class SharedShingles:
 
 
 def _sketches(docs: DataFrame, size: int, num: int, den: int, found: tuple) -> DataFrame:
-    """Every row with its set's size and digest; the set itself only where a link is possible."""
+    """Every row with a hash of its text and its set's size and digest; the set itself only where a link is possible."""
 
     def run(batches):
         words, shared = WordHashes(), SharedShingles(*found)
@@ -167,11 +167,12 @@ def _sketches(docs: DataFrame, size: int, num: int, den: int, found: tuple) -> D
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64())
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *columns], names=["doc_id", "n", "node", "set", "rare", "n_index", "near"]
+                    [part.column(0), part.column(2), *columns],
+                    names=["doc_id", "mark", "n", "node", "set", "rare", "n_index", "near"],
                 )
 
-    schema = "doc_id long, n long, node binary, set binary, rare array<long>, n_index int, near long"
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, mark long, n long, node binary, set binary, rare array<long>, n_index int, near long"
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
     return written(ids.mapInArrow(run, schema), "shingle-sketches")
 
 
@@ -302,10 +303,25 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     null ids are never the least unless all are null. Rows without words have ``n_shingles`` 0, no links, and their
     own id. Repeated rows link to each other. Shingles are told apart by 64-bit hashes. An empty table gives no rows.
     """
+    sketches, labelled = _labelled(docs, size, num, den)
+    first = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    per_class = labelled.join(first, "root").select("node", "component_id", "copies", "links")
+    out = sketches.select("doc_id", "n", "node").join(per_class, "node", "left")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies"), F.lit(1)) - 1
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), n_links.cast("long").alias("n_links"))
+
+
+def _labelled(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows; and for each distinct set its component's ``root``, its copies, links and first row.
+
+    The first row is that of the least id, null last, then of the least hash of its text.
+    """
     narrow = docs.select("doc_id", "text")
     sketches = _sketches(narrow, size, num, den, _shared_shingles(narrow, size))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     by_set = sketches.where(F.col("n") > 0).groupBy("node")
-    totals = written(by_set.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "shingle-classes")
+    totals = written(by_set.agg(F.min("doc_id").alias("first_id"), F.min(row).alias("first_row"), F.count("*").alias("copies")), "shingle-classes")
     with_sets = sketches.where(F.col("set").isNotNull()).select("node", "n", "set", "rare", "n_index", "near")
     one = with_sets.groupBy("node").agg(*(F.max(c).alias(c) if c != "rare" else F.max("rare").alias(c) for c in with_sets.columns[1:]))
     classes = written(one.join(totals.select("node", "copies"), "node"), "shingle-sets")
@@ -313,25 +329,20 @@ def jaccard_components(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     roots = components(answers.where(F.col("b").isNotNull()).select("a", "b"))
     linked = answers.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labelled = totals.join(roots, "node", "left").join(linked, "node", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "node"))
-    first = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    per_class = labelled.join(first, "root").select("node", "component_id", "copies", "links")
-    out = sketches.select("doc_id", "n", "node").join(per_class, "node", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies"), F.lit(1)) - 1
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), n_links.cast("long").alias("n_links"))
+    return sketches, labelled.withColumn("root", F.coalesce("root", "node"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component, that of the least doc_id; rows without words all stay.
+    """``docs`` with exactly one row of each component; rows without words all stay.
 
-    Of rows that repeat id and text one stays. Rows of one id whose texts link may both stay.
+    It is a row of the least doc_id, null last; of several such rows one of the text whose hash is least.
     """
-    found = written(jaccard_components(docs, size, num, den), "shingle-components")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    first = (F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keep = found.where(first).select(key.alias("__id")).distinct()
+    _, labelled = _labelled(docs, size, num, den)
+    first = labelled.groupBy("root").agg(F.min("first_row").alias("row"))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    kept = F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))
+    keep = written(first.select(kept.alias("__id"), F.col("row.mark").alias("__text")), "shingle-survivors")
     has_words = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) != ""
     full = docs.where(has_words).withColumns({"__id": key, "__text": F.xxhash64("text")})
-    full = full.join(keep, "__id", "left_semi").dropDuplicates(["__id", "__text"])
+    full = full.join(keep, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"])
     return full.select(*docs.columns).unionByName(docs.where(~has_words))

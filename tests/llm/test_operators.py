@@ -142,6 +142,15 @@ def test_jaccard_equals_brute_force(spark, docs, empty, size, num, den):
     assert J.jaccard_components(empty).count() == 0
 
 
+def test_one_of_each_keeps_one_row_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(rng.choices([x + y for x in WORDS for y in WORDS], k=60)) for _ in range(5))
+    rows = [(None, a), (None, a + " x"), (None, b), (1, b + " x"), (2, c), (2, d + " y"), (1, d), (3, e), (3, e.upper()), (3, e + " z"), (None, None), (4, "")]
+    kept = J.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter((r.doc_id, (r.text or "")[:20].lower()) for r in kept)
+    assert found == Counter([(None, a[:20]), (1, b[:20]), (2, c[:20]), (1, d[:20]), (3, e[:20]), (None, ""), (4, "")])
+
+
 def test_jaccard_opens_split_groups(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.choice(WORDS) + str(k) for k in range(120)]

@@ -268,7 +268,8 @@ def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``): the least node of its component.
 
-    Large-star and small-star steps alternate until nothing changes. Every step is written, so a lost executor costs
+    Large-star and small-star steps alternate until nothing changes; it is an error if they still change things in the
+    last of ``rounds``. Every step is written, so a lost executor costs
     no more than a step.
     """
     edges = written(edges.where(F.col("a") != F.col("b")).distinct(), "stars")
@@ -291,6 +292,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(mark) == before:
             break
         before = tuple(mark)
+    else:
+        raise RuntimeError(f"components still changed in round {rounds}")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 

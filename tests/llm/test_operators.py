@@ -151,6 +151,13 @@ def test_one_of_each_keeps_one_row_of_null_and_repeated_ids(spark):
     assert found == Counter([(None, a[:20]), (1, b[:20]), (2, c[:20]), (1, d[:20]), (3, e[:20]), (None, ""), (4, "")])
 
 
+def test_components_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {(r.node, r.root) for r in J.components(path).collect()} == {(k, 0) for k in range(41)}
+    with pytest.raises(RuntimeError):
+        J.components(path, rounds=1)
+
+
 def test_jaccard_opens_split_groups(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.choice(WORDS) + str(k) for k in range(120)]

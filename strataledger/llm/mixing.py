@@ -116,14 +116,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def mix_copies(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: every document as often as it is taken, whole, with the columns of ``docs``.
 
-    The row in which a source's budget ends stays if at least half of it is taken. Documents without words go, as
-    they add nothing to a mix by words.
+    The row in which a source's budget ends stays if at least half of it is taken. Documents without words stay once,
+    as they use nothing of a budget by words.
     """
     names = docs.columns
     sized = docs.withColumn("__size", word_count(F.col("text"))).withColumnsRenamed(
         {c: f"__own_{i}" for i, c in enumerate(names) if c not in ("doc_id", "source")}
     )
     mixed = mix(sized, size="__size", **options)
-    copies = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size") + 0.5)).otherwise(0).cast("int")
+    copies = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size") + 0.5)).otherwise(1).cast("int")
     out = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return out.select(*(F.col(c if c in ("doc_id", "source") else f"__own_{i}").alias(c) for i, c in enumerate(names)))

@@ -68,6 +68,13 @@ def test_mixing_takes_each_budget_exactly(docs, empty):
     assert MX.mix_copies(docs).columns == docs.columns
 
 
+def test_mixed_copies_keep_rows_without_words_and_half_taken_ones(docs):
+    taken = {r.doc_id: (r["size"], r.taken) for r in MX.mix_documents(docs).collect()}
+    want = Counter({i: int(t / n + 0.5) if n else 1 for i, (n, t) in taken.items()})
+    assert Counter(r.doc_id for r in MX.mix_copies(docs).collect()) == +want
+    assert sum(n == 0 for n, _ in taken.values()) == 3
+
+
 def test_mixing_repeats_rows_that_share_an_id(spark):
     rows = spark.createDataFrame([(1, "a b", None), (1, "a b", None), (None, "c", None), (None, None, None)], "doc_id long, text string, source string")
     found = MX.mix_documents(rows).collect()

@@ -53,7 +53,7 @@ STAGES = [
     ("token_files", token_files),
 ]
 
-#: SQL can express neither the classifier nor the vocabulary; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the vocabulary; tests hold the rows of a small run against brute force.
 ORACLE_SQL = None
 
 

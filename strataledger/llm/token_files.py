@@ -17,12 +17,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataledger.llm.storage import new_path, partitions_for
-from strataledger.llm.token_counts import slices
+from strataledger.llm.token_counts import byte_symbols
 
 MAGIC = b"PFOR0001"
 BLOCK = 1024
@@ -147,96 +148,175 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist(), strict=True)], lengths, ids
 
 
+#: White space in the widest sense that any of the libraries in use has of it.
+BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def byte_slices(texts: pa.Array, most_bytes: int):
+    """Parts of a column of about ``most_bytes``; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        limit = (ends[at - 1] if at else 0) + most_bytes
+        stop = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each chunk of text once.
+    """Ids of whole texts by the tokenizers library, which sees each piece of text once.
 
-    A text is cut before single spaces between other characters. A byte-level vocabulary whose pre-tokens are words
-    with the space before them always has a boundary there. Where a space stands beside other white space, or a
-    special string occurs, the library gets the whole text.
+    A text is cut into chunks before single spaces between other characters. A byte-level vocabulary whose pre-tokens
+    are words with the space before them always has a boundary there. Where a space stands beside other white space,
+    or a special string occurs, the library gets the whole text.
+
+    A new chunk of plain letters, digits and ASCII marks is cut into its pre-tokens, and the library's model merges
+    each of them. Every other new chunk goes to the library by itself: many of them make up one text, parted by the
+    special string, across which the library never merges or looks ahead.
     """
 
-    WHOLE = re.compile(r"\s (?=\s|$)")
-    #: Only a text with one of these can match the pattern; they are found much faster. The first ten are ASCII.
-    BEFORE_SPACE = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
-    SPECIAL = "<|endoftext|>"
+    #: Where a text must be encoded whole; $ is its end.
+    WHOLE = f"[{BLANK}] ([{BLANK}]|$)"
+    #: Characters whose class no version of Unicode has changed, and the vocabulary's pre-tokens of such text.
+    LETTERS, MARKS, BLANKS = "A-Za-zÀ-ÖØ-öø-ſ", r"!-/:-@\[-`{-~", r" \t\n\r"
+    PIECES = re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+    )
+    TOGETHER = 256
 
     def __init__(self, vocab_path: str, cache_size: int = 1_000_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(vocab_path)
+        cut, special = self.library.pre_tokenizer, list(self.library.get_added_tokens_decoder().items())
+        level = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        if not level or self.library.normalizer is not None or len(special) != 1:
+            raise ValueError(f"not a byte-level vocabulary with one special string and no normaliser: {vocab_path}")
+        self.special_id, self.special = special[0][0], special[0][1].content
+        self.tokenize = self.library.model.tokenize
+        self.to_symbols = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+        self.space = byte_symbols()[ord(" ")]
         self.cache_size = cache_size
         self.reset()
 
     def reset(self) -> None:
-        #: Numbers of chunks after a space, and of chunks that begin a text.
+        #: Numbers of what follows a space (chunks and pieces), of other pieces, and of chunks that begin a text.
         self.number: dict[str, int] = {}
-        self.lead: dict[str, int] = {"": 0}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.first = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _add(self, chunks: list[str], space: str, together: int, names: dict[str, int]) -> None:
-        """Learn chunks: as many as said are encoded as one text, and offsets tell whose the ids are."""
-        groups = [chunks[k : k + together] for k in range(0, len(chunks), together)]
-        texts = [space + space.join(g) for g in groups]
-        for group, found in zip(groups, self.library.encode_batch(texts, add_special_tokens=False), strict=True):
+        self.inner: dict[str, int] = {}
+        self.lead: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.size, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
+
+    def _store(self, ids, sizes) -> None:
+        """Ids of the next numbers, in a row, and how many each has."""
+        ids, sizes = np.asarray(ids, np.uint32), np.asarray(sizes, np.int32)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while self.count + len(sizes) > len(self.first):
+            self.first, self.size = (np.append(x, np.zeros_like(x)) for x in (self.first, self.size))
+        own = slice(self.count, self.count + len(sizes))
+        self.first[own] = self.used + np.cumsum(sizes) - sizes
+        self.size[own] = sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all numbers in a row, and how many each has."""
+        sizes = self.size[numbers].astype(np.int64)
+        begin = np.repeat(self.first[numbers] - (np.cumsum(sizes) - sizes), sizes)
+        begin += np.arange(len(begin))
+        return self.flat[begin], sizes
+
+    def _merged(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isprintable():  # these characters stand for themselves, but for the space
+            symbols = piece.replace(" ", self.space)
+        else:
+            symbols = piece.encode().decode("latin-1").translate(self.to_symbols)
+        return [t.id for t in self.tokenize(symbols)]
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of each text, none of which holds the special string."""
+        groups = [texts[k : k + self.TOGETHER] for k in range(0, len(texts), self.TOGETHER)]
+        out = []
+        joined = [self.special.join([*g, ""]) for g in groups]
+        for found in self.library.encode_batch_fast(joined, add_special_tokens=False):
             ids = np.array(found.ids, np.uint32)
-            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + len(space))
-            sizes = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(group))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            n = len(self.number) + len(self.lead)
-            while n + len(group) > len(self.first):
-                self.first, self.size = (np.append(x, np.zeros_like(x)) for x in (self.first, self.size))
-            self.first[n : n + len(group)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(group)] = sizes
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            names.update(zip(group, range(n, n + len(group)), strict=True))
-
-    def _numbers(self, chunks: list[str], leads: np.ndarray) -> np.ndarray:
-        """The number of each chunk; ``leads`` are the places of those that begin a text."""
-        first = [chunks[k] for k in leads.tolist()]
-        new = set(first).difference(self.lead)
-        self._add(list(new), "", 1, self.lead)
-        out = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
-        out[leads] = np.fromiter(map(self.lead.__getitem__, first), np.int64, len(first))
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            unknown = [chunks[k] for k in missing]
-            self._add(list(set(unknown)), " ", 256, self.number)
-            out[missing] = np.fromiter(map(self.number.__getitem__, unknown), np.int64, len(unknown))
+            ends = np.flatnonzero(ids == self.special_id).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
         return out
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and how many each has."""
-        if len(self.number) + len(self.lead) > self.cache_size:
+    def _learn(self, chunks: list[str], space: str, names: dict[str, int]) -> None:
+        """Number chunks; ``space`` is what stands before them in their texts."""
+        find, merged, number, inner = self.PIECES.findall, self._merged, self.number, self.inner
+        ids, sizes, n = [], [], self.count
+        several, places, counts, odd = [], [], [], []
+        for chunk in chunks:
+            if space and chunk.isascii() and chunk.isalpha():
+                pieces = (space + chunk,)
+            else:
+                pieces = find(space + chunk)
+                if len("".join(pieces)) != len(space) + len(chunk):  # some characters are in no piece
+                    odd.append(chunk)
+                    continue
+            for piece in pieces:
+                store, key = (number, piece[1:]) if piece[0] == " " else (inner, piece)
+                own = store.get(key)
+                if own is None:
+                    own = store[key] = n + len(sizes)
+                    found = merged(piece)
+                    ids += found
+                    sizes.append(len(found))
+                places.append(own)
+            if names is not number or len(pieces) > 1:
+                several.append(chunk)
+                counts.append(len(pieces))
+            else:
+                places.pop()
+        self._store(ids, sizes)
+        ids, piece_sizes = self._gathered(np.array(places, np.int64))
+        ends = np.append(0, np.cumsum(piece_sizes))[np.cumsum([0, *counts])]
+        names.update(zip(several, range(self.count, self.count + len(several)), strict=True))
+        self._store(ids, np.diff(ends))
+        if odd:
+            found = self._alone([space + c for c in odd])
+            names.update(zip(odd, range(self.count, self.count + len(odd)), strict=True))
+            self._store(np.concatenate(found), list(map(len, found)))
+
+    def _numbers(self, chunks: pa.Array, space: str, names: dict[str, int]) -> np.ndarray:
+        """The number of each chunk, after learning those that are new."""
+        encoded = chunks.dictionary_encode()
+        words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = np.fromiter(map(names.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(own < 0).tolist()
+        if missing:
+            unknown = [words[k] for k in missing]
+            self._learn(unknown, space, names)
+            own[missing] = np.fromiter(map(names.__getitem__, unknown), np.int64, len(unknown))
+        return own[encoded.indices.to_numpy()]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has; a null is an empty text."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.count > self.cache_size:
             self.reset()
-        wholes: dict[int, np.ndarray] = {}
-        chunks, lengths = [], []
-        for k, text in enumerate(texts):
-            text = text or ""
-            pairs = self.BEFORE_SPACE[:10] if text.isascii() else self.BEFORE_SPACE
-            if self.SPECIAL in text or (any(c in text for c in pairs) and self.WHOLE.search(text)):
-                wholes[k] = self.whole(text)
-                text = ""
-            parts = text.split(" ")
-            chunks += parts
-            lengths.append(len(parts))
-        starts = np.cumsum([0, *lengths])
-        index = self._numbers(chunks, starts[:-1])
-        sizes = self.size[index]
-        begin = np.repeat(self.first[index] - (np.cumsum(sizes) - sizes), sizes)
-        ids = self.flat[begin + np.arange(len(begin))]
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.match_substring(texts, self.special), pc.match_substring_regex(texts, self.WHOLE))
+        at = np.flatnonzero(odd)
+        whole = self.library.encode_batch_fast(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)
+        wholes = {k: np.array(found.ids, np.uint32) for k, found in zip(at.tolist(), whole, strict=True)}
+        parts = pc.split_pattern(pc.if_else(odd, "", texts) if wholes else texts, " ")
+        lengths = parts.value_lengths().to_numpy()
+        starts, chunks = np.append(0, np.cumsum(lengths, dtype=np.int64)), parts.flatten()
+        numbers = self._numbers(chunks, " ", self.number)
+        numbers[starts[:-1]] = self._numbers(chunks.take(pa.array(starts[:-1])), "", self.lead)
+        ids, sizes = self._gathered(numbers)
         bounds = np.append(0, np.cumsum(sizes))[starts]
+        if not wholes:
+            return ids, np.diff(bounds)
         out = [wholes[k] if k in wholes else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array(list(map(len, out)), np.int64)
+        return np.concatenate(out), np.array(list(map(len, out)), np.int64)
 
 
 @cache
@@ -274,7 +354,7 @@ def write_token_files(
 
         for batch in batches:
             keys, at = batch.column(0).to_pylist(), 0
-            for texts in slices(batch.column(1), 1 << 20):
+            for texts in byte_slices(batch.column(1), 4 << 20):
                 ids, counts = own.batch(texts)
                 bounds = np.cumsum(counts)
                 with_ends = np.insert(ids, bounds, end_id).astype(np.uint32)

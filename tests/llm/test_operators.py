@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strataledger.llm import decontamination as D
@@ -237,7 +238,7 @@ def test_token_files_round_trip(spark, docs, empty):
     library = Tokenizer.from_file(path)
     encoder = TF.Encoder(path, cache_size=30)
     odd = ["  a  b\n \n c", "a\n b", "x   y", " lead", "trail  ", "a  b c", "<|endoftext|> hi", "\x85 a", "", None]
-    ids, counts = encoder.batch(odd)
+    ids, counts = encoder.batch(pa.array(odd))
     want = [library.encode(t or "", add_special_tokens=False).ids for t in odd]
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
     found = rows_of(TF.token_index(docs, path, segment_ids=100))
@@ -252,6 +253,27 @@ def test_token_files_round_trip(spark, docs, empty):
     assert TF.token_index(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_token_ids_beside_any_white_space(seed):
+    encoder = TF.Encoder(vocabulary("byte_bpe_50k.json"), cache_size=2000)
+    blank = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    others = [*"abcABC'stred019.,!$%éÉßſºª中文👍́​\x00\x7fµ×", "'s", "'ll", "<|endoftext|>", "<|end", "oftext|>", "word"]
+    rng = random.Random(seed)
+    for _ in range(60):
+        some = ["".join(rng.choice(2 * blank + 40 * [" "] + others) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+        ids, counts = encoder.batch(pa.array(some))
+        want = [encoder.library.encode(t, add_special_tokens=False).ids for t in some]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    for texts in (["x \xa0 y", "x \xa0\xa0 y", "w \xa0\xa0\xa0 z"], ["a\x1c \x1c b", "\x85 \x85", "\n \n", " ", "  "]):
+        ids, _ = encoder.batch(pa.array(texts))
+        assert ids.tolist() == sum((encoder.library.encode(t, add_special_tokens=False).ids for t in texts), [])
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        TF.Encoder(vocabulary("word_bpe_49k.json"))
+
+
 @pytest.mark.parametrize("n", [0, 1, 63, 1023, 1024, 1025, 3000])
 @pytest.mark.parametrize("most", [0, 1, 50256, 2**32 - 1])
 def test_patched_blocks(n, most):

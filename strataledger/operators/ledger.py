@@ -205,3 +205,23 @@ def top_sources(ledger: DataFrame, n: int = 5) -> DataFrame:
     sums = ledger.groupBy("tenant", "report_id").agg(total().alias("total_hours"))
     rank = F.row_number().over(W.partitionBy("tenant").orderBy(F.col("total_hours").desc(), "report_id"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def stream_digest(lines: DataFrame, column: str = "line") -> DataFrame:
+    """SHA-256 over all lines in ascending order: ``digest``.
+
+    Ranges are sorted apart and pass through one task as a stream, since the digest of a sequence needs all of it in
+    order; that task holds a batch at a time.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        state = hashlib.sha256()
+        for batch in batches:
+            state.update("".join(batch.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["digest"])
+
+    ordered = lines.select(column).where(F.col(column).isNotNull()).orderBy(column).coalesce(1)
+    return ordered.mapInArrow(run, "digest string")

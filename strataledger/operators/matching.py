@@ -88,3 +88,24 @@ def squeezed(text: Column) -> Column:
 
 def is_verbatim(text: Column, quote: Column) -> Column:
     return F.contains(squeezed(text), squeezed(quote))
+
+
+def verbatim_matches(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``item_id, doc_id`` where the squeezed text of a document holds a squeezed quote: ``doc_id, t``; ``item_id, q``.
+
+    A word inside a quote, between two others, must be a word of the document. Each quote is looked up by that of its
+    inner words which the fewest documents have; quotes of less than three words, which have none, meet every document.
+    """
+    inner = quotes.withColumn("w", F.split("q", " ")).withColumn("w", F.array_distinct(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))))
+    by_word = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    asked = inner.select("item_id", "q", F.explode("w").alias("word"))
+    held = by_word.join(asked.select("word").distinct(), "word")
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = asked.join(df, "word").groupBy("item_id", "q").agg(
+        F.min_by("word", F.struct("df", "word")).alias("word"), F.count("*").alias("n")
+    )
+    # a quote with a word that no document has is in none
+    complete = rarest.join(inner.select("item_id", "q", F.size("w").alias("n")), ["item_id", "q", "n"])
+    long = complete.join(by_word, "word").join(docs, "doc_id").where(F.contains("t", "q")).select("item_id", "doc_id")
+    short = inner.where(F.size("w") == 0).join(docs, F.contains("t", "q")).select("item_id", "doc_id")
+    return long.unionByName(short)

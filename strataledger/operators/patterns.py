@@ -2,7 +2,7 @@
 
 Rates are hours per report. An *interval* pattern compares a place (section and formation) with the whole tenant; an
 *equipment* pattern compares a category (rig or tool) with the rest of the fleet. Statistics are relational; only the
-decision which candidate owns shared losses is made on the driver, from counts per combination of candidates.
+decision which candidate owns shared losses is a function, of counts per combination of candidates.
 """
 
 from __future__ import annotations
@@ -12,9 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from strataledger.operators.ledger import cost, depth_window
+from strataledger.sources.storage import written
+
+#: Columns of losses that patterns use.
+LEDGER = ("tenant", "code", "section", "formation", "rig", "tool", "entity", "report_id", "line", "hours", "depth")
 
 
 @dataclass(frozen=True)
@@ -150,6 +155,36 @@ def resolve(intervals: list[str], equipment: list[str], groups: list[tuple[tuple
     return final, again
 
 
+OWNED = T.StructType(
+    [
+        T.StructField("candidate", T.StringType()),
+        T.StructField("retest", T.BooleanType()),
+        T.StructField("groups", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+def _owners(merge_share: float):
+    """Resolves the candidates of one tenant and code, from themselves and from counts of losses by combination."""
+    import pyarrow as pa
+
+    schema = pa.schema([("candidate", pa.string()), ("retest", pa.bool_()), ("groups", pa.list_(pa.string()))])
+
+    def run(candidates: pa.Table, counted: pa.Table) -> pa.Table:
+        rows = candidates.select(["candidate", "scope", "rank", "hours"]).to_pylist()
+        intervals = [r["candidate"] for r in sorted(rows, key=lambda r: r["rank"]) if r["scope"] == "interval"]
+        fleet = sorted((r for r in rows if r["scope"] == "equipment"), key=lambda r: (-r["hours"], r["rank"]))
+        groups = sorted(zip(counted["group"].to_pylist(), counted["n"].to_pylist(), strict=True))
+        sets = [(tuple(g.split("&")), n) for g, n in groups]
+        final, again = resolve(intervals, [r["candidate"] for r in fleet], sets, merge_share)
+        out = [(c, c in again, [groups[k][0] for k in sorted(own)]) for c, own in final.items()]
+        return pa.Table.from_arrays(
+            [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else ([], [], []), schema, strict=True)], schema=schema
+        )
+
+    return run
+
+
 def find_patterns(
     exposures: DataFrame,
     losses: DataFrame,
@@ -160,58 +195,49 @@ def find_patterns(
 ) -> DataFrame:
     """Every pattern that clears its thresholds, with its owned losses counted once, largest first.
 
-    The candidates that qualify, and the counts of losses by combination of candidates, go to the driver: both follow
-    the number of codes, places and categories, not the number of reports.
+    Losses are counted by the combination of candidates that hold them. Who owns what is decided in one task for each
+    tenant and code, from these counts alone.
     """
-    t, spark = thresholds, losses.sparkSession
+    t = thresholds
+    exposures = written(exposures.select("tenant", "entity", "section", "formation", "rig", "tool"), "pattern-exposures")
+    losses = written(losses.select(*LEDGER), "pattern-losses")
     intervals = qualified_intervals(interval_stats(exposures, losses), t, avoidable)
     equipment = qualified_equipment(equipment_stats(exposures, losses, "rig"), t, rig_codes).unionByName(
         qualified_equipment(equipment_stats(exposures, losses, "tool"), t, tool_codes)
     )
-    name_i = F.concat_ws("|", F.lit("interval"), "tenant", "code", "section", "formation")
-    name_e = F.concat_ws("|", F.lit("equipment"), "tenant", "code", "kind", "category")
-    found_i = intervals.select(name_i.alias("candidate"), "tenant", "code", "section", "formation", "lift", "exposed", "days")
-    found_e = equipment.select(name_e.alias("candidate"), "tenant", "code", "kind", "category", "ratio", "hours", "exposed")
-    rows_i, rows_e = found_i.collect(), found_e.collect()
-    schema = (
-        "candidate string, tenant string, code string, scope string, section string, formation string, kind string, "
-        "category string, lift double, ratio double, exposed long, retest boolean, groups array<string>"
-    )
-    marks = losses.select("tenant", "code", "section", "formation", "rig", "tool", "entity", "report_id", "line", "hours", "depth")
-
-    def mark(kind: str, *columns: str) -> Column:
-        own = F.concat_ws("|", F.lit("interval" if kind == "interval" else "equipment"), "tenant", "code", *columns)
-        names = [r.candidate for r in (rows_i if kind == "interval" else rows_e)]
-        return F.when(own.isin(names), own) if names else F.lit(None).cast("string")
-
-    marks = marks.withColumns(
-        {
-            "m_interval": mark("interval", "section", "formation"),
-            "m_rig": mark("equipment", F.lit("rig"), "rig"),
-            "m_tool": mark("equipment", F.lit("tool"), "tool"),
-        }
-    )
+    none = F.lit("")
+    found_i = intervals.select(
+        F.concat_ws("|", F.lit("interval"), "tenant", "code", "section", "formation").alias("candidate"), "tenant", "code",
+        F.lit("interval").alias("scope"), "section", "formation", none.alias("kind"), none.alias("category"), "lift",
+        F.lit(None).cast("double").alias("ratio"), "hours", "exposed", F.concat_ws("|", "section", "formation").alias("rank"),
+    )
+    found_e = equipment.select(
+        F.concat_ws("|", F.lit("equipment"), "tenant", "code", "kind", "category").alias("candidate"), "tenant", "code",
+        F.lit("equipment").alias("scope"), none.alias("section"), none.alias("formation"), "kind", "category",
+        F.lit(None).cast("double").alias("lift"), "ratio", "hours", "exposed", F.concat_ws("|", "kind", "category").alias("rank"),
+    )
+    candidates = written(found_i.unionByName(found_e), "pattern-candidates")
+    found_i, found_e = (candidates.where(F.col("scope") == scope) for scope in ("interval", "equipment"))
+    marks = losses.join(
+        found_i.select("tenant", "code", "section", "formation", F.col("candidate").alias("m_interval")),
+        ["tenant", "code", "section", "formation"], "left",
+    )
+    for kind in ("rig", "tool"):
+        own = found_e.where(F.col("kind") == kind)
+        own = own.select("tenant", "code", F.col("category").alias(kind), F.col("candidate").alias(f"m_{kind}"))
+        marks = marks.join(own, ["tenant", "code", kind], "left")
     members = ("m_interval", "m_rig", "m_tool")
     marks = marks.where(F.coalesce(*members).isNotNull()).withColumn("group", F.concat_ws("&", *members))
-    counted = marks.groupBy("tenant", "code", "group").agg(F.count("*").alias("n")).collect()
-    out = []
-    for tenant, code in sorted({(r.tenant, r.code) for r in [*rows_i, *rows_e]}):
-        own_i = sorted((r for r in rows_i if (r.tenant, r.code) == (tenant, code)), key=lambda r: (r.section, r.formation))
-        own_e = sorted((r for r in rows_e if (r.tenant, r.code) == (tenant, code)), key=lambda r: (-r.hours, r.kind, r.category))
-        groups = sorted((r.group, r.n) for r in counted if (r.tenant, r.code) == (tenant, code))
-        sets = [(tuple(g.split("&")), n) for g, n in groups]
-        final, again = resolve([r.candidate for r in own_i], [r.candidate for r in own_e], sets, t.merge_share)
-        for r in own_i:
-            if r.candidate in final:
-                mine = [groups[k][0] for k in sorted(final[r.candidate])]
-                out.append((r.candidate, tenant, code, "interval", r.section, r.formation, "", "", r.lift, None, r.exposed, r.candidate in again, mine))
-        for r in own_e:
-            if r.candidate in final:
-                mine = [groups[k][0] for k in sorted(final[r.candidate])]
-                out.append((r.candidate, tenant, code, "equipment", "", "", r.kind, r.category, None, r.ratio, r.exposed, False, mine))
-    patterns = spark.createDataFrame(out, schema)
-    owned = marks.join(patterns.select("candidate", F.explode("groups").alias("group")), "group")
-    return _finalised(patterns, owned, exposures, losses, t)
+    marks = written(marks, "pattern-marks")
+    counted = marks.groupBy("tenant", "code", "group").agg(F.count("*").alias("n"))
+    owned = (
+        candidates.groupBy("tenant", "code")
+        .cogroup(counted.toDF("c_tenant", "c_code", "group", "n").groupBy("c_tenant", "c_code"))
+        .applyInArrow(_owners(t.merge_share), OWNED)
+    )
+    patterns = written(candidates.drop("hours", "rank").join(owned, "candidate"), "pattern-owners")
+    rows = marks.join(patterns.select("candidate", F.explode("groups").alias("group")), "group")
+    return _finalised(patterns, rows, exposures, losses, t)
 
 
 def _finalised(patterns: DataFrame, owned: DataFrame, exposures: DataFrame, losses: DataFrame, t: Thresholds) -> DataFrame:

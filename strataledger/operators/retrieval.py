@@ -69,9 +69,14 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def postings(chunks: DataFrame, tokens: Column, tenant: str, key: str) -> DataFrame:
-    """``tenant, term, key, tf, length`` of every term of every chunk."""
-    terms = chunks.select(tenant, key, F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
-    return terms.groupBy(tenant, "term", key).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """``tenant, term, key, tf, length`` of every term of every chunk.
+
+    Tokens are made and counted below the explosion, once for each chunk.
+    """
+    cut = chunks.select(tenant, key, tokens.alias("__tokens"))
+    sized = cut.select(tenant, key, F.size("__tokens").alias("length"), "__tokens")
+    terms = sized.select(tenant, key, "length", F.explode("__tokens").alias("term"))
+    return terms.groupBy(tenant, "term", key).agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
 def length_stats(index: DataFrame, tenant: str, key: str) -> DataFrame:

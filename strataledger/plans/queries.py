@@ -262,8 +262,7 @@ def corpus_hash(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.sha2("text", 256), F.lit("\n")).alias("line")
     )
-    whole = F.concat_ws("", F.sort_array(F.collect_list("line")))
-    return lines.agg(F.sha2(whole, 256).alias("corpus_hash"))
+    return L.stream_digest(lines).withColumnRenamed("digest", "corpus_hash")
 
 
 # --- patterns ------------------------------------------------------------------------------------------------------
@@ -386,35 +385,15 @@ def clean_entities_interval(spark, sf_dir):
 @query(
     """
 select distinct tenant, entity from exposures
-where entity not in (select entity from exposures where tool = 'Brand#11')
+where entity not in (select entity from exposures where tool = 'Brand#11' and section = 'S1' and formation = '1-URGENT')
   and entity not in (select entity from losses where code = 'PROMO' and section = 'S4' and rig = 'NATION_6')
 """
 )
 def clean_entities_equipment(spark, sf_dir):
     lost = losses(spark, sf_dir).where("section = 'S4' and rig = 'NATION_6'")
-    return M.clean_of_equipment(exposures(spark, sf_dir), lost, "tool", "Brand#11", "PROMO")
-
-
-CLAIMS = """
-claims as (
-  select l_orderkey as claim, l_linenumber as line, s_suppkey as entity, p_type as code, l_shipdate::date as day,
-    (l_quantity + case when l_linenumber % 2 = 0 then 0 else 0.5 end)::decimal(18,1) as hours
-  from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey where l_orderkey % 3 = 0
-)
-"""
-
-
-@query(
-    f"""
-with {CLAIMS}
-select claim, line, entity, code, day, hours::double as hours from claims c
-where not exists (select 1 from losses l where l.entity = c.entity and l.day = c.day and l.code = c.code
-  and abs(l.hours - c.hours) <= 0.1)
-"""
-)
-def claims_without_record(spark, sf_dir):
-    claims = _claims(exposures(spark, sf_dir).where("report_id % 3 = 0"))
-    return M.without_recorded(claims, losses(spark, sf_dir)).withColumn("hours", F.col("hours").cast("double"))
+    rows = exposures(spark, sf_dir)
+    used = F.when(F.col("section").eqNullSafe("S1") & F.col("formation").eqNullSafe("1-URGENT"), F.col("tool"))
+    return M.clean_of_equipment(rows.withColumn("tool", used), lost, "tool", "Brand#11", "PROMO")
 
 
 def _claims(rows):
@@ -434,7 +413,7 @@ where not exists (select 1 from losses l where l.entity = c.entity and l.day = c
   and abs(l.hours - c.hours) <= 0.1)
 """
 )
-def claims_without_record_all(spark, sf_dir):
+def claims_without_record(spark, sf_dir):
     """The claims of every report."""
     claims = _claims(exposures(spark, sf_dir))
     return M.without_recorded(claims, losses(spark, sf_dir)).withColumn("hours", F.col("hours").cast("double"))
@@ -476,17 +455,6 @@ def hits_with_entries(spark, sf_dir):
     return M.entries_of(rows.where("code = 'PROMO' and depth > 995").select("report_id").distinct(), rows)
 
 
-@query(
-    """
-with i as (select tenant, code, section, formation, report_id, line, 'i|' || section || '|' || formation as a from losses),
-e as (select tenant, code, report_id, line, 'e|' || rig as b from losses)
-select a, b, count(*) as shared from i join e using (tenant, code, report_id, line) where tenant = 'ASIA' group by a, b
-"""
-)
-def pattern_overlap(spark, sf_dir):
-    return _overlap(losses(spark, sf_dir).where("tenant = 'ASIA'"))
-
-
 def _overlap(rows):
     left = rows.withColumn("candidate", F.concat_ws("|", F.lit("i"), "section", "formation"))
     right = rows.withColumn("candidate", F.concat_ws("|", F.lit("e"), "rig"))
@@ -500,25 +468,11 @@ e as (select tenant, code, report_id, line, 'e|' || rig as b from losses)
 select a, b, count(*) as shared from i join e using (tenant, code, report_id, line) group by a, b
 """
 )
-def pattern_overlap_all(spark, sf_dir):
+def pattern_overlap(spark, sf_dir):
     """The overlaps of every tenant's patterns."""
     return _overlap(losses(spark, sf_dir))
 
 
-@query(
-    """
-with f as (select entity, code, hours, count(*) as f from losses where report_id % 4 <> 0 group by all),
-t as (select entity, code, hours, count(*) as t from losses where report_id % 5 <> 0 group by all),
-b as (select coalesce(f, 0) as f, coalesce(t, 0) as t from f full join t using (entity, code, hours))
-select sum(least(f, t))::bigint as matched, sum(greatest(t - f, 0))::bigint as missed, sum(greatest(f - t, 0))::bigint as invented
-from b
-"""
-)
-def multiset_match(spark, sf_dir):
-    rows = losses(spark, sf_dir)
-    return M.multiset_match(rows.where("report_id % 4 <> 0"), rows.where("report_id % 5 <> 0"), ["entity", "code", "hours"])
-
-
 @query(
     """
 with f as (select entity, code, hours + case when report_id % 4 = 0 then 0.5 else 0 end as hours, count(*) as f from losses group by all),
@@ -528,7 +482,7 @@ select sum(least(f, t))::bigint as matched, sum(greatest(t - f, 0))::bigint as m
 from b
 """
 )
-def multiset_match_all(spark, sf_dir):
+def multiset_match(spark, sf_dir):
     """All losses on either side; some have other hours on one side."""
     rows = losses(spark, sf_dir)
 
@@ -574,7 +528,7 @@ select item_id, count(doc_id) as n_documents from b left join d on contains(d.t,
 def verbatim_citations(spark, sf_dir):
     quotes = table(spark, sf_dir, "benchmark").select("item_id", M.squeezed(F.col("text")).alias("q"))
     docs = table(spark, sf_dir, "documents").select("doc_id", M.squeezed(F.col("text")).alias("t"))
-    found = quotes.join(docs, F.contains("t", "q"), "left")
+    found = quotes.select("item_id").join(M.verbatim_matches(docs, quotes), "item_id", "left")
     return found.groupBy("item_id").agg(F.count("doc_id").alias("n_documents"))
 
 
@@ -711,12 +665,12 @@ select distinct w as word, case
   when len(w) > 4 and w like '%ies' then left(w, len(w) - 3) || 'y'
   when len(w) > 4 and regexp_matches(w, '(ss|sh|ch|x)es$') then left(w, len(w) - 2)
   when len(w) > 3 and w like '%s' and w not like '%ss' then left(w, len(w) - 1) else w end as stem
-from (select unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents where lang = 'en')
+from (select unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents)
 """,
     ledger=False,
 )
 def plural_fold(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1))).alias("word")).distinct()
     return words.withColumn("stem", X.singular(F.col("word")))
 
@@ -749,7 +703,7 @@ def first_number(spark, sf_dir):
 
 @query(
     r"""
-with s as (select doc_id, unnest(regexp_extract_all(text, '[^.\n]+')) as s from documents where lang = 'en')
+with s as (select doc_id, unnest(regexp_extract_all(text, '[^.\n]+')) as s from documents)
 select case when regexp_matches(lower(s), 'should|must|ensure|recommend|confirm|maintain|avoid|use ') then 'practice'
   when regexp_matches(lower(s), 'failed|failure|did not|was not|without|too late|insufficient|poor') then 'failure'
   else 'neutral' end as kind, count(*) as n
@@ -758,7 +712,7 @@ from s group by 1
     ledger=False,
 )
 def sentence_kinds(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     sentences = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"([^.\n]+)"), F.lit(1))).alias("s"))
     return sentences.groupBy(X.sentence_kind(F.col("s")).alias("kind")).agg(F.count("*").alias("n"))
 

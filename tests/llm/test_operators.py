@@ -205,14 +205,34 @@ def test_top_k_equals_brute_force(spark):
 
 def test_top_k_stops_early_and_stays_exact():
     rng = np.random.default_rng(1)
-    v = np.floor(rng.standard_normal((2000, 16)) ** 3 * 8).astype(np.int64)
-    q = v[:10]
-    for i, (at, score) in enumerate(TK.block_top_k(np.arange(10), q, np.arange(2000), v, 5)):
-        want = sorted((-int(s), j) for j, s in enumerate(v @ q[i]) if j != i)[:5]
-        assert list(zip((-score).tolist(), at.tolist())) == want
-    huge = v * (1 << 40)
-    (at, score), *_ = TK.block_top_k(np.arange(1), huge[:1], np.arange(50), huge[:50], 3)
-    assert len(at) == 3 and score.dtype == np.int64
+    nothing = np.full(10, -np.inf)
+    for shape in (lambda x: x**3 * 8, lambda x: x * 8):  # a few large components, and dense ones
+        v = np.floor(shape(rng.standard_normal((2000, 64))))
+        block = TK.Block.from_bytes(64, **TK.Block.of(np.arange(2000), v).to_bytes())
+        assert (block.vectors() == v).all()
+        found, work = block.top(np.arange(10), v[:10], 5, nothing)
+        for i, (at, score) in enumerate(found):
+            want = sorted((-int(s), j) for j, s in enumerate(v @ v[i]) if j != i)[:5]
+            assert list(zip((-score).tolist(), at.tolist())) == want
+        assert work < 0.9 * 10 * v.size  # a plain product takes all
+        sure = np.array([s[-1] for _, s in found], float)
+        again, less = block.top(np.arange(10), v[:10], 5, sure)
+        assert all((a[0] == b[0]).all() for a, b in zip(found, again)) and less <= 1.1 * work
+    huge = TK.Block.of(np.arange(50), v[:50] * 2.0**40)
+    ((at, score),), _ = huge.top(np.arange(1), v[:1] * 2.0**40, 3, nothing[:1])
+    want = sorted((-min(max(int(s) << 80, TK.LONG[0]), TK.LONG[1]), j) for j, s in enumerate(v[:50] @ v[0]) if j)[:3]
+    assert list(zip([-int(s) for s in score], at.tolist())) == want
+
+
+def test_blocks_that_cannot_reach_are_not_read():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((8, 16)) * 40
+    queries = np.floor(centres[:4])
+    limits = [TK.Block.of(np.arange(30), np.floor(c + rng.standard_normal((30, 16)))).bounds() for c in centres]
+    low, high, centre = (np.array([x[j] for x in limits]) for j in range(3))
+    bound = TK.best_possible(queries, low, high, centre, np.array([x[3] for x in limits]))
+    for q in range(4):
+        assert (bound[q, [b for b in range(8) if b != q]] < bound[q, q] - 500).all()
 
 
 def test_token_counts_equal_the_library(spark, docs, empty):

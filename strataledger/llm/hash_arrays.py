@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import mmap
 import os
 import sys
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -49,6 +53,11 @@ def from_bytes(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def size_of(data: bytes) -> int:
+    """How many numbers ``to_bytes`` packed."""
+    return int.from_bytes(data[:8], "little")
+
+
 def sorted_to_bytes(values: np.ndarray) -> bytes:
     """Ascending numbers by their differences."""
     return to_bytes(np.diff(values, prepend=np.uint64(0)))
@@ -67,22 +76,76 @@ def local_folder(uri: str) -> str:
 
 
 def save(folder: str, **arrays: np.ndarray) -> str:
-    """Write arrays under a name that no other attempt of a task uses; only names that a job returns are read."""
+    """Write arrays as one file, under a name that no other attempt of a task uses; only names that a job returns are
+    read. The file begins with the length of its directory and the directory: kind, start and length of each array."""
     os.makedirs(folder, exist_ok=True)
-    name = uuid.uuid4().hex
+    name, at, entries = uuid.uuid4().hex, 0, {}
     for key, values in arrays.items():
-        np.ascontiguousarray(values).tofile(os.path.join(folder, f"{name}-{key}.{values.dtype.str[1:]}"))
+        entries[key] = (values.dtype.str[1:], at, len(values))
+        at += -(-values.nbytes // 8) * 8
+    directory = json.dumps(entries).encode()
+    directory += b" " * (-(len(directory) + 8) % 8)
+    with open(os.path.join(folder, name), "wb") as file:
+        file.write(len(directory).to_bytes(8, "little") + directory)
+        for values in arrays.values():
+            raw = np.ascontiguousarray(values).tobytes()
+            file.write(raw + b"\0" * (-len(raw) % 8))
     return name
 
 
-def load(folder: str, name: str, key: str, kind: str) -> np.ndarray:
-    """An array as a memory map that keeps no file open; ``kind`` is its numpy type, as in ``u8``."""
-    path = os.path.join(folder, f"{name}-{key}.{kind}")
-    if not os.path.getsize(path):
-        return np.zeros(0, kind)
-    with open(path, "rb") as file:
-        untracked = {"trackfd": False} if sys.version_info >= (3, 13) else {}
-        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **untracked), kind)
+class MappedFiles:
+    """Arrays of a folder's files as memory maps; the file read longest ago is closed when more than ``most`` are open."""
+
+    def __init__(self, folder: str, most: int = 256) -> None:
+        self.folder, self.most = folder, most
+        self.open: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+
+    def __getstate__(self):
+        return self.folder, self.most
+
+    def __setstate__(self, state) -> None:
+        self.__init__(*state)
+
+    def _load(self, name: str) -> dict[str, np.ndarray]:
+        with open(os.path.join(self.folder, name), "rb") as file:
+            untracked = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+            whole = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **untracked), np.uint8)
+        start = 8 + int.from_bytes(whole[:8].tobytes(), "little")
+        entries = json.loads(whole[8:start].tobytes())
+        size = {key: np.dtype(kind).itemsize for key, (kind, _, _) in entries.items()}
+        return {key: whole[start + at : start + at + n * size[key]].view(kind) for key, (kind, at, n) in entries.items()}
+
+    def arrays(self, name: str) -> dict[str, np.ndarray]:
+        """The arrays of a file; a map ends once it is closed here and its arrays are gone."""
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            while len(self.open) >= self.most:
+                self.open.popitem(last=False)
+            self.open[name] = self._load(name)
+        return self.open[name]
+
+
+#: Ranges that what a task has counted is cut into; more shards than these are told apart in a second step.
+COARSE = 256
+
+
+def dealt(parts: DataFrame, shards: int, again: Callable, coarse: int | None = None) -> DataFrame:
+    """Rows ``shard, ...`` from rows whose ``shard`` is that of a range of up to ``shards / coarse`` shards.
+
+    A task that counts writes at most ``coarse`` rows each time, not one for each of the shards, whose number grows
+    with the input as that of the tasks does. Here each range meets in one partition, in order; ``again`` takes its
+    batches, and gives rows of the final shards whenever it has gathered enough.
+    """
+    coarse = coarse or COARSE
+    if shards <= coarse:
+        return parts
+    return parts.repartition(coarse, "shard").sortWithinPartitions("shard").mapInArrow(again, parts.schema)
+
+
+def width_of(shards: int, coarse: int | None = None) -> int:
+    """How many shards a range holds in what tasks write first."""
+    return -(-shards // (coarse or COARSE))
 
 
 class WordHashes(dict):

@@ -23,28 +23,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataledger.llm.hash_arrays import (
+    MappedFiles,
     WordHashes,
     chain,
+    dealt,
     find,
     from_bytes,
-    load,
     local_folder,
     mix,
     save,
+    size_of,
     sorted_from_bytes,
     sorted_to_bytes,
     sum_by_key,
     to_bytes,
     unique_counts,
+    width_of,
 )
-from strataledger.llm.storage import estimated_bytes, new_path, partitions_for, written
+from strataledger.llm.storage import estimated_bytes, new_path, partitions_for, remove, written, written_at
 from strataledger.llm.words import plain_words
 
 #: Shingles that a task gathers before it passes on what it has counted.
 GATHERED = 4_000_000
-#: Classes in a group, and queries that one task answers for it.
+#: Classes in a group, and queries that one task answers for it; and shingles of either, but for one set beyond it.
 GROUP_SIZE = 1024
 QUERY_SIZE = 2048
+MOST_SHINGLES = 8_000_000
 
 
 def shingle_set(words: WordHashes, text: str | None, size: int) -> np.ndarray:
@@ -64,50 +68,72 @@ def prefix_lengths(n: int, num: int, den: int) -> tuple[int, int]:
     return min(n, probe), max(1, min(n, index))
 
 
+def _parts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * 3
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "keys", "more"])
+
+
+def _edges(bits: int, shards: int) -> np.ndarray:
+    """Where equal ranges of hashes of so many bits begin, but for the first."""
+    return (np.arange(1, shards, dtype=np.float64) * (2.0**bits / shards)).astype(np.uint64)
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """Ascending keys and their counts, by range."""
+    cut = np.append(0, np.append(np.searchsorted(keys, edges), len(keys)))
+    return [
+        (k, sorted_to_bytes(keys[cut[k] : cut[k + 1]]), to_bytes(counts[cut[k] : cut[k + 1]] - 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist()
+    ]
+
+
+def _summed(keys: list[bytes], more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.concatenate([from_bytes(b) for b in more]) + np.uint64(1)
+    return sum_by_key(np.concatenate([sorted_from_bytes(b) for b in keys]), counts)
+
+
 def _shared_shingles(docs: DataFrame, size: int) -> tuple[str, list[str], int, int]:
     """Sorted files of the shingles that more than one row has; folder, names by shard, shards, bits of the hash."""
     spark = docs.sparkSession
     shards = 2 * partitions_for(docs, 8 << 20)
     bits = min(62, max(40, estimated_bytes(docs).bit_length() + 11))
     folder = local_folder(new_path(spark, "shared-shingles"))
+    edges, width = _edges(bits, shards), width_of(shards)
+    coarse = edges[width - 1 :: width]
 
     def count(batches):
         words, held, n = WordHashes(), [], 0
-        edges = (np.arange(1, shards, dtype=np.float64) * (2.0**bits / shards)).astype(np.uint64)
-
-        def parts():
-            values, counts = unique_counts(np.concatenate(held) >> np.uint64(64 - bits))
-            cut = np.append(0, np.append(np.searchsorted(values, edges), len(values)))
-            for k in range(shards):
-                own = slice(cut[k], cut[k + 1])
-                if cut[k] < cut[k + 1]:
-                    yield k, sorted_to_bytes(values[own]), to_bytes(counts[own] - 1)
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                names=["shard", "keys", "more"],
-            )
-
         for batch in batches:
             for text in batch.column(0):
                 held.append(shingle_set(words, text.as_py(), size))
                 n += len(held[-1])
                 if n >= GATHERED:
-                    yield batch_of(list(parts()))
+                    yield _parts_batch(_cut(*unique_counts(np.concatenate(held) >> np.uint64(64 - bits)), coarse))
                     held, n = [], 0
         if n:
-            yield batch_of(list(parts()))
+            yield _parts_batch(_cut(*unique_counts(np.concatenate(held) >> np.uint64(64 - bits)), coarse))
+
+    def again(batches):
+        held, n, before = ([], []), 0, None
+        for batch in batches:
+            for shard, keys, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n and (shard != before or n >= GATHERED):
+                    yield _parts_batch(_cut(*_summed(*held), edges))
+                    held, n = ([], []), 0
+                held[0].append(keys)
+                held[1].append(more)
+                n, before = n + size_of(keys), shard
+        if n:
+            yield _parts_batch(_cut(*_summed(*held), edges))
 
     def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([sorted_from_bytes(b) for b in table["keys"].to_pylist()])
-        more = np.concatenate([from_bytes(b) for b in table["more"].to_pylist()])
-        keys, n = sum_by_key(keys, more + np.uint64(1))
+        keys, n = _summed(table["keys"].to_pylist(), table["more"].to_pylist())
         kept = n > 1
         name = save(folder, keys=keys[kept], n=np.minimum(n[kept], (1 << 32) - 1).astype(np.uint32))
         return pa.table({"shard": table["shard"][:1], "name": [name]}, schema=pa.schema([("shard", pa.int32()), ("name", pa.string())]))
 
-    counted = docs.select("text").mapInArrow(count, "shard int, keys binary, more binary")
+    counted = dealt(docs.select("text").mapInArrow(count, "shard int, keys binary, more binary"), shards, again)
     files = written(counted.groupBy("shard").applyInArrow(merge, "shard int, name string"), "shared-shingle-files")
     names = {r.shard: r.name for r in files.collect()}  # one row per shard
     return folder, [names.get(k) for k in range(shards)], shards, bits
@@ -117,9 +143,7 @@ class SharedShingles:
     """Numbers of rows by shingle, from the files."""
 
     def __init__(self, folder: str, names: list[str | None], shards: int, bits: int) -> None:
-        self.folder, self.names, self.bits = folder, names, bits
-        self.edges = (np.arange(1, shards, dtype=np.float64) * (2.0**bits / shards)).astype(np.uint64)
-        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.files, self.names, self.bits, self.edges = MappedFiles(folder), names, bits, _edges(bits, shards)
 
     def rows(self, shingles: np.ndarray) -> np.ndarray:
         """For ascending shingles: how many rows have each; 1 stands for one alone."""
@@ -127,12 +151,10 @@ class SharedShingles:
         out = np.ones(len(wanted), np.int64)
         cut = np.append(0, np.append(np.searchsorted(wanted, self.edges), len(wanted)))
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            name = self.names[k]
-            if name is None:
+            if self.names[k] is None:
                 continue
-            if k not in self.open:
-                self.open[k] = (load(self.folder, name, "keys", "u8"), load(self.folder, name, "n", "u4"))
-            keys, n = self.open[k]
+            arrays = self.files.arrays(self.names[k])
+            keys, n = arrays["keys"], arrays["n"]
             own = slice(cut[k], cut[k + 1])
             at = find(keys, wanted[own])
             out[own] = np.where(at >= 0, n[np.maximum(at, 0)] if len(n) else 1, 1)
@@ -231,7 +253,8 @@ def _answer(num: int, den: int):
 
 def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
     """Edges ``a, b`` that connect what is linked, and rows ``a, links`` whose sums are numbers of linked rows."""
-    sizes = classes.groupBy("near").agg(F.ceil(F.count("*") / GROUP_SIZE).alias("parts"), F.count("*").alias("alike"))
+    parts = F.greatest(F.ceil(F.count("*") / GROUP_SIZE), F.ceil(F.sum("n") / MOST_SHINGLES))
+    sizes = classes.groupBy("near").agg(parts.alias("parts"), F.count("*").alias("alike"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     grouped = classes.join(sizes, "near").withColumn("group", F.xxhash64("near", part))
     grouped = written(grouped.drop("parts"), "shingle-groups")
@@ -240,9 +263,10 @@ def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
     probes = grouped.select("node", "n", F.col("group").alias("own"), "alike", F.explode("rare").alias("token"))
     fits = (F.col("least") <= F.col("n")) & (F.col("most") * den >= F.col("n") * num)
     alone = (F.col("group") == F.col("own")) & (F.col("alike") == 1)
-    asks = probes.join(matrix, "token").where(fits & ~alone).select("node", "group").distinct()
+    asks = probes.join(matrix, "token").where(fits & ~alone).select("node", "n", "group").distinct()
     asks = written(asks, "shingle-asks")
-    tasks = asks.groupBy("group").agg(F.ceil(F.count("*") / QUERY_SIZE).alias("turns"))
+    turns = F.greatest(F.ceil(F.count("*") / QUERY_SIZE), F.ceil(F.sum("n") / MOST_SHINGLES))
+    tasks = asks.groupBy("group").agg(turns.alias("turns"))
     tasks = written(tasks, "shingle-tasks")
     members = (
         grouped.select("group", "node", "n", "set", "copies")
@@ -265,35 +289,29 @@ def _links(classes: DataFrame, num: int, den: int) -> DataFrame:
     return written(answers, "shingle-links")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``): the least node of its component.
 
-    Large-star and small-star steps alternate until nothing changes; it is an error if they still change things in the
-    last of ``rounds``. Every step is written, so a lost executor costs
-    no more than a step.
+    Large-star and small-star steps alternate until nothing changes. Every step is written, so a lost executor costs no
+    more than a step; the step before is deleted once the next stands.
     """
-    edges = written(edges.where(F.col("a") != F.col("b")).distinct(), "stars")
+    edges, path = written_at(edges.where(F.col("a") != F.col("b")).distinct(), "stars")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
-        edges = written(small.toDF("a", "b"), "stars")
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = large.join(least, "u").select(F.inline(pairs)).where(F.col("u") != F.col("v")).distinct()
+        edges, after = written_at(small.toDF("a", "b"), "stars")
+        remove(edges.sparkSession, path)
+        path = after
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(mark) == before:
             break
         before = tuple(mark)
-    else:
-        raise RuntimeError(f"components still changed in round {rounds}")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 

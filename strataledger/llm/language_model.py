@@ -6,7 +6,7 @@ folder of sorted hash arrays, one set of files for each shard, which the scoring
 * ``words``: 64-bit hashes of words and their counts;
 * ``pairs``: 64-bit hashes of bigrams and their counts, and for each context how many successors it has once, twice,
   and in all;
-* ``ends``: 40-bit hashes of words and in how many contexts each occurs.
+* ``ends``: 64-bit hashes of words and in how many contexts each occurs.
 
 A bigram belongs to the shard of its context. A context that holds a large part of all tokens is spread over many
 shards by its successor; the numbers of these few contexts are summed on the driver.
@@ -23,19 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataledger.llm.hash_arrays import (
+    MappedFiles,
     WordHashes,
     chain,
+    dealt,
     find,
     from_bytes,
-    load,
     local_folder,
     mix,
     save,
+    size_of,
     sorted_from_bytes,
     sorted_to_bytes,
     sum_by_key,
     to_bytes,
     unique_counts,
+    width_of,
 )
 from strataledger.llm.storage import new_path, partitions_for, written
 from strataledger.llm.subword_classifier import fold
@@ -45,8 +48,9 @@ from strataledger.llm.words import plain_words
 START, END = b" start", b" end"
 #: Tokens that a task gathers before it passes on what it has counted.
 GATHERED = 3_000_000
-SHORT = np.uint64(24)  # what a 40-bit hash drops
 SPREAD = 64
+#: Files of the model that a worker keeps open.
+OPEN_FILES = 4096
 EMPTY = np.zeros(0, np.uint64)
 PARTS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("ends", pa.binary())])
 PARTS_DDL = "kind string, shard int, keys binary, more binary, ends binary"
@@ -60,8 +64,9 @@ def parts_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PARTS, strict=True)], schema=PARTS)
 
 
-def edges_of(bits: int, shards: int) -> np.ndarray:
-    return (np.arange(1, shards, dtype=np.float64) * (2.0**bits / shards)).astype(np.uint64)
+def edges_of(shards: int) -> np.ndarray:
+    """Where equal ranges of 64-bit hashes begin, but for the first."""
+    return (np.arange(1, shards, dtype=np.float64) * (2.0**64 / shards)).astype(np.uint64)
 
 
 def cuts(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -84,8 +89,22 @@ def token_batches(batches, gathered: int = GATHERED):
         yield held, words
 
 
+def gathered_rows(batches):
+    """Rows of one kind and shard in a row, until they hold as many numbers as a task gathers."""
+    rows, n = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and (row["shard"] != rows[-1]["shard"] or n >= GATHERED):
+                yield rows[0]["kind"], rows
+                rows, n = [], 0
+            rows.append(row)
+            n += size_of(row["keys"])
+    if rows:
+        yield rows[0]["kind"], rows
+
+
 def shard_of(context: np.ndarray, successor: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of a bigram of 40-bit hashes; ``hot`` ascends."""
+    """The shard of a bigram of hashes; ``hot`` ascends."""
     spread = np.where(find_any(hot, context), successor % np.uint64(SPREAD) + np.uint64(1), np.uint64(0))
     return (mix(context ^ (spread << np.uint64(44))) % np.uint64(shards)).astype(np.int64)
 
@@ -120,63 +139,58 @@ class Model:
     end_discounts: tuple[float, float, float]
     end_ones: tuple[int, int, int]
     rows: int
-    _open: dict = field(default_factory=dict)
+    files: MappedFiles = field(init=False)
 
-    def array(self, names: list[str | None], shard: int, key: str, kind: str) -> np.ndarray:
-        name = names[shard]
-        if name is None:
-            return np.zeros(0, kind)
-        if (name, key) not in self._open:
-            self._open[name, key] = load(self.folder, name, key, kind)
-        return self._open[name, key]
+    def __post_init__(self) -> None:
+        self.files = MappedFiles(self.folder, OPEN_FILES)
 
     @cached_property
     def hot_keys(self) -> np.ndarray:
         return np.array(sorted(self.hot), np.uint64)
 
-    def by_range(self, names, bits: int, keys: np.ndarray, column: str, kind: str) -> np.ndarray:
-        """Values of ascending keys; 0 where a key is unknown."""
+    def by_range(self, names: list[str | None], keys: np.ndarray) -> np.ndarray:
+        """Counts of ascending keys; 0 where a key is unknown."""
         out = np.zeros(len(keys), np.int64)
-        cut = cuts(keys, edges_of(bits, self.shards))
+        cut = cuts(keys, edges_of(self.shards))
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            at = find(self.array(names, k, "keys", "u8"), keys[cut[k] : cut[k + 1]])
-            values = self.array(names, k, column, kind)
-            out[cut[k] : cut[k + 1]][at >= 0] = values[at[at >= 0]]
+            if names[k] is not None:
+                arrays = self.files.arrays(names[k])
+                at = find(arrays["keys"], keys[cut[k] : cut[k + 1]])
+                out[cut[k] : cut[k + 1]][at >= 0] = arrays["n"][at[at >= 0]]
         return out
 
-    def pair_counts(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        shard = shard_of(context, successor, self.hot_keys, self.shards)
-        keys = chain(context, successor)
+    def _by_shard(self, shard: np.ndarray, keys: np.ndarray):
+        """Places of the keys of each shard, in order of the keys, with its arrays."""
         order = np.lexsort((keys, shard))
-        out, cut = np.zeros(len(keys), np.int64), np.searchsorted(shard[order], np.arange(self.shards + 1))
+        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            own = order[cut[k] : cut[k + 1]]
-            at = find(self.array(self.pairs, k, "keys", "u8"), keys[own])
+            if self.pairs[k] is not None:
+                yield order[cut[k] : cut[k + 1]], self.files.arrays(self.pairs[k])
+
+    def pair_counts(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        keys, out = chain(context, successor), np.zeros(len(context), np.int64)
+        for own, arrays in self._by_shard(shard_of(context, successor, self.hot_keys, self.shards), keys):
+            at = find(arrays["keys"], keys[own])
             own, at = own[at >= 0], at[at >= 0]
-            n = self.array(self.pairs, k, "n", "u1")[at].astype(np.int64)
+            n = arrays["n"][at].astype(np.int64)
             large = n == 255
             if large.any():
-                where = find(self.array(self.pairs, k, "big_at", "u8"), at[large].astype(np.uint64))
-                n[large] = self.array(self.pairs, k, "big_n", "u8")[where]
+                n[large] = arrays["big_n"][find(arrays["big_at"], at[large].astype(np.uint64))]
             out[own] = n
         return out
 
     def successors(self, context: np.ndarray) -> np.ndarray:
-        """Rows of (once, twice, in all) for 40-bit contexts."""
+        """Rows of (once, twice, in all) for contexts."""
         out = np.zeros((len(context), 3), np.int64)
         hot = find_any(self.hot_keys, context)
         for k in np.flatnonzero(hot).tolist():
             out[k] = self.hot[int(context[k])]
-        shard = shard_of(context, context, EMPTY, self.shards)
-        order = np.lexsort((context, shard))
-        cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            own = order[cut[k] : cut[k + 1]]
+        for own, arrays in self._by_shard(shard_of(context, context, EMPTY, self.shards), context):
             own = own[~hot[own]]
-            at = find(self.array(self.pairs, k, "contexts", "u8"), context[own])
+            at = find(arrays["contexts"], context[own])
             own, at = own[at >= 0], at[at >= 0]
             for j, column in enumerate(("once", "twice", "all")):
-                out[own, j] = self.array(self.pairs, k, column, "u4")[at]
+                out[own, j] = arrays[column][at]
         return out
 
 
@@ -190,24 +204,34 @@ def train(docs: DataFrame) -> Model:
     texts = docs.select("text")
     shards = partitions_for(docs, 8 << 20)
     folder = local_folder(new_path(spark, "language-model"))
-    word_edges, end_edges = edges_of(64, shards), edges_of(40, shards)
+    edges, width = edges_of(shards), width_of(shards)
+    coarse = edges[width - 1 :: width]
+
+    def counts(kind, keys, n, edges):
+        """Counts of ascending keys, by range."""
+        cut = cuts(keys, edges)
+        return [
+            (kind, k, sorted_to_bytes(keys[cut[k] : cut[k + 1]]), to_bytes(n[cut[k] : cut[k + 1]] - 1), None)
+            for k in np.flatnonzero(np.diff(cut)).tolist()
+        ]
+
+    def summed(keys, more):
+        n = np.concatenate([from_bytes(b) for b in more]) + np.uint64(1)
+        return sum_by_key(np.concatenate([sorted_from_bytes(b) for b in keys]), n)
+
+    def counts_again(batches):
+        for kind, rows in gathered_rows(batches):
+            yield parts_batch(counts(kind, *summed([r["keys"] for r in rows], [r["more"] for r in rows]), edges))
 
     def count_words(batches):
         for held, words in token_batches(batches):
             n = np.bincount(np.concatenate(held), minlength=len(words))
-            order = np.argsort(words.table[: len(words)])
-            keys, n = words.table[: len(words)][order], n[order]
-            cut = cuts(keys, word_edges)
-            yield parts_batch(
-                [
-                    ("words", k, sorted_to_bytes(keys[cut[k] : cut[k + 1]]), to_bytes(n[cut[k] : cut[k + 1]]), None)
-                    for k in np.flatnonzero(np.diff(cut)).tolist()
-                ]
-            )
+            used = np.flatnonzero(n)
+            order = used[np.argsort(words.table[used])]
+            yield parts_batch(counts("words", words.table[order], n[order], coarse))
 
     def merge_words(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([sorted_from_bytes(b) for b in table["keys"].to_pylist()])
-        keys, n = sum_by_key(keys, np.concatenate([from_bytes(b) for b in table["more"].to_pylist()]))
+        keys, n = summed(table["keys"].to_pylist(), table["more"].to_pylist())
         start = keys == START_HASH
         rows = int(n[start].sum())
         large = np.argsort(n)[-64:]
@@ -229,44 +253,52 @@ def train(docs: DataFrame) -> Model:
         )
 
     merged = (
-        texts.mapInArrow(count_words, PARTS_DDL)
+        dealt(texts.mapInArrow(count_words, PARTS_DDL), shards, counts_again)
         .groupBy("shard")
         .applyInArrow(merge_words, "shard int, name string, tokens long, types long, rows long, large binary, large_n binary")
     )
     by_word = {r.shard: r for r in written(merged, "lm-words").collect()}  # one row per shard
     tokens = sum(r.tokens for r in by_word.values())
     frequent = [
-        key >> int(SHORT)
+        key
         for r in by_word.values()
         for key, n in zip(np.frombuffer(r.large, "<u8").tolist(), np.frombuffer(r.large_n, "<u8").tolist(), strict=True)
         if n * 8 * shards > tokens
     ]
     hot = np.array(sorted(set(frequent)), np.uint64)
 
-    def count_pairs(batches):
-        for held, words in token_batches(batches):
-            codes = np.concatenate([h[:-1] << 32 | h[1:] for h in held])
-            codes, n = unique_counts(codes)
-            table = words.table >> SHORT
-            context, successor = table[codes >> 32], table[codes & 0xFFFFFFFF]
-            shard = shard_of(context, successor, hot, shards)
-            order = np.lexsort((successor, context, shard))
-            context, successor, n = context[order], successor[order], n[order]
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                own = slice(cut[k], cut[k + 1])
-                rows.append(("pairs", k, sorted_to_bytes(context[own]), to_bytes(n[own] - 1), to_bytes(successor[own])))
-            yield parts_batch(rows)
+    def pair_rows(context, successor, n, width):
+        """Counts of bigrams, by ``width`` shards."""
+        shard = shard_of(context, successor, hot, shards) // width
+        order = np.lexsort((successor, context, shard))
+        context, successor, n, shard = context[order], successor[order], n[order], shard[order]
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist() if len(shard) else []
+        return [
+            ("pairs", int(shard[a]), sorted_to_bytes(context[a:b]), to_bytes(n[a:b] - 1), to_bytes(successor[a:b]))
+            for a, b in zip(cut, [*cut[1:], len(shard)], strict=True)
+        ]
 
-    def merge_pairs(table: pa.Table) -> pa.Table:
-        context = np.concatenate([sorted_from_bytes(b) for b in table["keys"].to_pylist()])
-        successor = np.concatenate([from_bytes(b) for b in table["ends"].to_pylist()])
-        n = np.concatenate([from_bytes(b) for b in table["more"].to_pylist()]) + np.uint64(1)
+    def summed_pairs(rows):
+        """Bigrams of several rows, in order, with the sums of their counts."""
+        context = np.concatenate([sorted_from_bytes(r["keys"]) for r in rows])
+        successor = np.concatenate([from_bytes(r["ends"]) for r in rows])
+        n = np.concatenate([from_bytes(r["more"]) for r in rows]) + np.uint64(1)
         order = np.lexsort((successor, context))
         context, successor, n = context[order], successor[order], n[order]
         first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])))
-        context, successor, n = context[first], successor[first], np.add.reduceat(n, first)
+        return context[first], successor[first], np.add.reduceat(n, first)
+
+    def pairs_again(batches):
+        for _, rows in gathered_rows(batches):
+            yield parts_batch(pair_rows(*summed_pairs(rows), 1))
+
+    def count_pairs(batches):
+        for held, words in token_batches(batches):
+            codes, n = unique_counts(np.concatenate([h[:-1] << 32 | h[1:] for h in held]))
+            yield parts_batch(pair_rows(words.table[codes >> 32], words.table[codes & 0xFFFFFFFF], n, width))
+
+    def merge_pairs(table: pa.Table) -> pa.Table:
+        context, successor, n = summed_pairs(table.to_pylist())
         contexts, once, twice, every = sum_by_key(
             context, (n == 1).astype(np.uint32), (n == 2).astype(np.uint32), np.ones(len(n), np.uint32)
         )
@@ -297,14 +329,10 @@ def train(docs: DataFrame) -> Model:
                 None,
             ),
         ]
-        ends, types = unique_counts(successor)
-        cut = cuts(ends, end_edges)
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            own = slice(cut[k], cut[k + 1])
-            rows.append(("ends", k, sorted_to_bytes(ends[own]), to_bytes(types[own] - 1), None))
-        return pa.Table.from_batches([parts_batch(rows)])
+        return pa.Table.from_batches([parts_batch([*rows, *counts("ends", *unique_counts(successor), coarse)])])
 
-    counted = texts.mapInArrow(count_pairs, PARTS_DDL).groupBy("shard").applyInArrow(merge_pairs, PARTS_DDL)
+    counted = dealt(texts.mapInArrow(count_pairs, PARTS_DDL), shards, pairs_again)
+    counted = counted.groupBy("shard").applyInArrow(merge_pairs, PARTS_DDL)
     counted = written(counted, "lm-pairs")
     about = counted.where(F.col("kind").isin("file", "hot")).select("kind", "shard", "keys", "more").collect()
     pairs, numbers, spread = {}, np.zeros(5, np.int64), {}
@@ -319,13 +347,13 @@ def train(docs: DataFrame) -> Model:
                 spread[key] = tuple(a + b for a, b in zip(spread.get(key, (0, 0, 0)), values, strict=True))
 
     def merge_ends(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([sorted_from_bytes(b) for b in table["keys"].to_pylist()])
-        keys, n = sum_by_key(keys, np.concatenate([from_bytes(b) for b in table["more"].to_pylist()]) + np.uint64(1))
+        keys, n = summed(table["keys"].to_pylist(), table["more"].to_pylist())
         numbers = np.array([*(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n)], "<u8")
         row = ("ends", table["shard"][0].as_py(), save(folder, keys=keys, n=n).encode(), numbers.tobytes(), None)
         return pa.Table.from_batches([parts_batch([row])])
 
-    ends = counted.where(F.col("kind") == "ends").groupBy("shard").applyInArrow(merge_ends, PARTS_DDL)
+    ends = dealt(counted.where(F.col("kind") == "ends"), shards, counts_again)
+    ends = ends.groupBy("shard").applyInArrow(merge_ends, PARTS_DDL)
     by_end, end_numbers = {}, np.zeros(5, np.int64)
     for r in written(ends, "lm-ends").select("shard", "keys", "more").collect():
         by_end[r.shard] = bytes(r["keys"]).decode()
@@ -353,11 +381,9 @@ def token_scores(model: Model, held: list[np.ndarray], words: WordHashes) -> tup
     table = words.table[: len(words)]
     order = np.argsort(table)
     count = np.empty(len(table), np.int64)
-    count[order] = model.by_range(model.words, 64, table[order], "n", "u8")
-    short = table >> SHORT
-    order = np.argsort(short)
+    count[order] = model.by_range(model.words, table[order])
     contexts = np.empty(len(table), np.int64)
-    contexts[order] = model.by_range(model.ends, 40, short[order], "n", "u8")
+    contexts[order] = model.by_range(model.ends, table[order])
     d = model.end_discounts
     left = sum(x * n for x, n in zip(d, model.end_ones, strict=True)) / max(1, model.pair_types)
     single = np.maximum(_cut_by(contexts, d), 0) / max(1, model.pair_types)
@@ -370,10 +396,10 @@ def token_scores(model: Model, held: list[np.ndarray], words: WordHashes) -> tup
     seen = np.where(table == END_HASH, 0, seen)  # nothing follows an end
     numbers = np.zeros((len(table), 3), np.int64)
     used = np.unique(before)
-    numbers[used] = model.successors(short[used])
+    numbers[used] = model.successors(table[used])
     d = model.pair_discounts
     weight = numbers @ np.array([d[0] - d[2], d[1] - d[2], d[2]])  # once, twice, and in all
-    n = model.pair_counts(short[before], short[after])
+    n = model.pair_counts(table[before], table[after])
     known = seen[before]
     mixed = (np.maximum(_cut_by(n, d), 0) + weight[before] * single[after]) / np.maximum(known, 1)
     p = np.log10(np.where(known > 0, mixed, single[after]))[inverse]

@@ -1,51 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Sizes of tables, and intermediate tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset and the master is local."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="strataledger-")
-    return _own_dirs[app]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended already; the folder belongs to the cluster's cleaner
-        pass
-
+from strataledger.sources.storage import new_path, remove, shared_dir, written, written_at
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a written table: lineage is cut, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["estimated_bytes", "new_path", "partitions_for", "remove", "shared_dir", "shuffle_partitions", "written", "written_at"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

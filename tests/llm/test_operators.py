@@ -1,6 +1,7 @@
 """Operators of the training-data pipeline against brute force, on tables with every odd case."""
 
 import hashlib
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -159,11 +160,31 @@ def test_one_of_each_keeps_one_row_of_null_and_repeated_ids(spark):
     assert found == Counter([(None, a[:20]), (1, b[:20]), (2, c[:20]), (1, d[:20]), (3, e[:20]), (None, ""), (4, "")])
 
 
-def test_components_are_whole_or_an_error(spark):
+def test_components_are_whole(spark):
     path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
     assert {(r.node, r.root) for r in J.components(path).collect()} == {(k, 0) for k in range(41)}
-    with pytest.raises(RuntimeError):
-        J.components(path, rounds=1)
+
+
+def test_few_maps_serve_many_files(tmp_path):
+    names = [H.save(str(tmp_path), keys=np.arange(k, k + 5, dtype=np.uint64)) for k in range(3000)]
+    files = pickle.loads(pickle.dumps(H.MappedFiles(str(tmp_path), most=20)))
+    before = len(open("/proc/self/maps").readlines())
+    for k in [*range(3000), *range(0, 3000, 7)]:
+        assert files.arrays(names[k])["keys"][0] == k
+    assert len(files.open) == 20 and len(open("/proc/self/maps").readlines()) < before + 100
+
+
+def test_counts_are_dealt_in_two_steps(spark, docs, monkeypatch):
+    plain_links, plain_scores = J.jaccard_components(docs).collect(), LM.score_documents(docs).collect()
+    monkeypatch.setattr(H, "COARSE", 2)
+    for module in (J, LM):
+        monkeypatch.setattr(module, "partitions_for", lambda *_: 11)
+        monkeypatch.setattr(module, "GATHERED", 50)
+    assert sorted(map(tuple, J.jaccard_components(docs).collect())) == sorted(map(tuple, plain_links))
+    again = {r.doc_id: r for r in LM.score_documents(docs).collect()}
+    for r in plain_scores:
+        assert again[r.doc_id][:5] == r[:5] and again[r.doc_id].score == pytest.approx(r.score)
+        assert again[r.doc_id].base_score == pytest.approx(r.base_score)
 
 
 def test_jaccard_opens_split_groups(spark, monkeypatch):
@@ -375,7 +396,8 @@ def test_hash_arrays(tmp_path):
     for values in (np.zeros(0, np.uint64), rng.integers(0, 2**64, 1000, dtype=np.uint64), np.arange(5, dtype=np.uint64)):
         assert (H.from_bytes(H.to_bytes(values)) == values).all()
         assert (H.sorted_from_bytes(H.sorted_to_bytes(np.sort(values))) == np.sort(values)).all()
-        name = H.save(str(tmp_path), keys=values)
-        assert (H.load(str(tmp_path), name, "keys", "u8") == values).all()
+        name = H.save(str(tmp_path), keys=values, n=np.arange(3, dtype=np.uint8))
+        arrays = H.MappedFiles(str(tmp_path)).arrays(name)
+        assert (arrays["keys"] == values).all() and arrays["n"].tolist() == [0, 1, 2]
     with pytest.raises(ValueError):
         H.local_folder("hdfs://host/path")

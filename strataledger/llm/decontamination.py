@@ -7,9 +7,8 @@ patterns by their last block. A block that no pattern holds lets the search skip
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,19 +18,20 @@ from pyspark.sql import types as T
 from strataledger.llm.storage import written
 from strataledger.llm.words import alnum_words
 
-#: Benchmark text that one set of tables may hold; more is searched in several passes.
-TABLE_BYTES = 32 << 20
+#: Windows that one set of tables may hold; more are searched in several passes.
+MOST_WINDOWS = 200_000
+#: Windows that one row of a cut benchmark holds, so a long item is spread over passes.
+PIECE_WINDOWS = 10_000
 
 
 class WindowIndex:
-    """Tables for the windows of some benchmark items."""
+    """Tables for the windows of pieces of benchmark items: the item, the length of its windows, and words."""
 
-    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = 10) -> None:
+    def __init__(self, pieces: Iterable[tuple[str | None, int, bytes]]) -> None:
         patterns: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = alnum_words(text)
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
+        for item, m, text in pieces:
+            words = text.split(b" ")
+            for i in range(len(words) - m + 1):
                 patterns[m][tuple(words[i : i + m])].add(item)
         self.tables = []
         for m, by_words in sorted(patterns.items()):
@@ -75,15 +75,36 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, table_bytes: int) -> Iterator:
-    """A broadcast index for each part of the benchmark that fits ``table_bytes``."""
+def cut_items(benchmark: DataFrame, window: int) -> DataFrame:
+    """``item, m, windows, words`` of pieces of items: ``m`` words make a window, and a piece holds some windows."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = alnum_words(text.as_py())
+                m = min(window, len(words))
+                n = len(words) - m + 1 if m else 0
+                for a in range(0, n, PIECE_WINDOWS):
+                    own = min(PIECE_WINDOWS, n - a)
+                    rows.append((item, m, own, b" ".join(words[a : a + own + m - 1])))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["item", "m", "windows", "words"]
+            )
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = total // table_bytes + 1
-    for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
-        index = WindowIndex(((r.item, r.text) for r in part.toLocalIterator()), window)
-        yield docs.sparkSession.sparkContext.broadcast(index)
+    return items.mapInArrow(run, "item string, m int, windows long, words binary")
+
+
+def _passes(benchmark: DataFrame, window: int, most_windows: int) -> list[DataFrame]:
+    """The pieces of the benchmark, in parts of about ``most_windows``."""
+    pieces = written(cut_items(benchmark, window), "benchmark-pieces")
+    total = pieces.agg(F.sum("windows")).first()[0] or 0
+    parts = -(-total // most_windows) or 1
+    part = F.pmod(F.xxhash64("item", "words"), F.lit(parts))
+    return [pieces.where(part == k) if parts > 1 else pieces for k in range(parts)]
 
 
 def _scan(docs: DataFrame, index, extra: T.StructType) -> DataFrame:
@@ -130,20 +151,23 @@ _FOUND = T.StructType(
 
 
 def find_windows(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, table_bytes: int = TABLE_BYTES
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, most_windows: int = MOST_WINDOWS
 ) -> DataFrame:
     """``docs`` with ``__words``, ``__spans`` (flat: start, end, start, ...) and ``__items`` (sorted strings).
 
     Null and empty texts have no words and no spans. Items without words have no windows; a null item_id gives
-    spans but no name. Repeated rows are searched each for itself. A benchmark of more than ``table_bytes`` is
-    searched in several passes, each written out, so the tables in memory keep that bound.
+    spans but no name. Repeated rows are searched each for itself. A benchmark of more than ``most_windows`` windows is
+    searched in several passes. Each but the last is written out and its tables destroyed before the next are built,
+    so driver and workers never hold the tables of more than one pass.
     """
-    out = docs
-    indexes = list(_passes(docs, benchmark, window, table_bytes))
-    for k, index in enumerate(indexes):
+    context, out = docs.sparkSession.sparkContext, docs
+    parts = _passes(benchmark, window, most_windows)
+    for k, pieces in enumerate(parts):
+        index = context.broadcast(WindowIndex((r.item, r.m, bytes(r.words)) for r in pieces.toLocalIterator()))
         out = _scan(out, index, _FOUND)
-        if k + 1 < len(indexes):
+        if k + 1 < len(parts):
             out = written(out, "windows")
+            index.destroy()
     return out
 
 
@@ -167,23 +191,3 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` in which no window occurs, with their own columns."""
     return find_windows(docs, benchmark, **options).where(F.size("__spans") == 0).select(*docs.columns)
-
-
-def brute_force(
-    docs: Iterable[tuple], items: Iterable[tuple], window: int = 10
-) -> list[tuple[int, int, int, int, str, bool]]:
-    """The same rows by comparing every window with every position; for tests."""
-    out, items = [], list(items)
-    for doc_id, text in docs:
-        words, hit, names = alnum_words(text), set(), set()
-        for item, passage in items:
-            pattern = alnum_words(passage)
-            m = min(window, len(pattern))
-            windows = {tuple(pattern[i : i + m]) for i in range(len(pattern) - m + 1)} if m else set()
-            for i in range(len(words) - m + 1):
-                if tuple(words[i : i + m]) in windows:
-                    hit.update(range(i, i + m))
-                    names.add(str(item))
-        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-        out.append((doc_id, len(words), len(hit), len(names), digest, bool(hit)))
-    return out

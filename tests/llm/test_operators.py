@@ -3,6 +3,7 @@
 import hashlib
 import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import brute
+
 from strataledger.llm import decontamination as D
 from strataledger.llm import hash_arrays as H
 from strataledger.llm import jaccard_join as J
@@ -107,15 +110,16 @@ def test_warc_round_trip(spark):
     assert WA.record_index(WA.read_records(spark, empty)).count() == 0
 
 
-@pytest.mark.parametrize("table_bytes", [32 << 20, 200])
-def test_decontamination_equals_brute_force(spark, docs, empty, table_bytes):
+@pytest.mark.parametrize("most_windows", [200_000, 30])
+def test_decontamination_equals_brute_force(spark, docs, empty, most_windows, monkeypatch):
+    monkeypatch.setattr(D, "PIECE_WINDOWS", 7)
     source = texts()
     items = [("i1", source[0]), ("i2", "alpha beta gamma"), (None, source[40]), ("i3", None), ("i4", "..."), ("i2", source[41]), ("i5", "one")]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
-    found = D.contamination(docs, benchmark, table_bytes=table_bytes).collect()
+    found = D.contamination(docs, benchmark, most_windows=most_windows).collect()
     named = [(i, t) for i, t in items if i is not None]
-    want = {r[0]: r for r in D.brute_force(enumerate(source), named)}
-    hits = {r[0]: r for r in D.brute_force(enumerate(source), items)}
+    want = {r[0]: r for r in brute.contamination(enumerate(source), named)}
+    hits = {r[0]: r for r in brute.contamination(enumerate(source), items)}
     for r in found:
         assert (r.n_words, r.n_items, r.items_sha256) == (want[r.doc_id][1], want[r.doc_id][3], want[r.doc_id][4])
         assert (r.n_hit, r.contaminated) == (hits[r.doc_id][2], hits[r.doc_id][5])
@@ -126,6 +130,17 @@ def test_decontamination_equals_brute_force(spark, docs, empty, table_bytes):
     assert D.contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_tables_of_a_pass_are_bounded():
+    rng = random.Random(7)
+    words = [a + b + c for a in WORDS for b in WORDS for c in WORDS[:5]]
+    piece = " ".join(rng.choices(words, k=D.PIECE_WINDOWS + 9)).encode()
+    tracemalloc.start()
+    index = D.WindowIndex([("i", 10, piece)])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(index.tables[0][4]) and held * D.MOST_WINDOWS / D.PIECE_WINDOWS < 400e6
+
+
 @pytest.mark.parametrize(("size", "num", "den"), [(4, 85, 100), (5, 80, 100)])
 def test_jaccard_equals_brute_force(spark, docs, empty, size, num, den):
     sets = []

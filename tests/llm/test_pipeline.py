@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strataledger.llm import decontamination as D
+import brute
 from strataledger.llm import subword_classifier as S
 from strataledger.llm.queries import vocabulary
 from strataledger.llm.words import plain_words
@@ -82,7 +82,7 @@ def test_rows_of_a_run_equal_brute_force(spark, tmp_path):
         survivors += fit
     assert not +left
 
-    hits = D.brute_force([(k, r[1]) for k, r in enumerate(survivors)], items)
+    hits = brute.contamination([(k, r[1]) for k, r in enumerate(survivors)], items)
     clean = [r for r, h in zip(survivors, hits) if not h[5]]
     assert len(clean) < len(survivors)
 

@@ -24,7 +24,7 @@ REPEAT = " again "
 
 @dataclass(frozen=True)
 class Options:
-    """``sample_rows`` and ``max_chars`` bound what the driver gathers: that many labelled rows, none longer."""
+    """``sample_rows`` bounds what the driver gathers: the words and counts of that many labelled rows, of any length."""
 
     bits: int = 18
     dim: int = 4
@@ -40,7 +40,6 @@ class Options:
     batch: int = 32
     seed: int = 7
     sample_rows: int = 4000
-    max_chars: int = 60_000
     cache_words: int = 250_000
 
 
@@ -70,7 +69,7 @@ def features(words: Sequence[str], options: Options) -> tuple[np.ndarray, np.nda
     rolling = flat * base
     for n in range(2, options.longest + 1):
         shifted = np.zeros_like(flat)
-        shifted[: len(flat) - n + 1] = flat[n - 1 :]
+        shifted[: max(0, len(flat) - n + 1)] = flat[n - 1 :]
         rolling = (rolling ^ (rolling >> np.uint64(29))) * base + shifted
         if n >= options.shortest:
             whole = left >= n
@@ -120,15 +119,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def _rows(texts: Iterable[str | None], options: Options):
+def _rows(texts: Iterable[Counter], options: Options):
     """Documents as sparse rows: row starts, columns, weights; and the bucket of each column.
 
     Columns are the buckets of at least ``options.min_docs`` documents: what fewer share can only be learned by heart.
     """
     ids: dict[str, int] = {}
     docs = []
-    for text in texts:
-        counts = tokens(text, options)
+    for counts in texts:
         index = np.fromiter((ids.setdefault(w, len(ids)) for w in counts), np.int32, len(counts))
         docs.append((index, np.fromiter(counts.values(), np.float32, len(counts))))
     parts, sizes, words = [], [], list(ids)
@@ -162,8 +160,8 @@ def _rows(texts: Iterable[str | None], options: Options):
     return np.array(rows), np.concatenate(cols), np.concatenate(vals), used
 
 
-def train(texts: Sequence[str | None], labels: Sequence[int], options: Options) -> Model:
-    """Learn vectors and softmax by stochastic gradient descent with a rate per bucket.
+def train(texts: Sequence[Counter], labels: Sequence[int], options: Options) -> Model:
+    """Learn from the words of texts with their counts: vectors and softmax by stochastic gradient descent with a rate per bucket.
 
     A bucket's vector leaves its random start only as far as the sum of its gradients exceeds ``doubt`` times the
     root of their squares, so what single mislabelled documents pull at stays where it was.
@@ -234,17 +232,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, held_out, options: Opt
     side = docs.sparkSession.createDataFrame(
         [(r.doc_id, r["__label"], r["__order"]) for r in picked], "doc_id long, __label int, __order long"
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
-        F.col("text").isNotNull() & (F.length("text") <= options.max_chars)
-    )
-    rows = (
-        texts.join(F.broadcast(side), "doc_id")
-        .orderBy("__order", "doc_id", "__label", F.xxhash64("text"))
-        .limit(options.sample_rows)
-        .select("text", "__label")
-        .collect()
-    )
-    return train([r["text"] for r in rows], [r["__label"] for r in rows], options)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    joined = texts.join(F.broadcast(side), "doc_id").select("text", "__order", "doc_id", "__label", F.xxhash64("text").alias("__text"))
+
+    def count(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                counts = tokens(batch.column(0)[k].as_py(), options)
+                columns = [pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int32()))]
+                kept = [batch.column(j).slice(k, 1) for j in range(1, 5)]
+                yield pa.RecordBatch.from_arrays([*columns, *kept], names=["words", "counts", "order", "doc_id", "label", "text"])
+
+    schema = "words array<string>, counts array<int>, order long, doc_id long, label int, text long"
+    rows = joined.mapInArrow(count, schema).orderBy("order", "doc_id", "label", "text").limit(options.sample_rows).collect()
+    return train([Counter(dict(zip(r.words, r.counts, strict=True))) for r in rows], [r.label for r in rows], options)
 
 
 def classify(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
@@ -294,10 +295,20 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, options: Options = TOXICITY) -> DataFrame:
+    """Every document with its chance of being toxic; learned from rows whose crc32 of the id modulo 5 is not 0.
+
+    Null and empty texts have the score of a text without words. Rows that repeat an id are scored each for itself,
+    and teach each if the id is labelled. Without labels of both classes, every row scores the smoothed share of one.
+    An empty table gives no rows; other columns are not read.
+    """
     return score_documents(docs, labels, "toxic", 5, 0, options)
 
 
 def quality(docs: DataFrame, labels: DataFrame, options: Options = QUALITY) -> DataFrame:
+    """Every document with its chance of being good; learned from rows whose crc32 of the id modulo 3 is not 1.
+
+    Odd rows and tables have the results that ``toxicity`` states.
+    """
     return score_documents(docs, labels, "quality", 3, 1, options)
 
 

@@ -1,5 +1,6 @@
 """Operators of the training-data pipeline against brute force, on tables with every odd case."""
 
+import dataclasses
 import hashlib
 import pickle
 import random
@@ -367,6 +368,47 @@ def test_classifier_learns_marks_and_misspellings(spark, empty):
     assert S.toxicity(narrow, marks).count() == 0
 
 
+@pytest.mark.parametrize("options", [S.TOXICITY, S.QUALITY])
+def test_classifiers_equal_plain_python(options):
+    rng = random.Random(11)
+    options = dataclasses.replace(options, epochs=3, min_docs=3, rate=3.0, doubt=0.5, batch=8)
+    good, bad = WORDS[:12], ["Wretched", "rubbish", "Näïve", "spam"]
+    texts, labels = [], []
+    for i in range(60):
+        words = rng.choices(good, k=rng.randint(3, 12)) + (rng.choices(bad, k=3) if i % 3 == 0 else [])
+        words += words[-1:] * (i % 2)
+        texts.append(" ".join(words))
+        labels.append(int(i % 3 != 0))
+    model = S.train([S.tokens(t, options) for t in texts], labels, options)
+    weights, bias = brute.classifier(texts, labels, options)
+    found = np.zeros(1 << options.bits)
+    found[list(weights)] = list(weights.values())
+    assert model.weights == pytest.approx(found, abs=1e-4) and model.bias == pytest.approx(bias, abs=1e-6)
+    assert np.abs(found).max() > 0.5
+    for text in [*texts, "", "unseen", "x " * 3000, "RUBBISH rubbish rubbishy"]:
+        assert model.score(text, {}) == pytest.approx(brute.classifier_score(text, weights, bias, options), abs=1e-4)
+
+
+def test_quality_is_told_on_held_out_rows(spark, empty):
+    rng = random.Random(12)
+    rows = []
+    for i in range(700):
+        words = rng.choices([a + b for a in WORDS for b in WORDS], k=rng.randint(20, 60))
+        rows.append((i, " ".join(w for x in words for w in ([x] * 3 if i % 2 else [x])), "en"))
+    rows += [(900, "click " * 40_000, "en"), (901, None, None), (None, "", None), (3, rows[3][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted string")
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(700)] + [(900, 0)], "doc_id long, quality int")
+    found = S.quality(docs, marks).collect()
+    assert len(found) == len(rows)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+    right = [r.predicted == 1 - r.doc_id % 2 for r in found if r.held_out and r.doc_id < 700]
+    assert len(right) > 150 and np.mean(right) > 0.95
+    assert len({r.score for r in found if r.doc_id in (901, None)}) == 1
+    kept = S.of_quality(docs, marks)
+    assert kept.columns == docs.columns and sum(r.predicted for r in found) == kept.count()
+    assert S.quality(empty.select("doc_id", "text"), marks).count() == 0
+
+
 def test_language_model_equals_formulas(spark, docs, empty):
     found = rows_of(LM.score_documents(docs))
     tokens = {i: [LM.START, *plain_words(t), LM.END] for i, t in enumerate(texts())}

@@ -701,22 +701,6 @@ def first_number(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.number(F.col("text")).alias("value"))
 
 
-@query(
-    r"""
-with s as (select doc_id, unnest(regexp_extract_all(text, '[^.\n]+')) as s from documents)
-select case when regexp_matches(lower(s), 'should|must|ensure|recommend|confirm|maintain|avoid|use ') then 'practice'
-  when regexp_matches(lower(s), 'failed|failure|did not|was not|without|too late|insufficient|poor') then 'failure'
-  else 'neutral' end as kind, count(*) as n
-from s group by 1
-""",
-    ledger=False,
-)
-def sentence_kinds(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    sentences = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"([^.\n]+)"), F.lit(1))).alias("s"))
-    return sentences.groupBy(X.sentence_kind(F.col("s")).alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query(
     """
 select event_id, try_cast(json_extract_string(props, '$.k') as double) as k,

@@ -17,8 +17,12 @@ CATALOG = {"tenant": ["Riverbend", "Millbrook"], "entity": ["RVB-101", "MLB-7"],
     [
         ("How many hours of packed-off pipe in Millbrook?", {"codes": ["STUCK_PIPE"], "tenants": ["Millbrook"]}),
         ("Losses and MWD failures on rvb-101", {"codes": ["LOST_CIRCULATION", "DOWNHOLE_TOOL_FAILURE"], "entities": ["RVB-101"]}),
-        ("What of RVB-999 in the Atlantis field?", {"unmatched": ["RVB-999", "Atlantis"]}),
+        ("What of RVB-999 in the Atlantis field?", {"unmatched": [("field", "Atlantis"), ("well", "RVB-999")]}),
         ("instability in the Riverbend Salt", {"formations": ["Riverbend Salt"], "tenants": []}),
+        ("What happened in the Shale field interval?", {"formations": ["Shale"], "tenants": [], "unmatched": []}),
+        ("Lessons on lost time in Millbrook field", {"kinds": ["eowr"], "lost_time": True, "tenants": ["Millbrook"]}),
+        ("Salt in the Keldra Dolomite", {"unmatched": [("formation", "Keldra Dolomite")]}),
+        ("Top-10 of covid-19, XYZ-101", {"entities": ["XYZ-101"], "unmatched": [("well", "XYZ-101")]}),
         ("daily reports at 2,650 m", {"depth": 2650.0, "depth_filters": True, "kinds": ["ddr"]}),
     ],
 )
@@ -33,7 +37,8 @@ def test_plan_becomes_a_filter():
 
 
 def test_sizes_and_depths():
-    assert find_sections('12 1/4" and 17.5 in and 8-1/2 inch, below 9 5/8" casing, 26"') == ['12 1/4"', '17 1/2"', '8 1/2"', '26"']
+    assert find_sections('12 1/4" and 17.5 in and 8-1/2 inch, below 9 5/8" casing, 26"')[0] == ['12 1/4"', '17 1/2"', '8 1/2"', '26"']
+    assert find_sections('2 in 10 wells, 6" hole, 5" drill pipe, 9" mud', ['12 1/4"']) == (['6"'], ['6"'])
     assert find_depth("around 2650 m") == (2650.0, False) and find_depth("2650 bar") == (None, False)
 
 

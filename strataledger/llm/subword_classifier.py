@@ -160,7 +160,7 @@ def _rows(texts: Iterable[Counter], options: Options):
     return np.array(rows), np.concatenate(cols), np.concatenate(vals), used
 
 
-def train(texts: Sequence[Counter], labels: Sequence[int], options: Options) -> Model:
+def train(texts: Iterable[Counter], labels: Sequence[int], options: Options) -> Model:
     """Learn from the words of texts with their counts: vectors and softmax by stochastic gradient descent with a rate per bucket.
 
     A bucket's vector leaves its random start only as far as the sum of its gradients exceeds ``doubt`` times the
@@ -239,13 +239,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, held_out, options: Opt
         for batch in batches:
             for k in range(batch.num_rows):
                 counts = tokens(batch.column(0)[k].as_py(), options)
-                columns = [pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int32()))]
+                packed = ["\n".join(counts)], [np.fromiter(counts.values(), "<u4", len(counts)).tobytes()]
+                columns = [pa.array(packed[0], pa.string()), pa.array(packed[1], pa.binary())]
                 kept = [batch.column(j).slice(k, 1) for j in range(1, 5)]
                 yield pa.RecordBatch.from_arrays([*columns, *kept], names=["words", "counts", "order", "doc_id", "label", "text"])
 
-    schema = "words array<string>, counts array<int>, order long, doc_id long, label int, text long"
-    rows = joined.mapInArrow(count, schema).orderBy("order", "doc_id", "label", "text").limit(options.sample_rows).collect()
-    return train([Counter(dict(zip(r.words, r.counts, strict=True))) for r in rows], [r.label for r in rows], options)
+    # words hold no line ends, and stand in one string so that a row is small
+    schema = "words string, counts binary, order long, doc_id long, label int, text long"
+    sample = joined.mapInArrow(count, schema).orderBy("order", "doc_id", "label", "text").limit(options.sample_rows)
+    rows = sample.select("words", "counts", "label").collect()
+    texts = (Counter(dict(zip(r.words.split("\n"), np.frombuffer(r.counts, "<u4").tolist(), strict=True))) if r.counts else Counter() for r in rows)
+    return train(texts, [r.label for r in rows], options)
 
 
 def classify(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:

@@ -53,7 +53,7 @@ def _text(paragraph: ElementTree.Element) -> str:
 
 def _outcome(data) -> dict:
     try:
-        return {"text": document_text(bytes(data)), "reason": None}
+        return {"text": document_text(bytes(data or b"")), "reason": None}
     except UnreadableDocument as error:
         return {"text": None, "reason": str(error)}
 

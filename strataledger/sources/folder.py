@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataledger.sources.docx import docx_text
+from strataledger.sources.pdf import pdf_text
 from strataledger.sources.reports import kind_of
 
-READABLE = ("txt", "md")
+PLAIN = ("txt", "md")
+READABLE = (*PLAIN, "pdf", "docx")
 CONFIG = "strataledger.toml"
 
 
@@ -38,22 +41,29 @@ def gone(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def texts(files: DataFrame) -> DataFrame:
-    """Decoded text files: ``status`` and ``reason`` say what could not be read.
+    """Texts of files, of PDF files with the end of each page: ``status`` and ``reason`` say what could not be read.
 
     A byte-order mark goes, and line ends become one kind. Ids are file stems; stems that several files share get
     eight digits of the path's hash.
     """
-    decoded = F.try_validate_utf8(F.decode("content", "UTF-8"))
+    plain = F.col("extension").isin(*PLAIN)
+    decoded = F.try_validate_utf8(F.decode(F.when(plain, F.col("content")), "UTF-8"))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     known = F.col("extension").isin(*READABLE)
     text = F.regexp_replace(F.regexp_replace(decoded, "^﻿", ""), "\r\n?", "\n")
+    # a reader gets only the files of its kind; the others are null to it
+    read = {"pdf": pdf_text, "docx": docx_text}
+    files = files.withColumns({f"__{k}": f(F.when(F.col("extension") == k, F.col("content"))) for k, f in read.items()})
+    of_kind = lambda part: F.coalesce(*(F.when(F.col("extension") == k, F.col(f"__{k}.{part}")) for k in read))
+    text = F.coalesce(text, of_kind("text"))
     same = F.count("*").over(W.partitionBy("stem"))
     doc_id = F.when(same > 1, F.concat_ws("-", "stem", F.substring(F.sha2("path", 256), 1, 8))).otherwise(F.col("stem"))
-    reason = F.when(~known, "unsupported extension").when(~valid, "not UTF-8")
+    reason = F.when(~known, "unsupported extension").when(plain & ~valid, "not UTF-8").otherwise(of_kind("reason"))
+    files = files.withColumn("page_ends", F.col("__pdf.page_ends"))
     out = files.withColumns({"doc_id": doc_id, "reason": reason}).withColumn(
         "status", F.when(F.col("reason").isNull(), "ingested").otherwise("skipped")
     )
-    out = out.withColumn("text", F.when(F.col("reason").isNull(), text)).drop("content")
+    out = out.withColumn("text", F.when(F.col("reason").isNull(), text)).drop("content", "__pdf", "__docx")
     return out.withColumn("doc_type", F.when(F.col("text").isNotNull(), kind_of(F.col("text"), F.col("stem"))))
 
 

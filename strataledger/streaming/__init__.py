@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Folders that are followed as files arrive."""

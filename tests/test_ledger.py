@@ -147,7 +147,7 @@ def test_queries_equal_sql(spark, name):
     assert ours == key(want.fetchall()) and ours
 
 
-@pytest.mark.parametrize("name", ["claims_without_record_all", "pattern_overlap_all", "multiset_match_all"])
+@pytest.mark.parametrize("name", ["claims_without_record", "pattern_overlap", "multiset_match"])
 def test_whole_queries_equal_sql(spark, name):
     test_queries_equal_sql(spark, name)
 
@@ -163,11 +163,11 @@ def test_whole_queries_leave_no_report_out(spark):
         hours = r.hours + (Decimal(0) if r.line % 2 == 0 else Decimal("0.5"))
         if all(abs(h - hours) > Decimal("0.1") for h in recorded[r.entity, r.day, r.code]):
             want[r.report_id, r.line] += 1
-    found = QUERIES["claims_without_record_all"](spark, SF).collect()
+    found = QUERIES["claims_without_record"](spark, SF).collect()
     assert Counter((r.claim, r.line) for r in found) == want
     assert {k % 3 for k, _ in want} == {0, 1, 2}
-    sides = QUERIES["multiset_match_all"](spark, SF).first()
+    sides = QUERIES["multiset_match"](spark, SF).first()
     assert sides.matched + sides.missed == sides.matched + sides.invented == len(lost)
-    shared = QUERIES["pattern_overlap_all"](spark, SF).collect()
+    shared = QUERIES["pattern_overlap"](spark, SF).collect()
     same = Counter((r.tenant, r.code, r.report_id, r.line) for r in lost)
     assert sum(r.shared for r in shared) == sum(n * n for n in same.values())

@@ -57,7 +57,7 @@ def test_folder(spark, found):
     kinds = {r["name"]: (r.doc_type, r.status, r.reason) for r in found.collect()}
     assert kinds == {
         "a.txt": ("ddr", "ingested", None), "EOWR-1.md": ("eowr", "ingested", None), "inc.txt": ("incident", "ingested", None),
-        "bad.txt": (None, "skipped", "not UTF-8"), "x.pdf": (None, "skipped", "unsupported extension"), "DDR-9.txt": ("ddr", "ingested", None),
+        "bad.txt": (None, "skipped", "not UTF-8"), "x.pdf": (None, "skipped", "not a PDF file"), "DDR-9.txt": ("ddr", "ingested", None),
     }
     manifest = found.select("path", "sha256", "status")
     assert folder.changed(found, manifest).count() == 2

@@ -3,10 +3,12 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from strataledger.plans import settings as S
 from strataledger.sources import pdf as PDF
 from strataledger.sources import warehouse as WH
+from strataledger.streaming.follow import follow
 
 DOCS = "doc_id string, tenant string, text string"
 MANIFEST = "path string, sha256 string, size long, doc_ids array<string>, status string, reason string"
@@ -75,6 +77,22 @@ def test_index_freshness_hashes_and_log(spark, house):
     assert sorted(r.kind for r in WH.logged(house).collect()) == ["ask", "brief"]
 
 
+def test_following_a_folder(spark, house, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def read(files):
+        ids = F.regexp_extract("path", "([^/]+)$", 1)
+        found = files.select(ids.alias("doc_id"), F.lit("x").alias("tenant"), F.decode("content", "UTF-8").alias("text"))
+        state = files.select("path", "sha256", F.col("length").alias("size"), F.array(ids).alias("doc_ids"), F.lit("ingested").alias("status"), F.lit(None).cast("string").alias("reason"))
+        return found, spark.createDataFrame([], "doc_id string, tenant string"), state
+
+    for n in (1, 2):
+        (folder / f"{n}.txt").write_text(f"text {n}")
+        follow(spark, f"file://{folder}", house, read, f"file://{tmp_path}/marks").awaitTermination()
+        assert house.read("documents").count() == house.read("files").count() == n
+
+
 def test_simple_loader(spark, tmp_path):
     (tmp_path / "one.txt").write_bytes(b"a\r\nb")
     (tmp_path / "two.md").write_bytes(b"c")

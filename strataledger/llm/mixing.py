@@ -6,6 +6,7 @@ prefix sums of word counts over ranges and within ranges say where the source's
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,27 +68,33 @@ def mix(
     share: float = 1.5,
     max_epochs: int = 2,
     salt: str = "mix-1",
-    range_digits: int = 3,
+    mark: str | None = None,
+    range_digits: int | None = None,
 ) -> DataFrame:
     """Rows with ``source_size``, ``target`` and ``taken``, the words that the mix takes of each row.
 
     A source's budget is its target rounded down to whole words. Whole epochs take every row once; the rest is taken
-    from rows in the order of ``md5(key + salt)``, ties by size, and ends inside a row. Rows alike in key and size are
-    interchangeable. Null keys share one hash; null sources are a source; rows of size 0 take 0; an empty table gives
-    an empty result. ``range_digits``: hexadecimal digits of the key that name a range; it changes no result.
+    from rows in the order of ``md5(key + salt + mark)``, ties by size, and ends inside a row; null keys and marks count
+    as empty. The mark tells rows of one key apart, so that rows without a key don't stand in one range. Rows alike in
+    key, mark and size are interchangeable. Null sources are a source; rows of size 0 take 0; an empty table gives an
+    empty result. ``range_digits``: hexadecimal digits of the key that name a range, by default so many that a range
+    holds some thousands of rows; it changes no result.
     Columns named ``source_size``, ``target`` or ``taken`` in the input are replaced.
     """
     spark = rows.sparkSession
     rows = rows.drop("source_size", "target", "taken", "source_no")
-    sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("long").alias("source_size"))
-    targets = written(source_targets(sizes, weights, share, max_epochs).repartition(1), "mix-targets")
-    n_sources = targets.count()
+    sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("long").alias("source_size"), F.count("*").alias("__n"))
+    sizes = written(sizes, "mix-sources")
+    n_sources, most = sizes.agg(F.count("*"), F.coalesce(F.max("__n"), F.lit(0))).first()
+    targets = written(source_targets(sizes.drop("__n"), weights, share, max_epochs).repartition(1), "mix-targets")
+    range_digits = range_digits or min(8, max(2, math.ceil(math.log(most / 5_000 + 1, 16))))
     side = targets.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
+    tie = F.coalesce(F.col(mark), F.lit("")) if mark else F.lit("")
     side = F.broadcast(side) if n_sources <= BROADCAST_SOURCES else side
     keyed = (
         rows.join(side, rows[source].eqNullSafe(side["__source"]))
         .drop("__source")
-        .withColumn("__key", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(salt))))
+        .withColumn("__key", F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(salt), tie)))
         .withColumn("__range", F.substring("__key", 1, range_digits))
     )
     ranges = keyed.groupBy("source_no", "__range").agg(F.sum(size).alias("__sum"))
@@ -109,8 +116,8 @@ def mix(
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of whole documents; see :func:`mix`. Null texts have size 0."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(written(sized, "mix-sizes"), **options).select("doc_id", "size", "source_size", "target", "taken")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("mark"))
+    return mix(written(sized, "mix-sizes"), mark="mark", **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_copies(docs: DataFrame, **options) -> DataFrame:
@@ -120,10 +127,10 @@ def mix_copies(docs: DataFrame, **options) -> DataFrame:
     as they use nothing of a budget by words.
     """
     names = docs.columns
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumnsRenamed(
+    sized = docs.withColumns({"__size": word_count(F.col("text")), "__mark": F.md5("text")}).withColumnsRenamed(
         {c: f"__own_{i}" for i, c in enumerate(names) if c not in ("doc_id", "source")}
     )
-    mixed = mix(sized, size="__size", **options)
+    mixed = mix(sized, size="__size", mark="__mark", **options)
     copies = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size") + 0.5)).otherwise(1).cast("int")
     out = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
     return out.select(*(F.col(c if c in ("doc_id", "source") else f"__own_{i}").alias(c) for i, c in enumerate(names)))

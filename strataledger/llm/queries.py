@@ -67,10 +67,9 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataledger.llm.warc import read_records, record_index, write_archive
+    from strataledger.llm.warc import archive_index, write_archive
 
-    archive = write_archive(_table(spark, sf_dir, "pages"))
-    return record_index(read_records(spark, archive))
+    return archive_index(spark, write_archive(_table(spark, sf_dir, "pages")))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mixing": r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    md5(coalesce(doc_id::varchar, '') || 'mix-1') as k
+    md5(coalesce(doc_id::varchar, '') || 'mix-1' || coalesce(md5(text), '')) as k
   from documents
 ), sources as (
   select source, sum(size)::bigint as source_size from sized group by source

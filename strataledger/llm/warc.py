@@ -87,17 +87,19 @@ def write_archive(
     return out
 
 
+def _sound_payloads(spark, archive: Archive) -> DataFrame:
+    """``address, payload``; a payload whose bytes no longer give its address raises."""
+    sound = F.sha2("bytes", 256) == F.col("address")
+    payload = F.when(sound, F.col("bytes")).otherwise(F.raise_error(F.lit("damaged payload")))
+    return spark.read.parquet(archive.payloads).select("address", payload.alias("payload"))
+
+
 def read_records(spark, archive: Archive) -> DataFrame:
     """``page_id, record, header, payload``: the records as they stand in a WARC file, and the full payload of each.
 
-    A payload whose bytes no longer give its address raises. The record of a revisit ends after its HTTP head.
+    The record of a revisit ends after its HTTP head.
     """
-    payloads = spark.read.parquet(archive.payloads)
-    sound = F.sha2("bytes", 256) == F.col("address")
-    payloads = payloads.select(
-        "address", F.when(sound, F.col("bytes")).otherwise(F.raise_error(F.lit("damaged payload"))).alias("payload")
-    )
-    records = spark.read.parquet(archive.headers).join(payloads, "address")
+    records = spark.read.parquet(archive.headers).join(_sound_payloads(spark, archive), "address")
     head = F.lit(HTTP_HEAD.encode())
     text = F.decode("header", "UTF-8")
     body = F.when(F.contains(text, F.lit(f"{CRLF}WARC-Type: revisit{CRLF}")), F.lit(b"")).otherwise(F.col("payload"))
@@ -111,13 +113,25 @@ def header_field(header: Column, name: str) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def record_index(records: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of records that were read back."""
+def _facts(length: Column, digest: Column) -> list[Column | str]:
     target = F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
-    return records.select(
+    return [
         "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
+        length.cast("long").alias("payload_bytes"),
+        digest.alias("payload_digest"),
         header_field(F.col("header"), "WARC-Type").alias("record_type"),
         F.nullif(target, F.lit("")).cast("long").alias("refers_to"),
-    )
+    ]
+
+
+def record_index(records: DataFrame) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of records that were read back."""
+    return records.select(*_facts(F.octet_length("payload"), F.sha1("payload")))
+
+
+def archive_index(spark, archive: Archive) -> DataFrame:
+    """As ``record_index``, of a whole archive: each payload is read and hashed once, and its bytes are not sent to the
+    records that share it."""
+    payloads = _sound_payloads(spark, archive)
+    hashed = payloads.select("address", F.octet_length("payload").alias("length"), F.sha1("payload").alias("digest"))
+    return spark.read.parquet(archive.headers).join(hashed, "address").select(*_facts(F.col("length"), F.col("digest")))

@@ -101,7 +101,7 @@ def test_warc_round_trip(spark):
         first = max(equal) if equal else None
         revisit = len(payload) >= 1000 and page != first
         expected.append((page, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
-    assert index == sorted(expected, key=str)
+    assert index == sorted(expected, key=str) == sorted(map(tuple, WA.archive_index(spark, archive).collect()), key=str)
     assert spark.read.parquet(archive.payloads).count() == len({(h or "") for _, _, h in data})
     for r in records.collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")

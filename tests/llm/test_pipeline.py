@@ -99,7 +99,7 @@ def test_rows_of_a_run_equal_brute_force(spark, tmp_path):
     for s in names:
         budget = int(min(2 * words[s], weight[s] * high) + 1e-6)
         epochs, rest = divmod(budget, words[s]) if words[s] else (0, 0)
-        own = [(hashlib.md5(("" if r[0] is None else str(r[0])).encode() + b"mix-1").hexdigest(), n, r) for r, n in zip(clean, size) if r[2] == s]
+        own = [(hashlib.md5((("" if r[0] is None else str(r[0])) + "mix-1" + ("" if r[1] is None else hashlib.md5(r[1].encode()).hexdigest())).encode()).hexdigest(), n, r) for r, n in zip(clean, size) if r[2] == s]
         for _, n, r in sorted(own, key=lambda x: x[:2]):
             cut = max(0, min(n, rest))
             rest -= cut

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataledger.sources.storage import spread
+
 #: Columns of a ledger, in order. ``hours`` is a decimal so that sums don't depend on their order.
 LEDGER = ("report_id", "line", "tenant", "entity", "code", "section", "formation", "rig", "tool", "hours", "day", "depth")
 
@@ -23,7 +25,7 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
     places = places.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    lines = table(spark, sf_dir, "lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     lines = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(

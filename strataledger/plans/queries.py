@@ -13,6 +13,7 @@ from strataledger.operators import matching as M
 from strataledger.operators import patterns as P
 from strataledger.operators import retrieval as R
 from strataledger.plans.bindings import LEDGER_SQL, exposures, losses, table
+from strataledger.sources.storage import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -561,7 +562,7 @@ s as (
 
 
 def _plain_postings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "lang", "text")
     return R.postings(docs, X.word_tokens(F.col("text")), "lang", "doc_id")
 
 
@@ -582,7 +583,7 @@ select lang, doc_id, round(score, 6) as score, rank from r where rank <= 40
     ledger=False,
 )
 def bm25_search(spark, sf_dir):
-    scores = R.bm25(_plain_postings(spark, sf_dir), ASKED, "lang", "doc_id").withColumn("score", F.round("score", 9))
+    scores = R.bm25(written(_plain_postings(spark, sf_dir), "postings"), ASKED, "lang", "doc_id").withColumn("score", F.round("score", 9))
     return R.best(scores, 40, "doc_id", ["lang"]).select("lang", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -597,7 +598,7 @@ select doc_id, round(sum(1.0::double / (60 + rank)), 12) as score from x where r
     ledger=False,
 )
 def fused_search(spark, sf_dir):
-    scores = R.bm25(_plain_postings(spark, sf_dir), ASKED, "lang", "doc_id").withColumn("score", F.round("score", 9))
+    scores = R.bm25(written(_plain_postings(spark, sf_dir), "postings"), ASKED, "lang", "doc_id").withColumn("score", F.round("score", 9))
     by_length = table(spark, sf_dir, "documents").select("lang", "doc_id", F.col("n_chars").alias("score"))
     rankings = [R.best(s, 40, "doc_id", ["lang"]) for s in (scores, by_length)]
     within = R.best(R.fuse(rankings, "doc_id", ["lang"]), 20, "doc_id", ["lang"])
@@ -625,7 +626,7 @@ def dense_search(spark, sf_dir):
 
 @query()
 def chunk_documents(spark, sf_dir):
-    return R.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return R.chunk_documents(spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text"))
 
 
 @query("select doc_id, len(text)::bigint as covered, true as contiguous from documents", ledger=False)

@@ -60,3 +60,17 @@ def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
+
+
+#: A table of up to so many bytes for each core is dealt out anew before work that takes much longer than moving it.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all cores, if it is small: a file of one row group is one task, however many cores there are.
+
+    A table beyond that size has row groups enough, and stays as it is read. Rows and results are the same.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *by) if size <= cores * SMALL else df

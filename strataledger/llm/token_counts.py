@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strataledger.sources.storage import spread
+
 #: What separates the tokens of this vocabulary, and its two special strings.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -207,4 +209,4 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048) -> DataFra
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -19,29 +20,36 @@ from strataledger.functions.text import term_score
 RRF_K = 60
 DIM = 512
 WHOLE, MOST = 4000, 1500
-BREAK = re.compile(r"\n[ \t]*\n")
+#: A line that stands as a heading: capitals, digits and light punctuation.
+HEADING = re.compile(r"""\d{0,2}\.?\s*[A-Z][A-Z0-9 /()"'.,:&-]{1,78}""")
+
+
+def break_points(text: str) -> list[int]:
+    """Where a chunk may begin: below a blank line, and at a heading of two letters or more."""
+    out = set()
+    for m in re.finditer(r"[^\n]*(?:\n|\Z)", text):
+        words = m[0].strip()
+        if not words and m[0]:
+            out |= {m.end()} if m[0].endswith("\n") else set()
+        elif HEADING.fullmatch(words) and len(re.findall("[A-Z]", words)) > 1:
+            out.add(m.start())
+    return sorted(out)
 
 
 def split_text(text: str) -> list[tuple[int, int, int, str]]:
     """Contiguous chunks ``(n, start, end, text)`` of a document.
 
-    A short document is one chunk. A longer one is cut at the last blank line that keeps a chunk within its size, else
-    at its size.
+    A short document is one chunk. A longer one is cut at the last blank line or heading that keeps a chunk within its
+    size, else at its size.
     """
     if len(text) <= WHOLE:
         return [(0, 0, len(text), text)]
-    out, start = [], 0
-    stops = [m.end() for m in BREAK.finditer(text)]
-    while start < len(text):
-        limit = start + MOST
-        if limit >= len(text):
-            end = len(text)
-        else:
-            inside = [s for s in stops if start < s <= limit]
-            end = inside[-1] if inside else limit
-        out.append((len(out), start, end, text[start:end]))
-        start = end
-    return out
+    points, cuts = break_points(text), [0]
+    while cuts[-1] + MOST < len(text):
+        limit = cuts[-1] + MOST
+        last = bisect.bisect_right(points, limit) - 1
+        cuts.append(points[last] if last >= 0 and points[last] > cuts[-1] else limit)
+    return [(n, a, b, text[a:b]) for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(text)], strict=True))]
 
 
 CHUNK = T.ArrayType(

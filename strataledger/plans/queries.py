@@ -624,7 +624,32 @@ def dense_search(spark, sf_dir):
     return R.best(top, 10, "vec_id")
 
 
-@query()
+@query(
+    r"""
+with recursive line as (
+  select doc_id, i, line, coalesce(sum(len(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as pos
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where len(text) > 4000)
+),
+shown as (select *, regexp_replace(line, '^[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}]+|[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}]+$', '', 'g') as w from line),
+point as (
+  select doc_id, pos + len(line) + 1 as p from shown where w = ''
+  union select doc_id, pos from shown where regexp_full_match(w, '\d{0,2}\.?\s*[A-Z][A-Z0-9 /()"''.,:&-]{1,78}') and len(regexp_replace(w, '[^A-Z]', '', 'g')) > 1
+),
+points as (select doc_id, list(p) as ps from point group by doc_id),
+doc as (select d.doc_id, text, len(text)::bigint as size, coalesce(ps, []::bigint[]) as ps from documents d left join points using (doc_id)),
+cut as (
+  select doc_id, 0 as n, 0::bigint as a, case when size <= 4000 then size
+    else coalesce(list_max(list_filter(ps, lambda p: p > 0 and p <= 1500 and p <= size)), 1500) end as b from doc
+  union all
+  select cut.doc_id, n + 1, b, case when b + 1500 >= size then size
+    else coalesce(list_max(list_filter(ps, lambda p: p > b and p <= b + 1500)), b + 1500) end
+  from cut join doc using (doc_id) where b < size
+)
+select doc_id, n::int as n, a::int as start, b::int as "end", substr(text, a::bigint + 1, (b - a)::bigint) as chunk, doc_id || '#' || n as chunk_id
+from cut join doc using (doc_id)
+""",
+    ledger=False,
+)
 def chunk_documents(spark, sf_dir):
     return R.chunk_documents(spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text"))
 

@@ -61,10 +61,9 @@ def test_units_of_text(text, want):
 
 
 def test_raw_spans_and_pages():
-    text = "drilled 12¼″ hole – to\n  2,650 m.\nstuck"
-    assert P.verbatim_quote(text, '12 1/4" hole') is None or True
-    span = P.raw_span("the 12¼ in hole\n  was tight", "12 1/4 in hole was tight")
-    assert "the 12¼ in hole\n  was tight"[slice(*span)].startswith("12¼ in") or span[0] <= 4
+    text = "the 12¼ in hole –\n  was tight"
+    assert text[slice(*P.raw_span(text, "12 1/4 in hole - was tight"))] == "12¼ in hole –\n  was tight"
+    assert P.verbatim_quote(text, "12 1/4 in hole - was") == "12¼ in hole – was" and P.verbatim_quote(text, "12 1/2 in") is None
     assert P.raw_span("abc abc", "abc", 1) == (4, 7) and P.raw_span("abc", "") is None
     assert [P.quote_page("page one\npage two", [8, 17], q) for q in ("one", "two", "three", "")] == [1, 2, None, None]
     assert P.quote_page("x", None, "x") is None
@@ -145,7 +144,7 @@ def brief(archive):
 def test_brief(brief, archive):
     by_code = {r["code"]: r for r in brief["risks"]}
     rig = by_code["RIG_REPAIR"]
-    assert (rig["scope"], rig["category"], rig["events"], rig["applies"]) == ("equipment", "Rig-North", 6, "not_specified") or rig["events"] == 3
+    assert (rig["scope"], rig["category"], rig["events"], rig["applies"]) == ("equipment", "Rig-North", 3, "not_specified")
     assert rig["driver"] == "rig Rig-North" and rig["risk_id"] == "RIG_REPAIR-RigNorth"
     unstable = by_code["WELLBORE_INSTABILITY"]
     assert unstable["lift"] == pytest.approx(2.25) and unstable["probability"] == 0.333 and unstable["risk_id"].endswith("-1214")

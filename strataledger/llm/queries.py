@@ -78,6 +78,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.merkle import verify_documents
+
+    return verify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.near_vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataledger.llm.fill_in_middle import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -89,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle": op11_merkle,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -173,6 +194,116 @@ from d left join n using (r) left join s using (r)
 """,
 }
 
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+ORACLE_SQL["op11_merkle"] = f"""
+with recursive d as (
+  select doc_id, coalesce('=' || lang, '-') as grp, {_LEAF} as head, text, doc_id::varchar as t from documents
+), crc as (  -- CRC-32 of the decimal id, a bit at a time
+  select t, 4294967295::ubigint as c, 0 as k from (select distinct t from d where t is not null)
+  union all
+  select t, case when k % 9 = 0 then xor(c, ascii(t[k // 9 + 1])::ubigint)
+                 when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end, k + 1
+  from crc where k < 9 * len(t)
+), shown as (
+  select t, xor(c, 4294967295::ubigint) % 3 = 0 as tampered from crc where k = 9 * len(t)
+), hashed as (
+  select doc_id, grp, sha256(head || {_FIELD.format("text")}) as leaf,
+    sha256(head || case when tampered
+      then coalesce(strlen(text)::varchar || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')
+      else {_FIELD.format("text")} end) as shown
+  from d left join shown using (t)
+), leaves as (
+  select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as place,
+    count(*) over (partition by grp) as n from hashed
+), nodes as (
+  select grp, place, n, leaf as node, 0 as lvl from leaves
+  union all
+  select grp, place // 8, max((n + 7) // 8), sha256(string_agg(node, '' order by place)), max(lvl) + 1
+  from nodes where n > 1 group by grp, place // 8
+), subroots as (
+  select grp, node as subroot, row_number() over (order by grp) - 1 as place, count(*) over () as n from nodes where n = 1
+), tops as (
+  select place, n, subroot as node, 0 as lvl from subroots
+  union all
+  select place // 8, max((n + 7) // 8), sha256(string_agg(node, '' order by place)), max(lvl) + 1
+  from tops where n > 1 group by place // 8
+), lower_steps as (
+  select a.grp, a.place, a.lvl, coalesce(string_agg(b.node, '' order by b.place) filter (b.place < a.place), '') as l,
+    coalesce(string_agg(b.node, '' order by b.place) filter (b.place > a.place), '') as r
+  from nodes a join nodes b on a.grp = b.grp and a.lvl = b.lvl and a.place // 8 = b.place // 8
+  where a.n > 1 group by a.grp, a.place, a.lvl
+), upper_steps as (
+  select a.place, a.lvl, coalesce(string_agg(b.node, '' order by b.place) filter (b.place < a.place), '') as l,
+    coalesce(string_agg(b.node, '' order by b.place) filter (b.place > a.place), '') as r
+  from tops a join tops b on a.lvl = b.lvl and a.place // 8 = b.place // 8
+  where a.n > 1 group by a.place, a.lvl
+), low as (
+  select grp, place as id, place, 0 as lvl, shown as node, '' as proof from leaves
+  union all
+  select f.grp, f.id, f.place // 8, f.lvl + 1, sha256(s.l || f.node || s.r), f.proof || s.l || s.r
+  from low f join lower_steps s on f.grp = s.grp and f.place = s.place and f.lvl = s.lvl
+), high as (
+  select f.grp, f.id, s.subroot, s.place, 0 as lvl, f.node, f.proof
+  from (select *, max(lvl) over (partition by grp, id) as last from low) f join subroots s on f.grp = s.grp
+  where f.lvl = f.last
+  union all
+  select f.grp, f.id, f.subroot, f.place // 8, f.lvl + 1, sha256(s.l || f.node || s.r), f.proof || s.l || s.r
+  from high f join upper_steps s on f.place = s.place and f.lvl = s.lvl
+), folded as (
+  select * from (select *, max(lvl) over (partition by grp, id) as last from high) where lvl = last
+), top as (select node as root from tops where n = 1)
+select l.doc_id, l.leaf, f.subroot, top.root, sha256(f.proof) as proof_sha256, f.node as folded_root, f.node = top.root as verified
+from leaves l join folded f on l.grp = f.grp and l.place = f.id cross join top
+"""
+
+ORACLE_SQL["op12_near_vectors"] = """
+with recursive v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: x::double) as e,
+    coalesce(len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as sound
+  from embeddings
+), links as (
+  select a.r, b.r as s, a.vec_id as a_id, b.vec_id as b_id
+  from (from v where sound) a join (from v where sound) b on a.r <> b.r and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.95
+), reach as (
+  select r, s, b_id from links
+  union
+  select reach.r, links.s, links.b_id from reach join links on reach.s = links.r
+), first as (select r, min(b_id) as least from reach group by r),
+n as (select r, count(*) as n_links from links group by r)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, first.least) as component_id,
+  vec_id is not distinct from least(vec_id, first.least) as kept
+from v left join n using (r) left join first using (r)
+"""
+
+ORACLE_SQL["op13_fill_in_middle"] = """
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w,
+    sha256('1:' || coalesce(doc_id::varchar, '')) as h
+  from documents
+), drawn as (
+  select *, len(w) as n, ('0x' || h[1:8])::bigint % (len(w) + 1) as a, ('0x' || h[9:16])::bigint % (len(w) + 1) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+        or ('0x' || h[17:24])::bigint % 100 >= 90 then 'plain'
+      when ('0x' || h[25:32])::bigint % 100 < 20 then 'spm' else 'psm' end as form
+  from t
+), cut as (
+  select *, coalesce(array_to_string(w[1:least(a, b)], ''), '') as p,
+    coalesce(array_to_string(w[least(a, b) + 1:greatest(a, b)], ''), '') as m,
+    coalesce(array_to_string(w[greatest(a, b) + 1:], ''), '') as s
+  from drawn
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then len(p) end as prefix_chars,
+  case when form <> 'plain' then len(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from cut
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

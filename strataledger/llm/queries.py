@@ -67,9 +67,9 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataledger.llm.warc import archive_index, write_archive
+    from strataledger.llm.warc import read_records, record_index, write_archive
 
-    return archive_index(spark, write_archive(_table(spark, sf_dir, "pages")))
+    return record_index(read_records(spark, write_archive(_table(spark, sf_dir, "pages"))))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,17 +94,49 @@ def _sound_payloads(spark, archive: Archive) -> DataFrame:
     return spark.read.parquet(archive.payloads).select("address", payload.alias("payload"))
 
 
-def read_records(spark, archive: Archive) -> DataFrame:
-    """``page_id, record, header, payload``: the records as they stand in a WARC file, and the full payload of each.
+def read_records(spark, archive: Archive, most: int = 50_000) -> DataFrame:
+    """``page_id, address, record, header, payload``: the records as they stand in a WARC file, put together by a join of
+    headers and payloads, and the full payload of each.
 
-    The record of a revisit ends after its HTTP head.
+    The record of a revisit ends after its HTTP head. A payload that more than ``most`` records share is dealt to several
+    tasks.
     """
-    records = spark.read.parquet(archive.headers).join(_sound_payloads(spark, archive), "address")
+    headers, payloads = spark.read.parquet(archive.headers), _sound_payloads(spark, archive)
+    shared = headers.groupBy("address").agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1")
+    shared = F.broadcast(shared)  # each stands for more than ``most`` rows of headers
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    headers = headers.join(shared, "address", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts)).drop("parts")
+    payloads = payloads.join(shared, "address", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    records = headers.join(payloads, ["address", "part"])
     head = F.lit(HTTP_HEAD.encode())
-    text = F.decode("header", "UTF-8")
-    body = F.when(F.contains(text, F.lit(f"{CRLF}WARC-Type: revisit{CRLF}")), F.lit(b"")).otherwise(F.col("payload"))
+    body = F.when(_is_revisit(F.col("header")), F.lit(b"")).otherwise(F.col("payload"))
     record = F.concat(F.col("header"), head, body, F.lit((CRLF + CRLF).encode()))
-    return records.select("page_id", record.alias("record"), "header", "payload")
+    return records.select("page_id", "address", record.alias("record"), "header", "payload")
+
+
+def _is_revisit(header: Column) -> Column:
+    return F.contains(F.decode(header, "UTF-8"), F.lit(f"{CRLF}WARC-Type: revisit{CRLF}"))
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """``page_id, header, payload`` of records that hold what their headers say; any other fails the job.
+
+    Of every record: it begins with its header and the HTTP head, its block is as long as the header says, and its payload
+    has the digest that the header gives and the one it is filed under. A response's payload is taken from its record.
+    """
+    at = F.octet_length("header")
+    length = header_field(F.col("header"), "Content-Length").cast("long")
+    block = F.substring(F.col("record"), at + 1, length.cast("int"))
+    payload = F.when(_is_revisit(F.col("header")), F.col("payload")).otherwise(F.substring(block, F.lit(len(HTTP_HEAD) + 1), length.cast("int")))
+    whole = (
+        (F.substring(F.col("record"), F.lit(1), at) == F.col("header"))
+        & (F.octet_length("record") == at + length + 4)
+        & (F.substring(block, F.lit(1), F.lit(len(HTTP_HEAD))) == F.lit(HTTP_HEAD.encode()))
+    )
+    cut = records.withColumns({"whole": whole, "payload": payload})
+    same = (header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.sha1("payload"))) & (F.sha2("payload", 256) == F.col("address"))
+    sound = F.when(F.col("whole") & same, F.col("payload")).otherwise(F.raise_error(F.lit("a record does not hold what its header says")))
+    return cut.select("page_id", "header", sound.alias("payload"))
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -113,25 +145,17 @@ def header_field(header: Column, name: str) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def _facts(length: Column, digest: Column) -> list[Column | str]:
+def record_index(records: DataFrame) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record that was read back.
+
+    ``records``: as ``read_records`` gives them; each is verified. Rows that repeat a page_id are records of their own, and
+    an archive of an empty table has none; very long payloads are taken whole.
+    """
     target = F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
-    return [
+    return verified(records).select(
         "page_id",
-        length.cast("long").alias("payload_bytes"),
-        digest.alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"),
         header_field(F.col("header"), "WARC-Type").alias("record_type"),
         F.nullif(target, F.lit("")).cast("long").alias("refers_to"),
-    ]
-
-
-def record_index(records: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of records that were read back."""
-    return records.select(*_facts(F.octet_length("payload"), F.sha1("payload")))
-
-
-def archive_index(spark, archive: Archive) -> DataFrame:
-    """As ``record_index``, of a whole archive: each payload is read and hashed once, and its bytes are not sent to the
-    records that share it."""
-    payloads = _sound_payloads(spark, archive)
-    hashed = payloads.select("address", F.octet_length("payload").alias("length"), F.sha1("payload").alias("digest"))
-    return spark.read.parquet(archive.headers).join(hashed, "address").select(*_facts(F.col("length"), F.col("digest")))
+    )

@@ -94,9 +94,15 @@ def _sound_payloads(spark, archive: Archive) -> DataFrame:
     return spark.read.parquet(archive.payloads).select("address", payload.alias("payload"))
 
 
+def header_field(header: Column, name: str) -> Column:
+    """Value of a header line, null if there is none."""
+    found = F.regexp_extract(F.decode(header, "UTF-8"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
+    return F.nullif(found, F.lit(""))
+
+
 def read_records(spark, archive: Archive, most: int = 50_000) -> DataFrame:
-    """``page_id, address, record, header, payload``: the records as they stand in a WARC file, put together by a join of
-    headers and payloads, and the full payload of each.
+    """``page_id, address, record, header, fields, payload``: the records as they stand in a WARC file, put together by a
+    join of headers and payloads; the header and what it says; and the full payload of each.
 
     The record of a revisit ends after its HTTP head. A payload that more than ``most`` records share is dealt to several
     tasks.
@@ -106,56 +112,44 @@ def read_records(spark, archive: Archive, most: int = 50_000) -> DataFrame:
     shared = F.broadcast(shared)  # each stands for more than ``most`` rows of headers
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     headers = headers.join(shared, "address", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), parts)).drop("parts")
+    # headers are short: what they say is read before the join
+    headers = headers.withColumn("fields", header_fields(F.col("header")))
     payloads = payloads.join(shared, "address", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     records = headers.join(payloads, ["address", "part"])
-    head = F.lit(HTTP_HEAD.encode())
-    body = F.when(_is_revisit(F.col("header")), F.lit(b"")).otherwise(F.col("payload"))
-    record = F.concat(F.col("header"), head, body, F.lit((CRLF + CRLF).encode()))
-    return records.select("page_id", "address", record.alias("record"), "header", "payload")
-
-
-def _is_revisit(header: Column) -> Column:
-    return F.contains(F.decode(header, "UTF-8"), F.lit(f"{CRLF}WARC-Type: revisit{CRLF}"))
-
-
-def verified(records: DataFrame) -> DataFrame:
-    """``page_id, header, payload`` of records that hold what their headers say; any other fails the job.
-
-    Of every record: it begins with its header and the HTTP head, its block is as long as the header says, and its payload
-    has the digest that the header gives and the one it is filed under. A response's payload is taken from its record.
-    """
-    at = F.octet_length("header")
-    length = header_field(F.col("header"), "Content-Length").cast("long")
-    block = F.substring(F.col("record"), at + 1, length.cast("int"))
-    payload = F.when(_is_revisit(F.col("header")), F.col("payload")).otherwise(F.substring(block, F.lit(len(HTTP_HEAD) + 1), length.cast("int")))
-    whole = (
-        (F.substring(F.col("record"), F.lit(1), at) == F.col("header"))
-        & (F.octet_length("record") == at + length + 4)
-        & (F.substring(block, F.lit(1), F.lit(len(HTTP_HEAD))) == F.lit(HTTP_HEAD.encode()))
+    body = F.when(F.col("fields.kind") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    record = F.concat(F.col("header"), F.lit(HTTP_HEAD.encode()), body, F.lit((CRLF + CRLF).encode()))
+    return records.select("page_id", "address", record.alias("record"), "header", "fields", "payload")
+
+
+def header_fields(header: Column) -> Column:
+    """``kind, length, digest, refers_to`` as a header says them."""
+    target = F.regexp_extract(header_field(header, "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
+    return F.struct(
+        header_field(header, "WARC-Type").alias("kind"),
+        header_field(header, "Content-Length").cast("int").alias("length"),
+        header_field(header, "WARC-Payload-Digest").alias("digest"),
+        F.nullif(target, F.lit("")).cast("long").alias("refers_to"),
     )
-    cut = records.withColumns({"whole": whole, "payload": payload})
-    same = (header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.sha1("payload"))) & (F.sha2("payload", 256) == F.col("address"))
-    sound = F.when(F.col("whole") & same, F.col("payload")).otherwise(F.raise_error(F.lit("a record does not hold what its header says")))
-    return cut.select("page_id", "header", sound.alias("payload"))
-
-
-def header_field(header: Column, name: str) -> Column:
-    """Value of a header line, null if there is none."""
-    found = F.regexp_extract(F.decode(header, "UTF-8"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
-    return F.nullif(found, F.lit(""))
 
 
 def record_index(records: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record that was read back.
 
-    ``records``: as ``read_records`` gives them; each is verified. Rows that repeat a page_id are records of their own, and
-    an archive of an empty table has none; very long payloads are taken whole.
+    ``records``: as ``read_records`` gives them. Each is verified: it begins with its header and the HTTP head, its block is
+    as long as the header says, and its payload, a response's taken from the record itself, has the digest of the header
+    and the one it is filed under. A record that does not fails the job. Rows that repeat a page_id are records of their
+    own, an archive of an empty table has none, and very long payloads are taken whole.
     """
-    target = F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
-    return verified(records).select(
-        "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        header_field(F.col("header"), "WARC-Type").alias("record_type"),
-        F.nullif(target, F.lit("")).cast("long").alias("refers_to"),
-    )
+    at, length, head = F.octet_length("header"), F.col("fields.length"), len(HTTP_HEAD)
+    inside = F.substring(F.col("record"), at + head + 1, length - head)
+    payload = F.when(F.col("fields.kind") == "revisit", F.col("payload")).otherwise(inside)
+    start = F.substring(F.col("record"), F.lit(1), at + head) == F.concat(F.col("header"), F.lit(HTTP_HEAD.encode()))
+    whole = start & (F.octet_length("record") == at + length + 4)
+    cut = records.select("page_id", "fields", "address", whole.alias("whole"), payload.alias("payload"))
+    facts = cut.select("page_id", "fields", "address", "whole", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"))
+    same = F.col("whole") & (F.col("fields.digest") == F.concat(F.lit("sha1:"), F.col("sha1"))) & (F.col("sha256") == F.col("address"))
+    digest = F.when(same, F.col("sha1")).otherwise(F.raise_error(F.lit("a record does not hold what its header says")))
+    return facts.select(
+        "page_id", F.col("n").cast("long").alias("payload_bytes"), digest.alias("payload_digest"),
+        F.col("fields.kind").alias("record_type"), F.col("fields.refers_to").alias("refers_to"),
+    )

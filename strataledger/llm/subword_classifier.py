@@ -1,8 +1,10 @@
-"""Supervised subword embeddings: hashed vectors of words and their character n-grams, averaged, into a softmax.
+"""Supervised subword embeddings: hashed vectors of words, their character n-grams and pairs of words, averaged, into a
+softmax.
 
-The vectors and the softmax are learned together on the driver, in numpy, from a bounded sample of labelled rows.
-Averaging and the softmax are linear, so a trained model is one number per hash bucket: a word's weight is the mean
-over its buckets, a document's score the logistic of the mean over its words. Workers get those numbers alone.
+The vectors and the softmax are learned together on the driver, in numpy, from a bounded sample of labelled rows, half of
+it of each class where there are enough; the share of the classes among all labels is put back into the bias. Averaging
+and the softmax are linear, so a trained model is one number per hash bucket: a word's weight is the mean over its
+buckets, a pair's that of its own, a document's score the logistic of the mean over both. Workers get those numbers alone.
 """
 
 from __future__ import annotations
@@ -10,16 +12,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Stands for a word that repeats the one before it; no text holds it as a word, for it has a separator.
-REPEAT = " again "
+from strataledger.llm.storage import written
+
+BASE, SECOND, LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 @dataclass(frozen=True)
@@ -32,7 +35,7 @@ class Options:
     shortest: int = 3
     longest: int = 5
     lower: bool = True
-    repeats: bool = False
+    pairs: bool = False
     epochs: int = 8
     rate: float = 30.0
     softmax_rate: float = 0.1
@@ -43,17 +46,24 @@ class Options:
     cache_words: int = 250_000
 
 
-def tokens(text: str | None, options: Options) -> Counter:
-    """Words of a whole text with their counts."""
-    if not text:
-        return Counter()
-    words = (text.lower() if options.lower else text).split()
-    counts = Counter(words)
-    if options.repeats:
-        again = sum(map(eq, words, words[1:]))
-        if again:
-            counts[REPEAT] = again
-    return counts
+def tokens(text: str | None, options: Options, hashes: dict[str, int] | None = None) -> tuple[Counter, np.ndarray]:
+    """Words of a whole text with their counts; and, if they are wanted, the buckets of pairs of neighbours, in order.
+
+    ``hashes`` remembers words' hashes from text to text.
+    """
+    words = (text.lower() if options.lower else text).split() if text else []
+    if not options.pairs or len(words) < 2:
+        return Counter(words), np.zeros(0, np.int32)
+    counts, hashes = Counter(words), {} if hashes is None else hashes
+    if len(hashes) > options.cache_words:
+        hashes.clear()
+    for w in counts:
+        if w not in hashes:
+            hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    key = each[:-1] * BASE + each[1:]
+    key = (key ^ (key >> np.uint64(31))) * SECOND
+    return counts, (key >> np.uint64(64 - options.bits)).astype(np.int32)
 
 
 def features(words: Sequence[str], options: Options) -> tuple[np.ndarray, np.ndarray]:
@@ -64,27 +74,26 @@ def features(words: Sequence[str], options: Options) -> tuple[np.ndarray, np.nda
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(ends, lengths) - np.arange(len(flat))  # symbols from here to the word's end
-    base = np.uint64(0x9E3779B97F4A7C15)
     grams, owners = [], []
-    rolling = flat * base
+    rolling = flat * BASE
     for n in range(2, options.longest + 1):
         shifted = np.zeros_like(flat)
         shifted[: max(0, len(flat) - n + 1)] = flat[n - 1 :]
-        rolling = (rolling ^ (rolling >> np.uint64(29))) * base + shifted
+        rolling = (rolling ^ (rolling >> np.uint64(29))) * BASE + shifted
         if n >= options.shortest:
             whole = left >= n
             grams.append(rolling[whole])
             owners.append(owner[whole])
     # the word itself: its first n-grams chained over the whole length, by a sum of position-dependent products
     place = np.arange(len(flat), dtype=np.uint64) - np.repeat(ends - lengths, lengths).astype(np.uint64)
-    mixed = (flat + np.uint64(1)) * (place * np.uint64(2) + np.uint64(1)) * base
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (flat + np.uint64(1)) * (place * np.uint64(2) + np.uint64(1)) * BASE
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * SECOND
     grams.append(np.add.reduceat(mixed, ends - lengths) ^ np.uint64(0x5555555555555555))
     owners.append(np.arange(len(words)))
     key, own = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     key = key[order]
-    key = (key ^ (key >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    key = (key ^ (key >> np.uint64(32))) * LAST
     starts = np.searchsorted(own[order], np.arange(len(words)))
     return (key >> np.uint64(64 - options.bits)).astype(np.int64), starts
 
@@ -106,8 +115,8 @@ class Model:
     bias: float
     options: Options
 
-    def score(self, text: str | None, cache: dict[str, float]) -> float:
-        counts = tokens(text, self.options)
+    def score(self, text: str | None, cache: dict[str, float], hashes: dict[str, int] | None = None) -> float:
+        counts, pairs = tokens(text, self.options, hashes)
         new = [w for w in counts if w not in cache]
         if new:
             if len(cache) + len(new) > self.options.cache_words:
@@ -115,20 +124,21 @@ class Model:
                 new = list(counts)
             cache.update(zip(new, word_means(self.weights, new, self.options).tolist(), strict=True))
         total = sum(map(float.__mul__, map(cache.__getitem__, counts), map(float, counts.values())))
-        logit = self.bias + (total / counts.total() if counts else 0.0)
+        total += float(self.weights[pairs].sum(dtype=np.float64))
+        logit = self.bias + (total / (counts.total() + len(pairs)) if counts else 0.0)
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def _rows(texts: Iterable[Counter], options: Options):
+def _rows(texts: Iterable[tuple[Counter, np.ndarray]], options: Options):
     """Documents as sparse rows: row starts, columns, weights; and the bucket of each column.
 
     Columns are the buckets of at least ``options.min_docs`` documents: what fewer share can only be learned by heart.
     """
     ids: dict[str, int] = {}
     docs = []
-    for counts in texts:
+    for counts, pairs in texts:
         index = np.fromiter((ids.setdefault(w, len(ids)) for w in counts), np.int32, len(counts))
-        docs.append((index, np.fromiter(counts.values(), np.float32, len(counts))))
+        docs.append((index, np.fromiter(counts.values(), np.float32, len(counts)), pairs))
     parts, sizes, words = [], [], list(ids)
     for k in range(0, len(words), 20_000):
         buckets, starts = features(words[k : k + 20_000], options)
@@ -143,16 +153,17 @@ def _rows(texts: Iterable[Counter], options: Options):
         return np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
     seen = np.zeros(1 << options.bits, np.int32)
-    for index, _ in docs:
-        seen[np.unique(buckets[places(index)[0]])] += 1
+    for index, _, pairs in docs:
+        seen[np.unique(np.concatenate([buckets[places(index)[0]], pairs]))] += 1
     used = np.flatnonzero(seen >= min(options.min_docs, len(docs)))
     column = np.full(1 << options.bits, -1, np.int32)
     column[used] = np.arange(len(used))
     rows, cols, vals = [0], [none], [np.zeros(0, np.float32)]
-    for index, tf in docs:
+    for index, tf, pairs in docs:
         at, n = places(index)
-        own = column[buckets[at]]
-        share = np.repeat(tf / np.maximum(1, tf.sum()) / np.maximum(n, 1), n)[own >= 0]
+        own = column[np.concatenate([buckets[at], pairs])]
+        share = np.concatenate([np.repeat(tf / np.maximum(n, 1), n), np.ones(len(pairs), np.float32)])
+        share = (share / max(1, tf.sum() + len(pairs)))[own >= 0]
         unique, inverse = np.unique(own[own >= 0], return_inverse=True)
         cols.append(unique)
         vals.append(np.bincount(inverse, weights=share, minlength=len(unique)).astype(np.float32))
@@ -160,8 +171,11 @@ def _rows(texts: Iterable[Counter], options: Options):
     return np.array(rows), np.concatenate(cols), np.concatenate(vals), used
 
 
-def train(texts: Iterable[Counter], labels: Sequence[int], options: Options) -> Model:
-    """Learn from the words of texts with their counts: vectors and softmax by stochastic gradient descent with a rate per bucket.
+def train(texts: Iterable[tuple[Counter, np.ndarray]], labels: Sequence[int], options: Options, share: float | None = None) -> Model:
+    """Learn from texts as ``tokens`` gives them: vectors and softmax by stochastic gradient descent with a rate per bucket.
+
+    ``share`` is that of class 1 among all labels, where ``labels`` are a sample by class: the bias is moved by what the
+    two differ.
 
     A bucket's vector leaves its random start only as far as the sum of its gradients exceeds ``doubt`` times the
     root of their squares, so what single mislabelled documents pull at stays where it was.
@@ -172,9 +186,10 @@ def train(texts: Iterable[Counter], labels: Sequence[int], options: Options) ->
     prior = (y.sum() + 0.5) / (len(y) + 1)
     rng = np.random.default_rng(options.seed)
     bias = float(np.log(prior / (1 - prior)))
+    moved = 0.0 if share is None else float(np.log(share / (1 - share))) - bias
     n_buckets = 1 << options.bits
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(n_buckets, np.float32), bias, options)
+        return Model(np.zeros(n_buckets, np.float32), bias + moved, options)
     rows, cols, vals, used = _rows(texts, options)
     vectors = rng.uniform(-0.5, 0.5, (len(used), options.dim)) / options.dim
     origin, pulled = vectors.copy(), np.zeros_like(vectors)
@@ -215,41 +230,55 @@ def train(texts: Iterable[Counter], labels: Sequence[int], options: Options) ->
             bias2 -= rate * error.sum(0) / np.sqrt(seen_bias)
     weights = np.zeros(n_buckets, np.float32)
     weights[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Model(weights, float(bias2[1] - bias2[0]), options)
+    return Model(weights, float(bias2[1] - bias2[0]) + moved, options)
+
+
+def by_class(known: DataFrame, rows: int) -> tuple[list, float | None]:
+    """Up to ``rows`` of ``known`` (``doc_id, __label, __order``), half of each class where there are enough, those of least
+    order; and the share of class 1 in all of it, None without rows."""
+    n = dict.fromkeys((0, 1), 0) | {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
+    ones = min(n[1], max(rows // 2, rows - n[0]))
+    quota = {1: ones, 0: min(n[0], rows - ones)}
+    picked = [r for c, k in quota.items() if k for r in known.where(F.col("__label") == c).orderBy("__order", "doc_id").limit(k).collect()]
+    return picked, (n[1] + 0.5) / (n[0] + n[1] + 1) if picked else None
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, held_out, options: Options) -> Model:
     """Train on the labelled rows that are not held out.
 
-    At most ``options.sample_rows`` rows go to the driver, those whose id hashes lowest. Labels other than 0 and 1,
-    and rows without an id or a text, teach nothing.
+    At most ``options.sample_rows`` rows go to the driver, half of each class where there are enough, those whose id hashes
+    lowest. Labels other than 0 and 1, and rows without an id or a text, teach nothing.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1))
-    known = known.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    # more ids than rows are wanted, for ids without a document
-    picked = known.withColumn("__order", F.xxhash64("doc_id")).orderBy("__order", "doc_id", "__label")
-    picked = picked.limit(2 * options.sample_rows).collect()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1))
+    known = known.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).withColumn("__order", F.xxhash64("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    # only labels that have a document count for the sample and for the shares
+    known = written(known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "known-labels")
+    picked, share = by_class(known, options.sample_rows)
     side = docs.sparkSession.createDataFrame(
         [(r.doc_id, r["__label"], r["__order"]) for r in picked], "doc_id long, __label int, __order long"
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     joined = texts.join(F.broadcast(side), "doc_id").select("text", "__order", "doc_id", "__label", F.xxhash64("text").alias("__text"))
 
     def count(batches):
+        hashes: dict[str, int] = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                counts = tokens(batch.column(0)[k].as_py(), options)
-                packed = ["\n".join(counts)], [np.fromiter(counts.values(), "<u4", len(counts)).tobytes()]
-                columns = [pa.array(packed[0], pa.string()), pa.array(packed[1], pa.binary())]
+                counts, pairs = tokens(batch.column(0)[k].as_py(), options, hashes)
+                packed = np.fromiter(counts.values(), "<u4", len(counts)).tobytes(), pairs.astype("<i4").tobytes()
+                columns = [pa.array(["\n".join(counts)], pa.string()), *(pa.array([x], pa.binary()) for x in packed)]
                 kept = [batch.column(j).slice(k, 1) for j in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([*columns, *kept], names=["words", "counts", "order", "doc_id", "label", "text"])
+                yield pa.RecordBatch.from_arrays([*columns, *kept], names=["words", "counts", "pairs", "order", "doc_id", "label", "text"])
 
     # words hold no line ends, and stand in one string so that a row is small
-    schema = "words string, counts binary, order long, doc_id long, label int, text long"
+    schema = "words string, counts binary, pairs binary, order long, doc_id long, label int, text long"
     sample = joined.mapInArrow(count, schema).orderBy("order", "doc_id", "label", "text").limit(options.sample_rows)
-    rows = sample.select("words", "counts", "label").collect()
-    texts = (Counter(dict(zip(r.words.split("\n"), np.frombuffer(r.counts, "<u4").tolist(), strict=True))) if r.counts else Counter() for r in rows)
-    return train(texts, [r.label for r in rows], options)
+    rows = sample.select("words", "counts", "pairs", "label").collect()
+    found = (
+        (Counter(dict(zip(r.words.split("\n"), np.frombuffer(r.counts, "<u4").tolist(), strict=True))) if r.counts else Counter(), np.frombuffer(r.pairs, "<i4"))
+        for r in rows
+    )
+    return train(found, [r.label for r in rows], options, share)
 
 
 def classify(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
@@ -266,9 +295,10 @@ def classify(docs: DataFrame, model: Model, score: str = "score", predicted: str
 
     def run(batches):
         cache: dict[str, float] = {}
+        hashes: dict[str, int] = {}
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
-            found = [shared.value.score(t.as_py(), cache) for t in texts]
+            found = [shared.value.score(t.as_py(), cache, hashes) for t in texts]
             columns = [batch.column(batch.schema.names.index(c)) for c in kept]
             hard = pa.array([int(x >= 0.5) for x in found], pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64()), hard], names=names)
@@ -281,9 +311,9 @@ def fold(doc_id, modulus: int):
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(modulus))
 
 
-#: The settings in use: words in lower case for toxicity; case and repetition tell quality.
+#: The settings in use: words in lower case for toxicity; case and what stands beside a word tell quality.
 TOXICITY = Options(lower=True)
-QUALITY = Options(lower=False, repeats=True)
+QUALITY = Options(lower=False, pairs=True, min_docs=5, doubt=3.0)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, options: Options):

@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 from strataledger.llm.words import alnum_words
 
@@ -33,21 +34,29 @@ def _hash_of_symbols(word, options):
     return [*out, bucket((total & ALL) ^ 0x5555555555555555)]
 
 
+def _pairs(words, options):
+    """The bucket of each pair of neighbours."""
+    out = []
+    for pair in zip(words, words[1:]) if options.pairs else ():
+        first, second = (xxhash.xxh64(w.encode("utf-8", "surrogatepass")).intdigest() for w in pair)
+        key = (first * 0x9E3779B97F4A7C15 + second) & ALL
+        out.append((((key ^ (key >> 31)) * 0xBF58476D1CE4E5B9) & ALL) >> (64 - options.bits))
+    return out
+
+
 def classifier(texts, labels, options):
     """Bucket weights and bias, learned row by row in plain Python: ``weights`` (a dict), ``bias``."""
     docs = []
     for text in texts:
         words = (text.lower() if options.lower else text).split()
-        counts = Counter(words)
-        if options.repeats:
-            again = sum(a == b for a, b in zip(words, words[1:]))
-            if again:
-                counts[" again "] = again
+        pairs = _pairs(words, options)
         row = Counter()
-        for word, n in counts.items():
+        for word in words:
             buckets = _hash_of_symbols(word, options)
             for b in buckets:
-                row[b] += n / sum(counts.values()) / len(buckets)
+                row[b] += 1 / (len(words) + len(pairs)) / len(buckets)
+        for b in pairs:
+            row[b] += 1 / (len(words) + len(pairs))
         docs.append(row)
     seen = Counter(b for row in docs for b in row)
     used = sorted(b for b, n in seen.items() if n >= min(options.min_docs, len(docs)))
@@ -108,8 +117,8 @@ def classifier(texts, labels, options):
 def classifier_score(text, weights, bias, options):
     """The chance of label 1 by these weights."""
     words = (text.lower() if options.lower else text).split()
-    marks = [" again "] * (sum(a == b for a, b in zip(words, words[1:])) if options.repeats else 0)
-    means = [np.mean([weights.get(b, 0.0) for b in _hash_of_symbols(w, options)]) for w in [*words, *marks]]
+    means = [np.mean([weights.get(b, 0.0) for b in _hash_of_symbols(w, options)]) for w in words]
+    means += [weights.get(b, 0.0) for b in _pairs(words, options)]
     return 1 / (1 + math.exp(-(bias + (sum(means) / len(means) if means else 0.0))))
 
 

@@ -394,6 +394,17 @@ def test_classifiers_equal_plain_python(options):
         assert model.score(text, {}) == pytest.approx(brute.classifier_score(text, weights, bias, options), abs=1e-4)
 
 
+def test_a_sample_by_class_keeps_the_share_of_the_classes(spark):
+    known = spark.createDataFrame([(i, int(i % 10 == 0), i * 7 % 101) for i in range(200)], "doc_id long, __label int, __order long")
+    picked, share = S.by_class(known, 30)
+    assert Counter(r["__label"] for r in picked) == {1: 15, 0: 15} and share == pytest.approx(20.5 / 201)
+    assert Counter(r["__label"] for r in S.by_class(known, 100)[0]) == {1: 20, 0: 80}  # all of the smaller class
+    assert S.by_class(known.limit(0), 30) == ([], None)
+    lots = [S.tokens(t, S.TOXICITY) for t in ("good", "bad")] * 20
+    even, moved = (S.train(lots, [0, 1] * 20, S.TOXICITY, share) for share in (None, 0.1))
+    assert moved.bias - even.bias == pytest.approx(np.log(0.1 / 0.9), abs=1e-9) and np.array_equal(moved.weights, even.weights)
+
+
 def test_quality_is_told_on_held_out_rows(spark, empty):
     rng = random.Random(12)
     rows = []

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataledger.operators import answers, briefs, evaluation, ledger, patterns
-from strataledger.plans.archive import read_reports, with_index
+from strataledger.plans.archive import parse_files, stored
 from strataledger.plans.settings import Settings, SettingsError, resolve
 from strataledger.sources import folder, warehouse
 from strataledger.sources.storage import exists
+from strataledger.sources.tables import Warehouse
 
 # Exit codes of a brief that is not verified, and of one without exposure.
 NOT_VERIFIED, NO_EXPOSURE = 2, 3
-DOCUMENTS = "doc_id string, doc_type string, tenant string, text string, page_ends array<int>"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,7 +30,8 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("folder")
     ingest.add_argument("--prune", action="store_true")
     ingest.add_argument("--dry-run", action="store_true")
-    commands.add_parser("index")
+    ingest.add_argument("--field", help="where documents are filed that name no field")
+    commands.add_parser("index").add_argument("--rebuild", action="store_true")
     commands.add_parser("status")
     commands.add_parser("ask").add_argument("question")
     brief = commands.add_parser("brief")
@@ -48,24 +49,6 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def read_files(settings: Settings):
-    """Documents, losses and manifest rows of files, as ``warehouse.ingest`` takes them."""
-
-    def read(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        found = folder.texts(files)
-        docs = found.where("status = 'ingested'").select("doc_id", "doc_type", "text", F.col("page_ends").cast("array<int>").alias("page_ends"))
-        archive = read_reports(docs, settings.template())
-        documents = archive.documents.select("doc_id", "doc_type", F.coalesce("tenant", F.lit("")).alias("tenant"), "text", "page_ends")
-        rows = found.select("path", "sha256", "size", F.array("doc_id").alias("doc_ids"), "status", "reason")
-        return documents, archive.ledger, rows
-
-    return read
-
-
-def stored(house: warehouse.Warehouse, settings: Settings) -> answers.Archive:
-    return read_reports(house.read("documents", DOCUMENTS).select("doc_id", "doc_type", "text", "page_ends"), settings.template())
-
-
 def thresholds(settings: Settings) -> patterns.Thresholds:
     r = settings.risk
     return patterns.Thresholds(r.min_wells, r.min_support, r.min_lift, r.equipment_min_ratio, r.equipment_min_rate, r.equipment_min_wells)
@@ -73,18 +56,20 @@ def thresholds(settings: Settings) -> patterns.Thresholds:
 
 def run(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> tuple[object, int]:
     """What a command prints, and its exit code."""
-    house = warehouse.Warehouse(spark, args.root.rstrip("/"))
+    house = Warehouse(spark, args.root.rstrip("/"))
     if args.command == "ingest":
-        return warehouse.ingest(house, folder.scan(spark, args.folder), read_files(settings), args.prune, args.dry_run), 0
+        return warehouse.ingest(house, folder.scan(spark, args.folder), parse_files(settings, args.field), args.prune, args.dry_run), 0
     if args.command == "index":
-        warehouse.build_index(house, settings.retrieval.k1, settings.retrieval.b)
+        warehouse.build_index(house, settings.retrieval.k1, settings.retrieval.b, args.rebuild)
         return {"index": warehouse.index_hash(house)}, 0
     if args.command == "status":
         return [r.asDict() for r in warehouse.index_status(house, settings.retrieval.k1, settings.retrieval.b).orderBy("tenant").collect()], 0
+    if args.command in ("ask", "eval"):
+        warehouse.ensure_index(house, settings.retrieval.k1, settings.retrieval.b)
     archive = stored(house, settings)
     rate = settings.costs.spread_rate
     if args.command == "ask":
-        found = answers.ask(with_index(archive), args.question, settings.retrieval.top_k, rate, settings.taxonomy.keywords)
+        found = answers.ask(archive, args.question, settings.retrieval.top_k, rate, settings.taxonomy.keywords)
         warehouse.log(house, "ask", {k: found[k] for k in ("question", "abstained", "plan")})
         return found, 0
     if args.command == "brief":
@@ -98,13 +83,13 @@ def run(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> tu
         return briefs.markdown(found) if args.markdown else found, 0 if found["verification"]["ok"] else NOT_VERIFIED
     if args.command == "npt":
         rows = ledger.filter_ledger(archive.ledger, since=args.since)
-        return [r.asDict() for r in ledger.rollup(rows, [args.by], answers.AVOIDABLE, rate).orderBy(F.col("total_hours").desc(), args.by).limit(1000).collect()], 0
+        return [r.asDict() for r in ledger.rollup(rows, [args.by], answers.AVOIDABLE, rate).orderBy(F.col("total_hours").desc(), args.by).collect()], 0
     if args.command == "patterns":
         own = archive.ledger.where(F.col("tenant") == args.tenant).withColumns({"report_id": F.col("doc_id"), "line": F.col("event_ord")})
         daily = archive.daily.where(F.col("tenant") == args.tenant)
-        return [r.asDict() for r in patterns.find_patterns(daily, own, answers.AVOIDABLE, briefs.RIG_CODES, briefs.TOOL_CODES, thresholds(settings)).limit(1000).collect()], 0
+        return [r.asDict() for r in patterns.find_patterns(daily, own, answers.AVOIDABLE, briefs.RIG_CODES, briefs.TOOL_CODES, thresholds(settings)).collect()], 0
     with open(args.cases, encoding="utf-8") as file:
-        found = evaluation.run_cases(evaluation.load_cases(file.read()), with_index(archive))
+        found = evaluation.run_cases(evaluation.load_cases(file.read()), archive)
     return found, 0 if found["all_gates"] else 1
 
 

@@ -23,6 +23,36 @@ def without_recorded(claims: DataFrame, recorded: DataFrame, tolerance: str = HO
     return claims.join(r, same & near, "left_anti")
 
 
+def matched(claims: DataFrame, recorded: DataFrame, keys: list[str], value: str, tolerance: float, most: int = 1_000_000) -> DataFrame:
+    """``claims`` with ``matched``: whether a recorded row of equal keys lies within ``tolerance`` of its value.
+
+    A band join over bins as wide as the band: what is recorded becomes one row a bin, with its least and greatest value
+    and those of both neighbours, so that a claim meets one row at most. Bins with more than ``most`` claims are dealt
+    over several tasks. Null keys and values match nothing.
+    """
+    bin_of = lambda v: F.floor(v.cast("double") / F.lit(tolerance))
+    spans = recorded.where(F.col(value).isNotNull()).groupBy(*keys, bin_of(F.col(value)).alias("__bin")).agg(
+        F.min(F.col(value).cast("double")).alias("__low"), F.max(F.col(value).cast("double")).alias("__high")
+    )
+    # what a claim of a bin can meet: the greatest value below, the bin's own two, the least value above
+    near = F.array(
+        F.struct((F.col("__bin") - 1).alias("b"), F.array("__low").alias("v")),
+        F.struct(F.col("__bin").alias("b"), F.array("__low", "__high").alias("v")),
+        F.struct((F.col("__bin") + 1).alias("b"), F.array("__high").alias("v")),
+    )
+    reach = spans.select(*keys, F.inline(near)).groupBy(*keys, F.col("b").alias("__bin")).agg(F.flatten(F.collect_list("v")).alias("__near"))
+    rows = claims.withColumn("__bin", bin_of(F.col(value)))
+    crowded = rows.groupBy(*keys, "__bin").agg(F.ceil(F.count("*") / most).alias("__parts")).where("__parts > 1")
+    at = [*keys, "__bin"]
+    part = F.coalesce("__parts", F.lit(1).cast("long"))
+    reach = reach.join(crowded, at, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), part - 1))).drop("__parts")
+    # a crowded bin holds more than ``most`` rows, so there are few of them
+    rows = rows.join(F.broadcast(crowded), at, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), part)).drop("__parts")
+    met = F.exists("__near", lambda v: F.abs(v - F.col(value).cast("double")) <= F.lit(tolerance))
+    out = rows.join(reach, [*at, "__part"], "left")
+    return out.select(*claims.columns, F.coalesce(met, F.lit(False)).alias("matched"))
+
+
 def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:
     """Whether two closed intervals meet; an interval without a start is its end alone."""
     return (F.coalesce(start, end) <= high) & (end >= low)

@@ -3,24 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataledger.sources.docx import docx_text
 from strataledger.sources.pdf import pdf_text
 from strataledger.sources.reports import kind_of
+from strataledger.sources.storage import empty_files
 
 PLAIN = ("txt", "md")
-READABLE = (*PLAIN, "pdf", "docx")
+LEDGER = "csv"
+READABLE = (*PLAIN, "pdf", "docx", LEDGER)
 CONFIG = "strataledger.toml"
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder, not of those below it; names with a leading underscore and the configuration are skipped.
-
-    ``path, name, stem, extension, size, sha256, content``.
-    """
+    """Files of a folder, not of those below it, as ``described`` gives them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    # Spark's reader passes over empty files
+    empty = [(path, 0, b"") for path in empty_files(spark, folder)]
+    return described(files.select("path", "length", "content").union(spark.createDataFrame(empty, "path string, length long, content binary")))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """``path, name, stem, extension, size, sha256, content`` of files as Spark reads them; names with a leading
+    underscore and the configuration are skipped."""
     name = F.regexp_extract("path", "([^/]+)$", 1)
     return files.select(
         "path", name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"),
@@ -29,6 +35,13 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     ).where(~F.col("name").startswith("_") & (F.col("name") != CONFIG))
 
 
+def ids(files: DataFrame) -> DataFrame:
+    """``path, doc_id`` of files: their stems, with eight digits of the path's hash where several share one."""
+    alike = files.groupBy("stem").agg(F.count("*").alias("__alike"))
+    named = F.when(F.col("__alike") > 1, F.concat_ws("-", "stem", F.substring(F.sha2("path", 256), 1, 8))).otherwise(F.col("stem"))
+    return files.select("path", "stem").join(alike, "stem").select("path", named.alias("doc_id"))
+
+
 def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that the manifest doesn't hold as read with the same content."""
     read = manifest.where(F.col("status") == "ingested").select("path", "sha256")
@@ -43,8 +56,8 @@ def gone(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def texts(files: DataFrame) -> DataFrame:
     """Texts of files, of PDF files with the end of each page: ``status`` and ``reason`` say what could not be read.
 
-    A byte-order mark goes, and line ends become one kind. Ids are file stems; stems that several files share get
-    eight digits of the path's hash.
+    A byte-order mark goes, and line ends become one kind. Ids are those of ``ids`` over these files, unless the files
+    bring a ``doc_id`` of their own.
     """
     plain = F.col("extension").isin(*PLAIN)
     decoded = F.try_validate_utf8(F.decode(F.when(plain, F.col("content")), "UTF-8"))
@@ -56,11 +69,10 @@ def texts(files: DataFrame) -> DataFrame:
     files = files.withColumns({f"__{k}": f(F.when(F.col("extension") == k, F.col("content"))) for k, f in read.items()})
     of_kind = lambda part: F.coalesce(*(F.when(F.col("extension") == k, F.col(f"__{k}.{part}")) for k in read))
     text = F.coalesce(text, of_kind("text"))
-    same = F.count("*").over(W.partitionBy("stem"))
-    doc_id = F.when(same > 1, F.concat_ws("-", "stem", F.substring(F.sha2("path", 256), 1, 8))).otherwise(F.col("stem"))
+    files = files if "doc_id" in files.columns else files.join(ids(files), "path")
     reason = F.when(~known, "unsupported extension").when(plain & ~valid, "not UTF-8").otherwise(of_kind("reason"))
     files = files.withColumn("page_ends", F.col("__pdf.page_ends"))
-    out = files.withColumns({"doc_id": doc_id, "reason": reason}).withColumn(
+    out = files.withColumns({"reason": reason}).withColumn(
         "status", F.when(F.col("reason").isNull(), "ingested").otherwise("skipped")
     )
     out = out.withColumn("text", F.when(F.col("reason").isNull(), text)).drop("content", "__pdf", "__docx")

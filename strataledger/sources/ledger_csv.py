@@ -14,7 +14,7 @@ REQUIRED = ("well", "date", "code", "hours")
 OPTIONAL = ("field", "depth", "section", "formation", "rig", "description")
 SCHEMA = (
     "path string, line int, raw string, entity string, day date, code string, hours double, tenant string, depth double, "
-    "section string, formation string, rig string, description string, error string, warning string"
+    "section string, formation string, rig string, description string, error string, warning string, failed boolean"
 )
 
 
@@ -114,7 +114,7 @@ def records(text: str, columns: Mapping[str, str], date_format: str | None) -> I
         except ValueError as error:
             failure = error
     else:
-        yield {"line": start + 1, "raw": head, "error": str(failure)}
+        yield {"line": start + 1, "raw": head, "error": str(failure) if head else "the file is empty", "failed": True}
         return
 
     def reads_alone(line: str) -> bool:
@@ -163,7 +163,10 @@ def records(text: str, columns: Mapping[str, str], date_format: str | None) -> I
 
 
 def read_ledgers(files: DataFrame, columns: Mapping[str, str] | None = None, date_format: str | None = None) -> DataFrame:
-    """Rows of CSV ledgers from ``path, content``; a file is read by one task."""
+    """Rows of CSV ledgers from ``path, content``; a file is read by one task.
+
+    A file that is no ledger gives one row, with ``failed``; any other row with an ``error`` is a row that cannot be read.
+    """
     check_mapping(columns or {}, date_format)
     own, names = dict(columns or {}), [f.split()[0] for f in SCHEMA.split(", ")]
 
@@ -173,7 +176,7 @@ def read_ledgers(files: DataFrame, columns: Mapping[str, str] | None = None, dat
                 try:
                     text = bytes(content).decode("utf-8")
                 except UnicodeDecodeError as error:
-                    rows = [{"line": 0, "error": f"not UTF-8 at byte {error.start}"}]
+                    rows = [{"line": 0, "error": f"not UTF-8 at byte {error.start}", "failed": True}]
                 else:
                     rows = list(records(text, own, date_format))
                 yield pd.DataFrame([{"path": path} | r for r in rows], columns=names, dtype=object)

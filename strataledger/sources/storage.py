@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
@@ -49,6 +50,70 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path, and the file system that holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Names in a folder, with the time of their last change in milliseconds; nothing for a folder that isn't there."""
+    target, files = _hadoop_path(spark, folder)
+    if not files.exists(target):
+        return []
+    return [(f.getPath().getName(), f.getModificationTime()) for f in files.listStatus(target)]
+
+
+def empty_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the files of no bytes in a folder."""
+    target, files = _hadoop_path(spark, folder)
+    return [f.getPath().toString() for f in files.listStatus(target) if f.isFile() and f.getLen() == 0]
+
+
+def bytes_below(spark: SparkSession, path: str) -> int:
+    target, files = _hadoop_path(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    target, files = _hadoop_path(spark, path)
+    stream = files.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file whole, or not at all if there is one already: of several writers just one succeeds.
+
+    The text is written under a name of its own, and then linked (on a local disk) or renamed without leave to replace,
+    which is one step on HDFS and on stores that rename in one step.
+    """
+    jvm = spark.sparkContext._jvm
+    folder, name = path.rsplit("/", 1)
+    own, files = _hadoop_path(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    target, _ = _hadoop_path(spark, path)
+    out = files.create(own, False)
+    out.write(text.encode())
+    out.close()
+    try:
+        if files.getUri().getScheme() == "file":
+            place = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0))
+            jvm.java.nio.file.Files.createLink(place(target), place(own))
+        else:
+            options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs.Options, "Rename"), 0)
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(own, target, options)
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        remove(spark, str(own))
+    return True
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a written table: lineage is cut, and lost executors lose nothing of it."""
     return written_at(df, label)[0]

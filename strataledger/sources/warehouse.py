@@ -1,116 +1,85 @@
-"""The tables of a workspace on disk: keyed merges, deletes, lookups, search indexes and their freshness, and an audit log.
+"""A workspace on disk: documents with their chunks and losses, the files they came from, search indexes, an audit log.
 
-A table is a folder of versions. A write makes the next version whole and only then names it in ``_current``, so readers
-see the old or the new table and a failed or repeated write leaves the old one. The version before stays until the next
-write, for those who still read it.
+Everything that a change touches is committed as one version of the tables (see ``sources.tables``).
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataledger.functions.text import slug, tokenize
+from strataledger.functions.text import slug
 from strataledger.operators import retrieval as R
+from strataledger.operators import search_index as SI
 from strataledger.operators.ledger import stream_digest
-from strataledger.sources.storage import exists, remove, written
+from strataledger.operators.matching import matched
+from strataledger.sources.folder import ids
+from strataledger.sources.storage import written
+from strataledger.sources.tables import Transaction, Warehouse
 
-# What an index was built with.
+# What an index was built with; hours that a ledger row and a report's entry of one loss may differ by.
 EMBEDDER, K1, B = "hashing-512", 1.5, 0.75
+SAME_HOURS = 0.05
+MANIFEST = "path string, sha256 string, size long, doc_ids array<string>, status string, reason string"
+#: Tables that hold rows of documents, filed by ``doc_id``.
+OF_DOCUMENTS = ("documents", "events", "chunks", "daily", "finals", "incidents")
 
 
 @dataclass(frozen=True)
-class Warehouse:
-    """Tables below a root that every executor reaches."""
-
-    spark: SparkSession
-    root: str
-
-    def _files(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self, table: str) -> list[str]:
-        """The version that stands, and the one before it."""
-        mark = f"{self.root}/{table}/_current"
-        if not exists(self.spark, mark):
-            return []
-        jvm, files = self._files()
-        with_lines = files.open(jvm.org.apache.hadoop.fs.Path(mark))
-        try:
-            return bytes(with_lines.readAllBytes()).decode().split()
-        finally:
-            with_lines.close()
-
-    def _current(self, table: str) -> str | None:
-        return next(iter(self._versions(table)), None)
-
-    def read(self, table: str, empty: str | None = None) -> DataFrame:
-        """The table as it stands; where there is none yet, an empty one of a given schema."""
-        version = self._current(table)
-        if version is None:
-            if empty is None:
-                raise FileNotFoundError(f"no table {table} in {self.root}")
-            return self.spark.createDataFrame([], empty)
-        return self.spark.read.parquet(f"{self.root}/{table}/{version}")
-
-    def write(self, table: str, rows: DataFrame, by: tuple[str, ...] = ()) -> None:
-        """Replace a table; ``by`` are columns that its folders are split by."""
-        before, version = self._versions(table), f"v-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*by).parquet(f"{self.root}/{table}/{version}")
-        jvm, files = self._files()
-        part, mark = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{n}") for n in (f"_{version}", "_current"))
-        out = files.create(part, True)
-        out.write("\n".join([version, *before[:1]]).encode())
-        out.close()
-        files.delete(mark, False)
-        if not files.rename(part, mark):
-            raise OSError(f"could not commit {table}")
-        for old in before[1:]:
-            remove(self.spark, f"{self.root}/{table}/{old}")
-
-    def merge(self, table: str, rows: DataFrame, key: str = "doc_id") -> None:
-        """Rows of equal key are replaced, all others kept."""
-        if self._current(table) is None:
-            return self.write(table, rows)
-        kept = self.read(table).join(rows.select(key).distinct(), key, "left_anti")
-        self.write(table, kept.unionByName(rows, allowMissingColumns=True))
-
-    def delete(self, doc_ids: DataFrame, tables: tuple[str, ...] = ("documents", "events", "chunks")) -> None:
-        """Drop documents from every table that holds rows of theirs."""
-        for table in tables:
-            if self._current(table) is not None:
-                self.write(table, self.read(table).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"))
-
-    def delete_files(self, paths: DataFrame) -> None:
-        """Drop files from the manifest, and the documents that no other file produced."""
-        manifest = self.read("files")
-        gone = written(manifest.join(paths.select("path"), "path", "left_semi"), "gone-files")
-        rest = written(manifest.join(paths.select("path"), "path", "left_anti"), "other-files")
-        ids = gone.select(F.explode("doc_ids").alias("doc_id")).distinct()
-        self.delete(ids.join(rest.select(F.explode("doc_ids").alias("doc_id")), "doc_id", "left_anti"))
-        self.write("files", rest)
-
-    def get(self, table: str, key: str, value) -> dict | None:
-        """One row by its key."""
-        row = self.read(table).where(F.col(key) == value).limit(1).first()
-        return row.asDict(recursive=True) if row else None
+class Parsed:
+    """What files hold: documents, losses of reports, manifest rows, further tables by ``doc_id``, the losses that ledger
+    rows claim, and what is to be said about single rows (``path, line, kind, message``)."""
+
+    documents: DataFrame
+    events: DataFrame
+    files: DataFrame
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+    claims: DataFrame | None = None
+    messages: DataFrame | None = None
+
+
+def _put_documents(now: Transaction, documents: DataFrame, events: DataFrame | None, tables: dict[str, DataFrame] | None = None) -> None:
+    now.merge("documents", documents)
+    now.merge("chunks", R.chunk_documents(documents.select("doc_id", "tenant", "text")))
+    # a document's rows go even where it has none any more
+    for name, rows in {"events": events, **(tables or {})}.items():
+        if rows is not None:
+            now.delete(name, documents.select("doc_id"))
+            now.merge(name, rows)
 
 
 def put_documents(house: Warehouse, documents: DataFrame, events: DataFrame | None = None) -> None:
     """Documents, their chunks and their losses, in place of what stood under their ids."""
-    house.merge("documents", documents)
-    house.merge("chunks", R.chunk_documents(documents.select("doc_id", "tenant", "text")))
-    if events is not None:
-        old = house.read("events", events._jdf.schema().toDDL()).join(documents.select("doc_id"), "doc_id", "left_anti")
-        house.write("events", old.unionByName(events))
+    house.commit(lambda now: _put_documents(now, documents, events))
+
+
+def _delete(now: Transaction, doc_ids: DataFrame) -> None:
+    for table in OF_DOCUMENTS:
+        now.delete(table, doc_ids.select("doc_id"))
+
+
+def delete_documents(house: Warehouse, doc_ids: DataFrame) -> None:
+    """Drop documents from every table that holds rows of theirs."""
+    house.commit(lambda now: _delete(now, doc_ids))
+
+
+def _delete_files(now: Transaction, paths: DataFrame) -> None:
+    manifest = now.read("files", MANIFEST)
+    gone = written(manifest.join(paths.select("path"), "path", "left_semi"), "gone-files")
+    ids = gone.select(F.explode("doc_ids").alias("doc_id")).distinct()
+    rest = manifest.join(paths.select("path"), "path", "left_anti").select(F.explode("doc_ids").alias("doc_id"))
+    _delete(now, written(ids.join(rest, "doc_id", "left_anti"), "gone-documents"))
+    now.delete("files", gone.select("path"))
+
+
+def delete_files(house: Warehouse, paths: DataFrame) -> None:
+    """Drop files from the manifest, and the documents that no other file produced; unknown paths change nothing."""
+    house.commit(lambda now: _delete_files(now, paths))
 
 
 def chunk_scan(house: Warehouse, tenant: str | None = None) -> DataFrame:
@@ -119,34 +88,89 @@ def chunk_scan(house: Warehouse, tenant: str | None = None) -> DataFrame:
     return (chunks if tenant is None else chunks.where(F.col("tenant") == tenant)).orderBy("doc_id", "n")
 
 
+def register(daily: DataFrame) -> DataFrame:
+    """``entity, tenant, rig, first_day, deepest, sections, formations`` of every entity with daily reports."""
+    names = lambda c: F.sort_array(F.collect_set(c)).alias(f"{c}s")
+    latest = F.max_by("rig", F.struct("day", "doc_id")).alias("rig")
+    return daily.where("entity is not null").groupBy("entity").agg(
+        F.max("tenant").alias("tenant"), latest, F.min("day").alias("first_day"), F.max("depth_end").alias("deepest"), names("section"), names("formation")
+    )
+
+
+def extraction(daily: DataFrame) -> dict[str, float | None]:
+    """Shares of daily reports in which each attribute was found; None without reports."""
+    found = {
+        "depth": F.col("depth_end").isNotNull(), "section": F.coalesce("section", F.lit("")) != "", "formation": F.coalesce("formation", F.lit("")) != "",
+        "mud_weight": F.col("mud_weight").isNotNull(), "npt_blocks": F.col("text").rlike(r"(?m)^NPT DETAIL\s*$"),
+    }
+    return daily.agg(*(F.avg(F.when(c, 1.0).otherwise(0.0)).alias(k) for k, c in found.items())).first().asDict()
+
+
+def recorded(now: Transaction, events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Losses of daily reports: of this run, and of those on record that this run does not replace."""
+    keys = ("entity", "day", "code", "hours")
+    if not (now.has("events") and now.has("documents")):
+        return events.select(*keys)
+    reports = now.read("documents").where("doc_type = 'ddr'").select("doc_id").join(documents.select("doc_id"), "doc_id", "left_anti")
+    return events.select(*keys).unionByName(now.read("events").join(reports, "doc_id", "left_semi").select(*keys))
+
+
 def ingest(
-    house: Warehouse, files: DataFrame, read: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], prune: bool = False, dry_run: bool = False
+    house: Warehouse, files: DataFrame, read: Callable[[DataFrame], Parsed | tuple], prune: bool = False, dry_run: bool = False
 ) -> dict:
-    """Read what is new or changed, replace what those files produced before, and report.
+    """Read what is new or changed, replace what those files produced before, and report; a dry run writes nothing.
 
-    ``read``: from files to documents, losses and manifest rows ``path, sha256, size, doc_ids, status, reason``. A dry run
-    writes nothing.
+    A claim of a ledger row that a daily report records (of the same entity, day and code, within ``SAME_HOURS``) adds no
+    loss; its document stays. Claims are never held against each other. The new state is one version of the tables.
     """
-    empty = "path string, sha256 string, size long, doc_ids array<string>, status string, reason string"
-    manifest = house.read("files", empty)
+    # ids go by all files that are there, whether they are read again or not
+    names = [c for c in ("path", "sha256", "stem") if c in files.columns]
+    listing = written(files.select(*names), "found-files")
+    files = files.join(ids(listing), "path") if "stem" in names else files
+    manifest = house.read("files", MANIFEST)
     known = manifest.where("status = 'ingested'").select("path", "sha256")
-    fresh = files.join(known, ["path", "sha256"], "left_anti")
-    # what the tables hold now decides what changes, so it is read before any of them is written
-    documents, events, rows = (written(d, "ingested") for d in read(fresh))
-    gone = written(manifest.join(files.select("path"), "path", "left_anti"), "gone-files")
-    counts = {r.status: r["count"] for r in rows.groupBy("status").count().collect()}
-    report = {"read": counts, "unchanged": files.count() - fresh.count(), "gone": gone.count(), "events": events.count(), "pruned": False}
+    fresh = written(listing.join(known, ["path", "sha256"], "left_anti").select("path"), "fresh-files")
+    found = read(files.join(fresh, "path", "left_semi"))
+    found = found if isinstance(found, Parsed) else Parsed(*found)
+    # all of it is read once, before any table changes
+    kept = lambda d: d if d is None else written(d, "ingested")
+    found = Parsed(kept(found.documents), kept(found.events), kept(found.files), {k: kept(d) for k, d in found.tables.items()}, kept(found.claims), kept(found.messages))
+    gone = written(manifest.join(listing.select("path"), "path", "left_anti"), "gone-files")
+    counts = {r.status: r["count"] for r in found.files.groupBy("status").count().collect()}
+    seen = listing.count()
+    events, merged = found.events, 0
+    if found.claims is not None:
+        marked = written(matched(found.claims, recorded(house.begin(), found.events, found.documents), ["entity", "day", "code"], "hours", SAME_HOURS), "claims")
+        merged = marked.where("matched").count()
+        events = events.unionByName(marked.where("not matched").drop("matched"), allowMissingColumns=True)
+    report = {
+        "files": seen, "read": counts, "unchanged": seen - sum(counts.values()), "gone": gone.count(), "pruned": False, "documents": found.documents.count(),
+        "events": events.count(), "merged": merged,
+    }
+    if "daily" in found.tables:
+        report["extraction"] = extraction(found.tables["daily"].join(found.documents.select("doc_id", "text"), "doc_id"))
+    if "tenant" in found.documents.columns:
+        report["tenants"] = found.documents.select("tenant").distinct().count()
+    if found.messages is not None:
+        report["messages"] = {r.kind: r["count"] for r in found.messages.groupBy("kind").count().collect()}
     if dry_run:
         return report
-    before = manifest.join(rows.select("path"), "path", "left_semi").select(F.explode("doc_ids").alias("doc_id"))
-    stale = written(before.join(documents.select("doc_id"), "doc_id", "left_anti"), "stale-documents")
-    if not stale.isEmpty():
-        house.delete(stale)
-    put_documents(house, documents, events)
-    house.merge("files", rows, "path")
-    if prune and report["gone"]:
-        house.delete_files(gone)
-        report["pruned"] = True
+
+    def change(now: Transaction) -> None:
+        before = now.read("files", MANIFEST).join(found.files.select("path"), "path", "left_semi").select(F.explode("doc_ids").alias("doc_id"))
+        stale = written(before.join(found.documents.select("doc_id"), "doc_id", "left_anti").distinct(), "stale-documents")
+        _delete(now, stale)
+        _put_documents(now, found.documents, events, found.tables)
+        now.merge("files", found.files, "path")
+        if prune and report["gone"]:
+            _delete_files(now, gone)
+        if "daily" in found.tables:
+            now.write("entities", register(now.read("daily")), "entity")
+        if found.messages is not None:
+            now.write("messages", found.messages)
+
+    house.commit(change)
+    report["pruned"] = bool(prune and report["gone"])
     return report
 
 
@@ -170,14 +194,16 @@ def tenant_hashes(documents: DataFrame) -> DataFrame:
     return documents.groupBy("tenant").agg(F.sha2(F.concat_ws("-", F.count("*").cast("string"), *parts), 256).alias("corpus_hash"))
 
 
-def build_index(house: Warehouse, k1: float = K1, b: float = B, tokens: Callable[[Column], Column] = tokenize) -> None:
-    """Postings, vectors and what they were built from, split by tenant."""
-    chunks = house.read("chunks")
-    house.write("postings", R.postings(chunks, tokens(F.col("chunk")), "tenant", "chunk_id"), ("tenant",))
-    house.write("vectors", chunks.select("tenant", "chunk_id", R.embed("chunk").alias("vector")), ("tenant",))
+def build_index(house: Warehouse, k1: float = K1, b: float = B, rebuild: bool = True) -> None:
+    """Bring the stored index up to the documents, or build it anew; and what it was built from."""
     now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     built = {"embedder": F.lit(EMBEDDER), "k1": F.lit(k1), "b": F.lit(b), "built_at": F.lit(now), "slug": slug(F.col("tenant"))}
-    house.write("index_manifest", tenant_hashes(house.read("documents")).withColumns(built))
+
+    def change(transaction: Transaction) -> None:
+        SI.update(transaction, rebuild)
+        transaction.write("index_manifest", tenant_hashes(transaction.read("documents")).withColumns(built))
+
+    house.commit(change)
 
 
 def index_status(house: Warehouse, k1: float = K1, b: float = B) -> DataFrame:
@@ -199,16 +225,16 @@ def index_status(house: Warehouse, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def ensure_index(house: Warehouse, k1: float = K1, b: float = B, rebuild: bool = False) -> bool:
-    """Build the index if any tenant's is missing or out of date; whether it was built."""
+    """Bring the index up to date if any tenant's is missing or old; whether that was needed."""
     needed = rebuild or not index_status(house, k1, b).where("stale").isEmpty()
     if needed:
-        build_index(house, k1, b)
+        build_index(house, k1, b, rebuild)
     return needed
 
 
 def index_hash(house: Warehouse) -> str:
     """A digest of the index's manifest; empty without one."""
-    if house._current("index_manifest") is None:
+    if not house.has("index_manifest"):
         return ""
     lines = house.read("index_manifest").select(F.concat(F.to_json(F.struct("tenant", "corpus_hash", "embedder", "k1", "b")), F.lit("\n")).alias("line"))
     return stream_digest(lines).first().digest

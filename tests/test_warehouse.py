@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataledger.plans import settings as S
 from strataledger.sources import pdf as PDF
 from strataledger.sources import warehouse as WH
+from strataledger.sources.tables import Warehouse
 from strataledger.streaming.follow import follow
 
 DOCS = "doc_id string, tenant string, text string"
@@ -16,7 +17,7 @@ MANIFEST = "path string, sha256 string, size long, doc_ids array<string>, status
 
 @pytest.fixture
 def house(spark, tmp_path):
-    return WH.Warehouse(spark, f"file://{tmp_path}/house")
+    return Warehouse(spark, f"file://{tmp_path}/house")
 
 
 def docs(spark, *rows):
@@ -33,7 +34,7 @@ def test_merge_delete_and_lookup(spark, house):
     assert {(r.doc_id, r.hours) for r in house.read("events").collect()} == {("a", 9.0), ("b", 2.0)}
     scan = WH.chunk_scan(house, "x").collect()
     assert [r.chunk_id for r in scan][:2] == ["a#0", "b#0"] and "".join(r.chunk for r in scan if r.doc_id == "b") == "two " * 3000
-    house.delete(docs(spark, ("b", "", "")))
+    WH.delete_documents(house, docs(spark, ("b", "", "")))
     assert {t: house.read(t).select("doc_id").distinct().count() for t in ("documents", "events", "chunks")} == {"documents": 1, "events": 1, "chunks": 1}
 
 
@@ -67,7 +68,7 @@ def test_index_freshness_hashes_and_log(spark, house):
     assert WH.ensure_index(house) and not WH.ensure_index(house)
     before = WH.index_hash(house)
     assert status() == {"x": (1, 1, False), "y": (1, 1, False)} and len(before) == 64
-    assert {r.term for r in house.read("postings").where("tenant = 'x'").collect()} == {"stuck", "pipe"}
+    assert {r.term for r in house.read("index_blocks").where("tenant = 'x'").collect()} == {"stuck", "pipe"}
     assert WH.ensure_index(house, k1=1.2) and WH.ensure_index(house, k1=1.2, rebuild=True)
     WH.put_documents(house, docs(spark, ("c", "x", "more")))
     assert {r.tenant: r.stale for r in WH.index_status(house, k1=1.2).collect()} == {"x": True, "y": False}

@@ -207,21 +207,18 @@ def top_sources(ledger: DataFrame, n: int = 5) -> DataFrame:
     return sums.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def stream_digest(lines: DataFrame, column: str = "line") -> DataFrame:
-    """SHA-256 over all lines in ascending order: ``digest``.
+def quantile_sketches(ledger: DataFrame, by: list[str], value: str = "hours", k: int = 400) -> DataFrame:
+    """``by, n, sketch``: a KLL sketch of a value for each group, of a few kilobytes whatever the group's size.
 
-    Ranges are sorted apart and pass through one task as a stream, since the digest of a sequence needs all of it in
-    order; that task holds a batch at a time.
+    Sketches of parts merge (``merged_sketches``). With ``k`` of 400 a quantile's rank is within 1 % of the one asked for.
     """
-    import hashlib
+    return ledger.groupBy(*by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
 
-    import pyarrow as pa
 
-    def run(batches):
-        state = hashlib.sha256()
-        for batch in batches:
-            state.update("".join(batch.column(0).to_pylist()).encode())
-        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["digest"])
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of larger groups from those of their parts."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
 
-    ordered = lines.select(column).where(F.col(column).isNotNull()).orderBy(column).coalesce(1)
-    return ordered.mapInArrow(run, "digest string")
+
+def sketched_quantile(sketch: Column | str, share: float) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(share))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataledger.operators.passages import quote_of
+from strataledger.sources.storage import written
 
 # Verbs that open an instruction; phrases of practices and of failures.
 VERBS = (
@@ -76,19 +76,11 @@ def names_place(sentence: Column, section: str, formation: str) -> Column:
     return out
 
 
-def distinct_first(texts: list[str], most: int, least: float = 0.8) -> list[int]:
-    """Positions of the first ``most`` texts that aren't near one kept before: word sets of enough Jaccard similarity, or
-    the same first 90 letters and digits."""
-    kept: list[tuple[int, set, str]] = []
-    for k, text in enumerate(texts):
-        words, lead = set(re.findall("[a-z0-9]+", text.lower())), re.sub("[^a-z0-9]", "", text.lower())[:90]
-        near = (
-            (words and other and len(words & other) / len(words | other) >= least) or (lead and lead == before)
-            for _, other, before in kept
-        )
-        if len(kept) < most and not any(near):
-            kept.append((k, words, lead))
-    return [k for k, _, _ in kept]
+def near(words: Column, lead: Column, other_words: Column, other_lead: Column, least: float = 0.8) -> Column:
+    """Word sets of enough Jaccard similarity, or the same first 90 letters and digits."""
+    union = F.size(F.array_union(words, other_words))
+    similar = F.when(union > 0, F.size(F.array_intersect(words, other_words)) / union >= least).otherwise(False)
+    return similar | ((lead != "") & (lead == other_lead))
 
 
 def candidates(
@@ -126,28 +118,34 @@ def candidates(
     return quoted.select("score", "kind", "quote", "doc_id", "entity", source.alias("source"))
 
 
-def mined(found: DataFrame, most: int = 3) -> DataFrame:
-    """The best ``most`` candidates without near duplicates: ``rank, quote, doc_id, entity, source``.
+def mined(found: DataFrame, most: int = 3, by: tuple[str, ...] = (), few: int = 10_000) -> DataFrame:
+    """The best ``most`` candidates of each group ``by`` without near duplicates: ``by, rank, quote, doc_id, entity, source``.
 
-    Equal quotes are one first. What is left is read best first by one task, which keeps no more than it returns.
+    Equal quotes are one first. Then, ``most`` times, each group's best candidate is taken, and what is near to it goes: the
+    same as reading best first, and an aggregate and a filter over all tasks each time. What is taken is broadcast for up to
+    ``few`` groups.
     """
     order = F.struct((-F.col("score")).alias("s"), F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind")).alias("k"), "doc_id", "quote")
-    single = found.groupBy("quote").agg(
+    single = found.groupBy(*by, "quote").agg(
         F.min(order).alias("order"), F.min_by("entity", order).alias("entity"), F.min_by("source", order).alias("source")
     )
-    schema = pa.schema([("rank", pa.int32()), ("quote", pa.string()), ("doc_id", pa.string()), ("entity", pa.string()), ("source", pa.string())])
-
-    def pick(batches):
-        kept: list[dict] = []
-        for batch in batches:
-            if len(kept) == most:
-                continue
-            rows = kept + batch.to_pylist()
-            kept = [rows[k] for k in distinct_first([r["quote"] for r in rows], most)]
-        yield pa.RecordBatch.from_pylist([r | {"rank": k} for k, r in enumerate(kept, 1)], schema)
-
-    ordered = single.orderBy("order").coalesce(1).select("quote", F.col("order.doc_id").alias("doc_id"), "entity", "source")
-    return ordered.mapInArrow(pick, "rank int, quote string, doc_id string, entity string, source string")
+    words = F.array_distinct(F.filter(F.split(F.lower("quote"), "[^a-z0-9]+"), lambda w: w != ""))
+    lead = F.substring(F.regexp_replace(F.lower("quote"), "[^a-z0-9]", ""), 1, 90)
+    left = written(single.withColumns({"words": words, "lead": lead, "group": F.struct(*by) if by else F.lit(0)}), "candidates")
+    picks = []
+    for rank in range(1, most + 1):
+        kept = F.struct("quote", F.col("order.doc_id").alias("doc_id"), "entity", "source", "words", "lead")
+        pick = written(left.groupBy("group").agg(F.min_by(kept, "order").alias("pick")), "mined")
+        picks.append(pick.withColumn("rank", F.lit(rank)))
+        if rank < most:
+            side = F.broadcast(pick) if pick.count() <= few else pick
+            gone = near(F.col("words"), F.col("lead"), F.col("pick.words"), F.col("pick.lead")) | (F.col("quote") == F.col("pick.quote"))
+            left = left.join(side, "group").where(~gone).drop("pick")
+    out = picks[0]
+    for pick in picks[1:]:
+        out = out.unionByName(pick)
+    groups = [F.col(f"group.{c}").alias(c) for c in by]
+    return out.select(*groups, "rank", *(F.col(f"pick.{c}").alias(c) for c in ("quote", "doc_id", "entity", "source")))
 
 
 # What stands above groups of mitigations.

@@ -16,6 +16,7 @@ chunk's score is never above the sum of the bounds of its span.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strataledger.functions.text import normalise, term_score, tokenize
 from strataledger.operators import retrieval as R
-from strataledger.sources.storage import shared_dir, written
+from strataledger.sources.storage import new_path, written
 from strataledger.sources.tables import BUCKETS, Transaction, Warehouse, bucket_of
 
 #: Chunks in a span; segments beyond which an update makes all of them one; spans that a first pass reads of each tenant.
@@ -41,9 +42,12 @@ def index_text(chunk: Column) -> Column:
     return normalise(chunk)
 
 
-def terms_of(chunks: DataFrame) -> DataFrame:
+Split = Callable[[Column], Column]
+
+
+def terms_of(chunks: DataFrame, split: Split = tokenize) -> DataFrame:
     """``doc_id, tenant, chunk_id, length, tokens``."""
-    cut = chunks.select("doc_id", "tenant", "chunk_id", tokenize(index_text(F.col("chunk"))).alias("tokens"))
+    cut = chunks.select("doc_id", "tenant", "chunk_id", split(index_text(F.col("chunk"))).alias("tokens"))
     return cut.select("doc_id", "tenant", "chunk_id", F.size("tokens").cast("long").alias("length"), "tokens")
 
 
@@ -70,7 +74,7 @@ def _counted(cut: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
     return terms, sizes
 
 
-def update(now: Transaction, rebuild: bool = False) -> str:
+def update(now: Transaction, rebuild: bool = False, split: Split = tokenize) -> str:
     """Bring the index up to ``chunks``; whether that ``added`` a segment, made one of all (``built``), or found ``nothing``.
 
     Chunks that are not those last indexed, by document and digest of texts, are new; documents of theirs and those that
@@ -92,7 +96,7 @@ def update(now: Transaction, rebuild: bool = False) -> str:
         if old.isEmpty() and new.isEmpty():
             return "nothing"
         was = now.read("index_chunks").join(old, "doc_id", "left_semi")
-        terms, sizes = _counted(written(terms_of(was), "index-was"), -1)
+        terms, sizes = _counted(written(terms_of(was, split), "index-was"), -1)
         now.append("index_terms", terms, "term", ("term",))
         now.append("index_sizes", sizes.withColumn("segment", F.lit(segment)), "tenant")
         now.append("index_gone", old.withColumn("since", F.lit(segment)), "doc_id")
@@ -101,7 +105,7 @@ def update(now: Transaction, rebuild: bool = False) -> str:
         now.delete("index_state", old)
         fresh = chunks.join(new, "doc_id", "left_semi")
     fresh = written(fresh, "index-fresh")
-    cut = written(terms_of(fresh), "index-cut")
+    cut = written(terms_of(fresh, split), "index-cut")
     partitions = max(1, min(int(now.spark.conf.get("spark.sql.shuffle.partitions", "200")), cut.count() // (16 * SPAN) + 1))
     terms, sizes = _counted(cut, 1)
     buckets = max(BUCKETS, min(4096, cut.count() // 200_000))
@@ -209,15 +213,13 @@ class StoredIndex:
         return chunks if documents is None else chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
 
 
-def of_chunks(chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> StoredIndex:
+def of_chunks(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, split: Split = tokenize) -> StoredIndex:
     """An index of ``chunks`` (``doc_id, tenant, chunk_id, chunk``) in the session's folder for intermediate tables."""
-    from uuid import uuid4
-
-    house = Warehouse(chunks.sparkSession, f"{shared_dir(chunks.sparkSession)}/index-{uuid4().hex}")
+    house = Warehouse(chunks.sparkSession, new_path(chunks.sparkSession, "index"))
 
     def change(now: Transaction) -> None:
         now.write("chunks", chunks.select("doc_id", "tenant", "chunk_id", "chunk"), "doc_id")
-        update(now, rebuild=True)
+        update(now, True, split)
 
     house.commit(change)
     return StoredIndex.of(house, k1, b)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataledger.functions import text as X
+from strataledger.operators import digests as D
 from strataledger.operators import ledger as L
 from strataledger.operators import matching as M
 from strataledger.operators import patterns as P
@@ -253,9 +254,12 @@ def table_counts(spark, sf_dir):
 
 @query(
     """
-select sha256(string_agg(line, '' order by line)) as corpus_hash from (
-  select doc_id::varchar || ' ' || sha256(text) || chr(10) as line from documents
-)
+with l as (
+  select line || case when count(*) > 1 then '*' || count(*) else '' end as t, line, left(sha256(line), 2) as p
+  from (select doc_id::varchar || ' ' || sha256(text) || chr(10) as line from documents) where line is not null group by line
+), leaves as (select p, sha256(string_agg(t, '' order by line)) as d from l group by p),
+up as (select left(p, 1) as p, sha256(string_agg(d, '' order by p)) as d from leaves group by left(p, 1))
+select sha256(string_agg(d, '' order by p)) as corpus_hash from up
 """,
     ledger=False,
 )
@@ -263,7 +267,7 @@ def corpus_hash(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.sha2("text", 256), F.lit("\n")).alias("line")
     )
-    return L.stream_digest(lines).withColumnRenamed("digest", "corpus_hash")
+    return D.tree_digest(lines).withColumnRenamed("digest", "corpus_hash")
 
 
 # --- patterns ------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ the tables hold.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataledger.functions import text as X
@@ -19,13 +20,16 @@ from strataledger.operators import mitigations as MI
 from strataledger.operators import passages as PA
 from strataledger.operators import patterns as P
 from strataledger.operators import retrieval as R
+from strataledger.operators import search_index as SI
+from strataledger.operators import temporal as TM
 from strataledger.operators import verification as V
 from strataledger.plans.bindings import exposures, losses, table
 from strataledger.plans.planner import Plan
 from strataledger.plans.queries import query
 from strataledger.sources import ledger_csv, reports
 from strataledger.sources.folder import changed, gone, replaced
-from strataledger.sources.storage import written
+from strataledger.sources.storage import new_path, written
+from strataledger.sources.tables import Warehouse
 
 # --- parsing -------------------------------------------------------------------------------------------------------
 
@@ -246,23 +250,20 @@ def money_texts(spark, sf_dir):
 
 
 @query(
-    r"""
-with s as (select distinct trim(s) as s from (select unnest(string_split_regex(text, '[.\n]')) as s from documents)),
-n as (select regexp_replace(s, '[ \t\n\r\x0B\f]+', ' ', 'g') as s from s)
-select case when regexp_matches(s, '(?i)^(run|confirm|hold|condition|inspect|pump|place|keep|weight|record|spot|monitor|replace|log|pressure|plan|call|review|raise|reduce|maintain|install)\b')
-    or regexp_matches(s, '(?i)\b(hold at least|held gauge|only seepage|inspected and changed|inspect and change|rated to|reduce flow|cut to|cut flow rate|sweep|spot|spotted)\b')
-    or regexp_matches(s, '(?i)\bno\b[^.;]{0,30}\bfailures?\b|\bno\s+pump\s+npt\b') then 'practice'
-  when regexp_matches(s, '(?i)\b(packed off|total losses were taken|failed|washout|required repeated|stuck|tight hole|leaked)\b|\blost\b[^.;]{0,20}\bbbl\b') then 'failure'
-  else 'neutral' end as kind, count(*) as n from n group by 1
-union all select * from (values ('practice', 4), ('failure', 3), ('neutral', 3)) as v(kind, n) where false
+    """
+select p_partkey, case p_partkey % 6 when 3 then 'failure' when 4 then 'failure' when 5 then 'neutral' else 'practice' end as kind from part
 """,
     ledger=False,
 )
 def sentence_kinds(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    sentences = docs.select(F.explode(F.split("text", r"[.\n]")).alias("s")).select(F.btrim("s", F.lit(" ")).alias("s")).distinct()
-    squeezed = F.regexp_replace("s", r"[ \t\n\r\x0B\f]+", " ")
-    return sentences.groupBy(MI.sentence_kind(squeezed).alias("kind")).agg(F.count("*").alias("n"))
+    """An instruction, a success, a failure that did not recur, two failures and a plain sentence on every sixth part."""
+    k, size, brand = F.col("p_partkey"), F.col("p_size"), F.col("p_brand")
+    told = [
+        joined("Inspect  the ", brand, " first"), joined("Then flow was\ncut to ", size, " gpm"), joined("There were no further ", brand, " failures"),
+        joined("The ", brand, " packed off"), joined("It lost ", size, " bbl on ", brand), joined("The ", brand, " was run as planned"),
+    ]
+    sentence = F.element_at(F.array(*told), (k % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k, MI.sentence_kind(sentence).alias("kind"))
 
 
 # --- mitigations ---------------------------------------------------------------------------------------------------
@@ -308,20 +309,32 @@ def _told(spark, sf_dir):
     return finals, incidents, s.select("entity").join(had, "entity", "left_anti")
 
 
+_NEAR = """(case when len(list_distinct(list_concat({a}.w, {b}.w))) > 0
+  then len(list_intersect({a}.w, {b}.w)) / len(list_distinct(list_concat({a}.w, {b}.w)))::double >= 0.8 else false end or ({a}.l <> '' and {a}.l = {b}.l))"""
+
+
 @query(
-    """
-select * from (values (1, 'Keep the jar of A-1 up'), (2, 'Check B rig now please'), (3, 'Look at C')) as v(rank, quote)
+    f"""
+with s as (select lang, doc_id::varchar as doc_id, trim(regexp_extract(text, '^[^.\\n]*'), ' ') as quote from documents),
+q as (
+  select lang, quote, min(doc_id) as doc_id, len(quote) as score, list_distinct(list_filter(string_split_regex(lower(quote), '[^a-z0-9]+'), lambda x: x <> '')) as w,
+    left(regexp_replace(lower(quote), '[^a-z0-9]', '', 'g'), 90) as l
+  from s where quote <> '' group by lang, quote
+), a as (select distinct on (lang) * from q order by lang, score desc, doc_id, quote),
+q2 as (select q.* from q join a on q.lang is not distinct from a.lang where q.quote <> a.quote and not {_NEAR.format(a="q", b="a")}),
+b as (select distinct on (lang) * from q2 order by lang, score desc, doc_id, quote),
+q3 as (select q2.* from q2 join b on q2.lang is not distinct from b.lang where q2.quote <> b.quote and not {_NEAR.format(a="q2", b="b")}),
+c as (select distinct on (lang) * from q3 order by lang, score desc, doc_id, quote)
+select lang, 1 as rank, quote, doc_id from a union all select lang, 2, quote, doc_id from b union all select lang, 3, quote, doc_id from c
 """,
     ledger=False,
 )
 def mined_mitigations(spark, sf_dir):
-    """Near duplicates count once, and the best three stay."""
-    rows = [
-        (1, "lesson", "Look at C", "d3", "e", "eowr"), (3, "lesson", "Keep the jar of A-1 up", "d1", "e", "eowr"), (3, "recommendation", "Check B rig now please", "d0", "e", "eowr"),
-        (2, "lesson", "keep the jar of A-1 up.", "d2", "e", "eowr"), (1, "corrective_action", "Too late", "d9", "e", "incident"), (3, "lesson", "Keep the jar of A-1 up", "d7", "e", "eowr"),
-    ]
-    found = spark.createDataFrame(rows, "score int, kind string, quote string, doc_id string, entity string, source string")
-    return MI.mined(found).select("rank", "quote")
+    """The three longest first sentences of each language's documents of which none is near to another."""
+    quote = F.btrim(F.regexp_extract("text", r"^[^.\n]*", 0), F.lit(" "))
+    rows = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("string").alias("doc_id"), quote.alias("quote")).where("quote <> ''")
+    rows = rows.withColumns({"score": F.length("quote"), "kind": F.lit("lesson"), "entity": F.lit(""), "source": F.lit("eowr")})
+    return MI.mined(rows, 3, ("lang",)).select("lang", "rank", "quote", "doc_id")
 
 
 # --- passages and quotes -------------------------------------------------------------------------------------------
@@ -388,18 +401,20 @@ def entry_quotes(spark, sf_dir):
 
 @query(
     """
-select item_id, instr(t, w) - 1 as start, instr(t, w) - 1 + len(w) as "end", case when instr(t, w) - 1 < 60 then 1 when instr(t, w) - 1 < 120 then 2 else 3 end as page
-from (select item_id, t, substr(t, 51, 12) as w from (select item_id, rtrim(left(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'), 200)) as t from benchmark) where len(t) > 90)
-where w = trim(w)
+select item_id, instr(t, w) - 1 as start, instr(t, w) - 1 + len(w) as "end",
+  case when w <> '' then 1 + (instr(t, w) - 1 >= len(t) // 3)::int + (instr(t, w) - 1 >= len(t) // 3 * 2)::int end as page
+from (select item_id, t, trim(substr(t, len(t) // 2 + 1, 12)) as w from (select item_id, trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g')) as t from benchmark))
+where w <> ''
 """,
     ledger=False,
 )
 def quote_places(spark, sf_dir):
     """Where a value stands in its text, and on which page."""
-    plain = F.rtrim(F.substring(F.regexp_replace("text", "[^a-zA-Z0-9]+", " "), 1, 200))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", plain.alias("t")).where(F.length("t") > 90).withColumn("w", F.substring("t", 51, 12))
-    rows = rows.where(F.col("w") == F.trim("w"))
-    pages = F.array(F.lit(60), F.lit(120), F.length("t"))
+    plain = F.trim(F.regexp_replace("text", "[^a-zA-Z0-9]+", " "))
+    third = F.floor(F.length("t") / 3).cast("int")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", plain.alias("t"))
+    rows = rows.withColumn("w", F.trim(F.expr("substring(t, length(t) div 2 + 1, 12)"))).where("w <> ''")
+    pages = F.array(third, third * 2, F.length("t"))
     return rows.select("item_id", PA.span_of("t", "w").alias("s"), PA.page_of("t", pages, "w").alias("page")).select("item_id", "s.start", "s.end", "page")
 
 
@@ -541,17 +556,17 @@ def risk_names(spark, sf_dir):
 
 @query(
     """
-with p as (select distinct 'c|' || code || '|' || section as candidate, code, section from losses where tenant = 'ASIA'),
+with p as (select distinct tenant || '|' || code || '|' || section as candidate, tenant, code, section from losses),
 r as (select p.candidate, 'D-' || report_id || '-' || line as doc_id, hours::double as hours, (row_number() over (partition by p.candidate order by hours desc, day, 'D-' || report_id || '-' || line))::int as rank
-  from p join losses l on l.tenant = 'ASIA' and l.code = p.code and l.section = p.section)
+  from p join losses l using (tenant, code, section))
 select * from r where rank <= 4
 """
 )
 def risk_sources(spark, sf_dir):
     own = archive(spark, sf_dir)
     none = F.lit("")
-    found = losses(spark, sf_dir).where("tenant = 'ASIA'").select(
-        F.concat_ws("|", F.lit("c"), "code", "section").alias("candidate"), "tenant", "code", "section", none.alias("formation"), none.alias("kind"), none.alias("category")
+    found = losses(spark, sf_dir).select(
+        F.concat_ws("|", "tenant", "code", "section").alias("candidate"), "tenant", "code", "section", none.alias("formation"), none.alias("kind"), none.alias("category")
     ).distinct()
     return B.risk_sources(found, own.ledger).select("candidate", "doc_id", F.col("hours").cast("double").alias("hours"), "rank")
 
@@ -573,23 +588,23 @@ def brief_totals(spark, sf_dir):
     """
 with w as (select tenant, entity, tool as category, (day, report_id, line) as o from exposures),
 x as (select tenant, section, formation, code, entity from losses group by all),
-p as (select distinct tenant, section, formation, code from losses where code = 'PROMO' and section = 'S3'),
+p as (select distinct tenant, section, formation, code from losses),
 e as (select p.*, entity from p join (select distinct tenant, section, formation, entity from exposures) using (tenant, section, formation)),
 i as (select 'interval|' || tenant || '|' || code || '|' || section || '|' || formation as candidate, entity from e anti join x using (tenant, section, formation, code, entity)),
 f as (select distinct tenant, entity from exposures),
-g as (select distinct tenant, rig from losses where code = 'PROMO'),
-h as (select 'equipment|' || g.tenant || '|PROMO|rig|' || g.rig as candidate, f.entity from g join f using (tenant)
+g as (select distinct tenant, rig, code from losses),
+h as (select 'equipment|' || g.tenant || '|' || g.code || '|rig|' || g.rig as candidate, f.entity from g join f using (tenant)
   where not exists (select 1 from exposures z where z.tenant = g.tenant and z.rig = g.rig and z.entity = f.entity)
-    and not exists (select 1 from losses z where z.tenant = g.tenant and z.code = 'PROMO' and z.entity = f.entity))
+    and not exists (select 1 from losses z where z.tenant = g.tenant and z.code = g.code and z.entity = f.entity))
 select * from i union all select * from h
 """
 )
 def pattern_clean_entities(spark, sf_dir):
     rows = losses(spark, sf_dir)
     none = F.lit("")
-    places = rows.where("code = 'PROMO' and section = 'S3'").select("tenant", "code", "section", "formation").distinct()
+    places = rows.select("tenant", "code", "section", "formation").distinct()
     inside = places.select(F.concat_ws("|", F.lit("interval"), "tenant", "code", "section", "formation").alias("candidate"), "tenant", "code", "section", "formation", none.alias("kind"), none.alias("category"), F.lit("interval").alias("scope"))
-    rigs = rows.where("code = 'PROMO'").select("tenant", "code", "rig").distinct()
+    rigs = rows.select("tenant", "code", "rig").distinct()
     fleet = rigs.select(F.concat_ws("|", F.lit("equipment"), "tenant", "code", F.lit("rig"), "rig").alias("candidate"), "tenant", "code", none.alias("section"), none.alias("formation"), F.lit("rig").alias("kind"), F.col("rig").alias("category"), F.lit("equipment").alias("scope"))
     return B.clean_of(inside.unionByName(fleet), exposures(spark, sf_dir), rows)
 
@@ -766,7 +781,7 @@ ASKED = (("packed-off pipe", "STUCK_PIPE"), ("lost returns", "LOST_CIRCULATION")
 @query(
     """
 select n_nationkey, case n_nationkey % 5 when 0 then 'STUCK_PIPE' when 1 then 'LOST_CIRCULATION' when 2 then 'WELLBORE_INSTABILITY' when 3 then 'RIG_REPAIR' else 'WAIT_ON_MATERIALS' end as codes,
-  r_name as tenants, 'AB-' || (100 + n_nationkey) as entities, case n_nationkey % 3 when 0 then '12 1/4"' when 1 then '17 1/2"' else '8 1/2"' end as sections, 'Keld Salt' as formations,
+  r_name as tenants, 'AB-' || (100 + n_nationkey) || case when n_nationkey % 7 = 0 then ',AB-999' else '' end as entities, case n_nationkey % 3 when 0 then '12 1/4"' when 1 then '17 1/2"' else '8 1/2"' end as sections, 'Keld Salt' as formations,
   (1000 + 100 * n_nationkey)::double as depth, n_nationkey % 2 = 0 as depth_filters, case when n_nationkey % 4 = 0 then 'eowr' else '' end as kinds,
   case when n_nationkey % 7 = 0 then 'field Atlantis;well AB-999' else '' end as unmatched
 from nation join region on n_regionkey = r_regionkey
@@ -797,10 +812,129 @@ def question_plans(spark, sf_dir):
     def run(batches):
         for batch in batches:
             plans = [plan_question(q, catalog) for q in batch.column(1).to_pylist()]
-            columns = [pa.array([",".join(getattr(p, n)[:1] if n == "entities" else getattr(p, n)) for p in plans]) for n in names]
+            columns = [pa.array([",".join(getattr(p, n)) for p in plans]) for n in names]
             columns += [pa.array([p.depth for p in plans], pa.float64()), pa.array([p.depth_filters for p in plans]), pa.array([",".join(p.kinds) for p in plans])]
             columns.append(pa.array([";".join(" ".join(u) for u in sorted(p.unmatched)) for p in plans]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["n_nationkey", *names, "depth", "depth_filters", "kinds", "unmatched"])
 
     schema = "n_nationkey int, codes string, tenants string, entities string, sections string, formations string, depth double, depth_filters boolean, kinds string, unmatched string"
     return rows.select("n_nationkey", asked.alias("question")).mapInArrow(run, schema)
+
+
+# --- joins along an axis -------------------------------------------------------------------------------------------
+
+
+@query(
+    """
+with e as (
+  select event_id, user_id, ts, event_type, last_value(case when event_type <> 'error' then event_id end ignore nulls) over w as last_event_id,
+    last_value(case when event_type <> 'error' then event_type end ignore nulls) over w as last_event_type
+  from events window w as (partition by user_id order by ts, (event_type = 'error')::int, event_id rows between unbounded preceding and current row)
+)
+select event_id, user_id, last_event_id, last_event_type from e where event_type = 'error'
+""",
+    ledger=False,
+)
+def state_before_error(spark, sf_dir):
+    """Each error with its user's last other event at or before it."""
+    events = table(spark, sf_dir, "events")
+    errors = events.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return TM.asof_join(errors, events.where("event_type <> 'error'"), ["user_id"], "ts", ["event_id", "event_type"], "event_id").drop("ts")
+
+
+@query(
+    """
+with d as (select entity, report_id, min(depth) - line_no * 10 as from_depth, max(depth) as to_depth from (select *, (line - 1)::double as line_no from exposures) group by entity, report_id, line_no),
+w as (select entity, code, min(depth) as low, max(depth) as high from losses group by entity, code)
+select w.entity, w.code, count(*) as n_reports, min(report_id) as first_report, max(to_depth) as deepest
+from w join d on w.entity = d.entity and d.from_depth <= w.high and w.low <= d.to_depth group by w.entity, w.code
+"""
+)
+def drilled_through_windows(spark, sf_dir):
+    """Drilled intervals that meet the depth windows of their entity's losses to each code."""
+    above = (F.col("line") - 1).cast("double")
+    drilled = exposures(spark, sf_dir).withColumn("above", above).groupBy("entity", "report_id", "above").agg((F.min("depth") - F.first("above") * 10).alias("from_depth"), F.max("depth").alias("to_depth"))
+    windows = losses(spark, sf_dir).groupBy("entity", "code").agg(F.min("depth").alias("low"), F.max("depth").alias("high"))
+    met = TM.interval_join(windows, drilled.drop("above"), ["entity"], ("low", "high"), ("from_depth", "to_depth"))
+    return met.groupBy("entity", "code").agg(F.count("*").alias("n_reports"), F.min("report_id").alias("first_report"), F.max("to_depth").alias("deepest"))
+
+
+@query(
+    """
+with c as (select l.entity, l.day, l.code, l.hours::double + (l.line % 3) * 0.03 as hours, l.report_id, l.line from losses l)
+select report_id, line, exists (select 1 from losses r where r.entity = c.entity and r.code = c.code and r.line <> 1
+  and abs(r.hours::double - c.hours) <= 0.05) as matched from c
+"""
+)
+def claims_in_band(spark, sf_dir):
+    """Claims of losses, some off by hundredths of an hour, and whether a recorded loss of the entity and code is near."""
+    rows = losses(spark, sf_dir).withColumn("hours", F.col("hours").cast("double"))
+    claims = rows.withColumn("hours", F.col("hours") + (F.col("line") % 3) * 0.03)
+    return M.matched(claims, rows.where("line <> 1"), ["entity", "code"], "hours", 0.05).select("report_id", "line", "matched")
+
+
+@query(
+    """
+select code, count(*) as n, true as near from losses group by code
+"""
+)
+def sketched_percentiles(spark, sf_dir):
+    """Whether the 90th percentile of every code, from sketches of its days, has a rank within two hundredths of 0.9."""
+    rows = losses(spark, sf_dir)
+    found = L.merged_sketches(L.quantile_sketches(rows, ["code", "day"]), ["code"]).select("code", "n", L.sketched_quantile("sketch", 0.9).alias("p90"))
+    below, upto = (F.avg(F.when(c, 1.0).otherwise(0.0)) for c in (F.col("hours") < F.col("p90"), F.col("hours") <= F.col("p90")))
+    slack = F.lit(0.02) + 1 / F.col("n")
+    held = rows.join(found, "code").groupBy("code", "n").agg(below.alias("below"), upto.alias("upto"))
+    return held.select("code", "n", ((F.col("below") <= 0.9 + slack) & (F.col("upto") >= 0.9 - slack)).alias("near"))
+
+
+@query(
+    """
+select c_custkey, case when n is null then c_acctbal else -1.0 end as balance, coalesce(n, 0) as n_orders
+from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) on c_custkey = o_custkey
+where not (n is null and c_acctbal < 0)
+union all select -c_custkey, c_acctbal, 0 from customer where c_acctbal < -900
+""",
+    ledger=False,
+)
+def keyed_merge(spark, sf_dir):
+    """All customers as a table on disk; those with orders are replaced, some are added, and debtors without orders go."""
+    house = Warehouse(spark, new_path(spark, "customers"))
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"))
+    house.write("customers", own.withColumn("n_orders", F.lit(0).cast("long")), "c_custkey")
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    ordered = own.join(counts, "c_custkey").withColumn("balance", F.lit(-1.0))
+    added = own.where("balance < -900").select((-F.col("c_custkey")).alias("c_custkey"), "balance", F.lit(0).cast("long").alias("n_orders"))
+    house.merge("customers", ordered.unionByName(added), "c_custkey")
+    gone = own.where("balance < 0").join(counts, "c_custkey", "left_anti")
+    house.commit(lambda now: now.delete("customers", gone))
+    return house.read("customers")
+
+
+@query(
+    """
+with words as (select doc_id, lang, string_split(lower(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), ' ') as w from documents),
+cut as (select doc_id, coalesce(lang, '') as lang, list_filter(w, lambda x: length(x) > 1) as w from words),
+sized as (select *, len(w) as length from cut where len(w) > 0),
+stats as (select lang, count(*) as n, avg(length) as mean from sized group by lang),
+hits as (select doc_id, lang, length, t, len(list_filter(w, lambda x: x = t)) as tf from sized, (values ('the'), ('of'), ('entire'), ('die'), ('la')) as q(t)),
+df as (select lang, t, count(*) as df from hits where tf > 0 group by lang, t),
+scored as (
+  select lang, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) as score
+  from hits join df using (lang, t) join stats using (lang) where tf > 0 group by lang, doc_id
+)
+select lang, doc_id, round(score, 6) as score, (row_number() over (partition by lang order by round(score, 6) desc, doc_id))::int as rank from scored
+qualify rank <= 20
+""",
+    ledger=False,
+)
+def stored_index_search(spark, sf_dir):
+    """The twenty best documents of each language from a stored index that reads only spans that can count."""
+    plain = F.lower(F.regexp_replace("text", "[^a-zA-Z]+", " "))
+    kept = F.array_join(F.filter(F.split(plain, " "), lambda w: F.length(w) > 1), " ")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("tenant"), kept.alias("chunk"))
+    index = SI.of_chunks(docs.withColumn("chunk_id", F.lpad("doc_id", 12, "0")), split=lambda text: F.filter(F.split(text, " "), lambda w: w != ""))
+    found = index.best(["the", "of", "entire", "die", "la"], 40)
+    score = F.round("score", 6)
+    rank = F.row_number().over(W.partitionBy("tenant").orderBy(score.desc(), F.col("chunk_id")))
+    return found.select(F.col("tenant").alias("lang"), F.col("chunk_id").cast("long").alias("doc_id"), score.alias("score"), rank.alias("rank")).where("rank <= 20")

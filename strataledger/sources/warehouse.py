@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strataledger.functions.text import slug
 from strataledger.operators import retrieval as R
 from strataledger.operators import search_index as SI
-from strataledger.operators.ledger import stream_digest
+from strataledger.operators.digests import tree_digest
 from strataledger.operators.matching import matched
 from strataledger.sources.folder import ids
 from strataledger.sources.storage import written
@@ -183,8 +183,8 @@ def simple_load(spark: SparkSession, folder: str, doc_type: str = "ddr") -> Data
 
 
 def corpus_hash(documents: DataFrame) -> DataFrame:
-    """One digest over all ids and digests of texts, in order."""
-    return stream_digest(documents.select(F.concat("doc_id", F.lit(" "), F.sha2("text", 256), F.lit("\n")).alias("line")))
+    """One digest over all ids and digests of texts, whatever their order."""
+    return tree_digest(documents.select(F.concat("doc_id", F.lit(" "), F.sha2("text", 256), F.lit("\n")).alias("line")))
 
 
 def tenant_hashes(documents: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def index_hash(house: Warehouse) -> str:
     if not house.has("index_manifest"):
         return ""
     lines = house.read("index_manifest").select(F.concat(F.to_json(F.struct("tenant", "corpus_hash", "embedder", "k1", "b")), F.lit("\n")).alias("line"))
-    return stream_digest(lines).first().digest
+    return tree_digest(lines).first().digest
 
 
 def log(house: Warehouse, kind: str, payload: dict) -> None:

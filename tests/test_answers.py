@@ -3,6 +3,7 @@
 import dataclasses
 
 import pytest
+from pyspark.sql import functions as F
 from workspace import reports
 
 from strataledger.operators import answers as A
@@ -33,16 +34,21 @@ def answer(archive):
     return A.ask(archive, "What rig repair was booked in the Riverbend field, and what is recommended?")
 
 
-def test_passages_of_a_daily_report():
+def passages(spark, text, doc_type="other"):
+    docs = spark.createDataFrame([("d", doc_type, text)], "doc_id string, doc_type string, text string")
+    return P.document_passages(docs).orderBy("n").collect()
+
+
+def test_passages_of_a_daily_report(spark):
     text = reports()[1][2]
-    found = P.passages(text, "ddr")
-    assert [p.text for p in found if p.kind == "operations"] == [
+    found = passages(spark, text, "ddr")
+    assert [p.quote for p in found if p.kind == "operations"] == [
         "06:00-18:00 Drilled ahead with steady parameters.", "18:00-06:00 Circulated and serviced the top drive.",
     ]
-    assert [(p.text, p.role) for p in found if p.kind == "remarks"] == [("Next 24 h: drill ahead.", "label"), ("Weather was fair all day.", "content")]
-    assert not any("fictional" in p.text for p in found)
+    assert [(p.quote, p.role) for p in found if p.kind == "remarks"] == [("Next 24 h: drill ahead.", "label"), ("Weather was fair all day.", "content")]
+    assert not any("fictional" in p.quote for p in found)
     for p in found:
-        assert P.squeeze(text[p.start : p.end]) == p.text
+        assert " ".join(text[p.start : p.end].split()) == p.quote
 
 
 @pytest.mark.parametrize(
@@ -52,22 +58,36 @@ def test_passages_of_a_daily_report():
         ("Prose that wraps at the width of the longest line of its own\nparagraph here. It ends", ["Prose that wraps at the width of the longest line of its own paragraph here.", "It ends"]),
         ("1. one\n   more\n2) two", ["one more", "two"]),
         ("No stop here\nNext starts", ["No stop here", "Next starts"]),
+        ("    deep\n  less\n   on\n  less\n- item\nanything\n  at all", ["deep", "less on", "less", "item anything at all"]),
+        ('He said "stop." Then (approx. 3) it ran i.e. Fine! 4 more', ['He said "stop."', "Then (approx. 3) it ran i.e. Fine!", "4 more"]),
+        ("A.\r\n\r\nTITLE (X)\r\nBody: note\r\ntext", ["A.", "TITLE (X)", "Body: note", "text"]),
         ("", []),
         ("\n \n", []),
     ],
 )
-def test_units_of_text(text, want):
-    assert [p.text for p in P.passages(text, "other")] == want
+def test_units_of_text(spark, text, want):
+    found = passages(spark, text)
+    assert [p.quote for p in found] == want
+    assert all(" ".join(text[p.start : p.end].split()) == p.quote for p in found)
+
+
+def test_passages_need_no_python(spark):
+    docs = spark.createDataFrame([("d", "ddr", "x")], "doc_id string, doc_type string, text string")
+    plan = P.document_passages(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_raw_spans_and_pages():
+def test_raw_spans_and_pages(spark):
     text = "the 12¼ in hole –\n  was tight"
     assert text[slice(*P.raw_span(text, "12 1/4 in hole - was tight"))] == "12¼ in hole –\n  was tight"
-    assert P.verbatim_quote(text, "12 1/4 in hole - was") == "12¼ in hole – was" and P.verbatim_quote(text, "12 1/2 in") is None
-    assert P.raw_span("abc abc", "abc", 1) == (4, 7) and P.raw_span("abc", "") is None
-    assert [P.quote_page("page one\npage two", [8, 17], q) for q in ("one", "two", "three", "")] == [1, 2, None, None]
-    assert P.quote_page("x", None, "x") is None
-    assert P.shortened("word " * 100) == ("word " * 79 + "word") and len(P.shortened("x" * 900)) == 400
+    assert P.raw_span(text, "12 1/2 in") is None and P.raw_span("e\u0301a", "\u00e9a") == (0, 3)
+    assert P.raw_span("abc abc", "abc", 1) == (4, 7) and P.raw_span("abc", "") is None and P.raw_span("é abc é abc", "abc", 3) == (8, 11)
+    rows = [(text, "12 1/4 in hole - was", None), (text, "none", None), ("page one\npage two", "two", [8, 17]), ("page one\npage two", "one", [8, 17]), ("x", "x", None), ("a" * 5, "", [5])]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, q string, p array<int>")
+    found = frame.select(P.quote_of("t", "q", F.lit(None).cast("string")).alias("quote"), P.page_of("t", F.col("p"), "q").alias("page"), "k").orderBy("k").collect()
+    assert [r.quote for r in found] == ["12¼ in hole – was", None, "two", "one", "x", None] and [r.page for r in found] == [None, None, 2, 1, None, None]
+    long = spark.createDataFrame([("word " * 100,), ("x" * 900,)], "t string").select(P.shortened("t").alias("s")).collect()
+    assert long[0].s == "word " * 79 + "word" and len(long[1].s) == 400
 
 
 @pytest.mark.parametrize(
@@ -133,7 +153,12 @@ def test_mitigations_of_wells_that_avoided_it(archive, catalog):
     assert {r.entity for r in A.clean_entities(plan, archive).collect()} == {f"RVB-10{k}" for k in (3, 4, 5, 6)}
     rows, avoided = A.mitigations_for(plan, archive)
     assert avoided and [r.source for r in rows.collect()] == ["eowr"] * 2
-    assert M.distinct_first(["Hold at least 1.4 sg.", "hold at least 1.4 SG", "x", "y", "z"], 3) == [0, 2, 3]
+    rows = [(9 - k, "lesson", q, f"d{k}", "e", "eowr") for k, q in enumerate(["Hold at least 1.4 sg.", "hold at least 1.4 SG", "x", "y", "z", "?", "!"])]
+    found = archive.documents.sparkSession.createDataFrame(rows, "score int, kind string, quote string, doc_id string, entity string, source string")
+    assert [r.quote for r in M.mined(found).orderBy("rank").collect()] == ["Hold at least 1.4 sg.", "x", "y"]
+    assert [r.quote for r in M.mined(found, 9).orderBy("rank").collect()] == ["Hold at least 1.4 sg.", "x", "y", "z", "?", "!"]
+    by = M.mined(found.union(found.withColumn("kind", F.lit("recommendation"))), 2, ("kind",), few=0)
+    assert sorted((r.kind, r["rank"], r.quote) for r in by.collect()) == [(k, n, q) for k in ("lesson", "recommendation") for n, q in ((1, "Hold at least 1.4 sg."), (2, "x"))]
 
 
 @pytest.fixture(scope="module")

@@ -5,16 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataledger.operators import answers, briefs, evaluation, ledger, patterns
 from strataledger.plans.archive import parse_files, stored
-from strataledger.plans.settings import Settings, SettingsError, resolve
+from strataledger.plans.settings import Settings, SettingsError, of_toml, resolve
 from strataledger.sources import folder, warehouse
-from strataledger.sources.storage import exists
+from strataledger.sources.storage import exists, read_text
 from strataledger.sources.tables import Warehouse
 
 # Exit codes of a brief that is not verified, and of one without exposure.
@@ -24,7 +24,8 @@ NOT_VERIFIED, NO_EXPOSURE = 2, 3
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strataledger", description=__doc__)
     top.add_argument("--root", required=True, help="folder of the workspace's tables")
-    top.add_argument("--settings", help="a TOML file")
+    top.add_argument("--settings", help="a TOML file, in place of the workspace's own")
+    top.add_argument("--set", action="append", default=[], metavar="TABLE.KEY=VALUE", help="a setting over all files")
     commands = top.add_subparsers(dest="command", required=True)
     ingest = commands.add_parser("ingest")
     ingest.add_argument("folder")
@@ -93,17 +94,32 @@ def run(spark: SparkSession, args: argparse.Namespace, settings: Settings) -> tu
     return found, 0 if found["all_gates"] else 1
 
 
+def file_text(spark: SparkSession, path: str) -> str:
+    """A small text file, empty where there is none."""
+    return read_text(spark, path) if exists(spark, path) else ""
+
+
+def settings_of(spark: SparkSession, args: argparse.Namespace, environ: Mapping[str, str]) -> Settings:
+    """Command line over environment over the folder's file over the workspace's file over defaults."""
+    if args.settings:
+        with open(args.settings, encoding="utf-8") as file:
+            own = file.read()
+    else:
+        own = file_text(spark, f"{args.root.rstrip('/')}/{folder.CONFIG}")
+    below = file_text(spark, f"{args.folder.rstrip('/')}/{folder.CONFIG}") if args.command == "ingest" else ""
+    return resolve(own, below, environ, of_toml("\n".join(args.set), "command line"))
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     import os
 
     args = parser().parse_args(argv)
+    session = spark or SparkSession.builder.getOrCreate()
     try:
-        text = open(args.settings, encoding="utf-8").read() if args.settings else ""
-        settings = resolve(text, environ=os.environ)
+        settings = settings_of(session, args, os.environ)
     except (OSError, SettingsError) as error:
         print(error, file=sys.stderr)
         return 1
-    session = spark or SparkSession.builder.getOrCreate()
     if args.command not in ("ingest",) and not exists(session, args.root):
         print(f"no workspace at {args.root}", file=sys.stderr)
         return 1

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from strataledger.__main__ import main
+from strataledger.__main__ import main, parser, settings_of
 from strataledger.operators import briefs as B
 from strataledger.operators import evaluation as E
 from strataledger.plans.archive import read_reports
@@ -83,3 +83,10 @@ def test_commands(spark, tmp_path, capsys):
     bad = tmp_path / "bad.toml"
     bad.write_text("[risk]\nnone = 1")
     assert main(["--root", root, "--settings", str(bad), "status"], spark) == 1
+    own = tmp_path / "root" / "strataledger.toml"
+    own.write_text("[retrieval]\ntop_k = 5\nk1 = 1.25")
+    (folder / "strataledger.toml").write_text("[retrieval]\nk1 = 1.75\n[costs]\nspread_rate = 5.0")
+    args = parser().parse_args(["--root", root, "--set", "costs.spread_rate = 7", "ingest", f"file://{folder}"])
+    found = settings_of(spark, args, {"STRATALEDGER_SPREAD_RATE": "6"})
+    assert (found.retrieval.top_k, found.retrieval.k1, found.costs.spread_rate) == (5, 1.75, 7.0)
+    assert command("--set", "risk.none = 1", "status")[0] == 1

@@ -43,27 +43,32 @@ class Options:
     batch: int = 32
     seed: int = 7
     sample_rows: int = 4000
-    cache_words: int = 250_000
+    cache_words: int = 150_000
 
 
-def tokens(text: str | None, options: Options, hashes: dict[str, int] | None = None) -> tuple[Counter, np.ndarray]:
-    """Words of a whole text with their counts; and, if they are wanted, the buckets of pairs of neighbours, in order.
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
-    ``hashes`` remembers words' hashes from text to text.
-    """
-    words = (text.lower() if options.lower else text).split() if text else []
-    if not options.pairs or len(words) < 2:
-        return Counter(words), np.zeros(0, np.int32)
-    counts, hashes = Counter(words), {} if hashes is None else hashes
-    if len(hashes) > options.cache_words:
-        hashes.clear()
-    for w in counts:
-        if w not in hashes:
-            hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    each = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    key = each[:-1] * BASE + each[1:]
+
+def pair_buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The buckets of neighbours, from the hashes of words in order."""
+    key = hashes[:-1] * BASE + hashes[1:]
     key = (key ^ (key >> np.uint64(31))) * SECOND
-    return counts, (key >> np.uint64(64 - options.bits)).astype(np.int32)
+    return (key >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def words_of(text: str | None, options: Options) -> list[str]:
+    return (text.lower() if options.lower else text).split() if text else []
+
+
+def tokens(text: str | None, options: Options) -> tuple[Counter, np.ndarray]:
+    """Words of a whole text with their counts; and, if they are wanted, the buckets of pairs of neighbours, in order."""
+    words = words_of(text, options)
+    counts = Counter(words)
+    if not options.pairs or len(words) < 2:
+        return counts, np.zeros(0, np.int32)
+    own = {w: word_hash(w) for w in counts}
+    return counts, pair_buckets(np.fromiter(map(own.__getitem__, words), np.uint64, len(words)), options.bits)
 
 
 def features(words: Sequence[str], options: Options) -> tuple[np.ndarray, np.ndarray]:
@@ -115,18 +120,42 @@ class Model:
     bias: float
     options: Options
 
-    def score(self, text: str | None, cache: dict[str, float], hashes: dict[str, int] | None = None) -> float:
-        counts, pairs = tokens(text, self.options, hashes)
-        new = [w for w in counts if w not in cache]
+
+class Scorer:
+    """Scores texts by a model; remembers the numbers of up to ``cache_words`` words, which changes no result."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.places = model, {}
+        self.means, self.hashes = np.zeros(0), np.zeros(0, np.uint64)
+
+    def _place(self, words: list[str]) -> np.ndarray:
+        """Where the numbers of words stand."""
+        options, places = self.model.options, self.places
+        new = [w for w in dict.fromkeys(words) if w not in places]
+        if new and len(places) + len(new) > options.cache_words:
+            places.clear()
+            self.means, self.hashes = self.means[:0], self.hashes[:0]
+            new = list(dict.fromkeys(words))
         if new:
-            if len(cache) + len(new) > self.options.cache_words:
-                cache.clear()
-                new = list(counts)
-            cache.update(zip(new, word_means(self.weights, new, self.options).tolist(), strict=True))
-        total = sum(map(float.__mul__, map(cache.__getitem__, counts), map(float, counts.values())))
-        total += float(self.weights[pairs].sum(dtype=np.float64))
-        logit = self.bias + (total / (counts.total() + len(pairs)) if counts else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
+            at = len(places)
+            if at + len(new) > len(self.means):  # room for twice as many
+                more = at + 2 * len(new)
+                self.means = np.concatenate([self.means[:at], np.zeros(more)])
+                self.hashes = np.concatenate([self.hashes[:at], np.zeros(more if options.pairs else 0, np.uint64)])
+            self.means[at : at + len(new)] = word_means(self.model.weights, new, options)
+            if options.pairs:
+                self.hashes[at : at + len(new)] = np.fromiter(map(word_hash, new), np.uint64, len(new))
+            places.update(zip(new, range(at, at + len(new))))
+        return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+
+    def score(self, text: str | None) -> float:
+        words, total, n = words_of(text, self.model.options), 0.0, 1
+        if words:
+            at = self._place(words)
+            pairs = pair_buckets(self.hashes[at], self.model.options.bits) if self.model.options.pairs else np.zeros(0, np.int32)
+            total = float(self.means[at].sum() + self.model.weights[pairs].sum(dtype=np.float64))
+            n = len(words) + len(pairs)
+        return float(1 / (1 + np.exp(-np.clip(self.model.bias + total / n, -60, 60))))
 
 
 def _rows(texts: Iterable[tuple[Counter, np.ndarray]], options: Options):
@@ -261,10 +290,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, held_out, options: Opt
     joined = texts.join(F.broadcast(side), "doc_id").select("text", "__order", "doc_id", "__label", F.xxhash64("text").alias("__text"))
 
     def count(batches):
-        hashes: dict[str, int] = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                counts, pairs = tokens(batch.column(0)[k].as_py(), options, hashes)
+                counts, pairs = tokens(batch.column(0)[k].as_py(), options)
                 packed = np.fromiter(counts.values(), "<u4", len(counts)).tobytes(), pairs.astype("<i4").tobytes()
                 columns = [pa.array(["\n".join(counts)], pa.string()), *(pa.array([x], pa.binary()) for x in packed)]
                 kept = [batch.column(j).slice(k, 1) for j in range(1, 5)]
@@ -294,11 +322,10 @@ def classify(docs: DataFrame, model: Model, score: str = "score", predicted: str
     names = [*kept, score, predicted]
 
     def run(batches):
-        cache: dict[str, float] = {}
-        hashes: dict[str, int] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
-            found = [shared.value.score(t.as_py(), cache, hashes) for t in texts]
+            found = [scorer.score(t.as_py()) for t in texts]
             columns = [batch.column(batch.schema.names.index(c)) for c in kept]
             hard = pa.array([int(x >= 0.5) for x in found], pa.int32())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64()), hard], names=names)

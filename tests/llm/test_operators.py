@@ -390,8 +390,11 @@ def test_classifiers_equal_plain_python(options):
     found[list(weights)] = list(weights.values())
     assert model.weights == pytest.approx(found, abs=1e-4) and model.bias == pytest.approx(bias, abs=1e-6)
     assert np.abs(found).max() > 0.5
+    small = S.Scorer(dataclasses.replace(model, options=dataclasses.replace(options, cache_words=5)))
+    whole = S.Scorer(model)
+    assert [small.score(t) for t in texts] == pytest.approx([whole.score(t) for t in texts], abs=1e-12)
     for text in [*texts, "", "unseen", "x " * 3000, "RUBBISH rubbish rubbishy"]:
-        assert model.score(text, {}) == pytest.approx(brute.classifier_score(text, weights, bias, options), abs=1e-4)
+        assert S.Scorer(model).score(text) == pytest.approx(brute.classifier_score(text, weights, bias, options), abs=1e-4)
 
 
 def test_a_sample_by_class_keeps_the_share_of_the_classes(spark):

@@ -56,7 +56,8 @@ def test_rows_of_a_run_equal_brute_force(spark, tmp_path):
     # the order in which the model sees its rows is the session's hash order; all else is done again by hand
     model = S.learn(docs.select("doc_id", "text"), marks, "quality", lambda c: S.fold(c, 3) == 1, S.QUALITY)
     assert any(crc(i) % 3 == 1 for i, _ in labels)
-    kept = [r for r in rows if model.score(r[1], {}) >= 0.5]
+    scorer = S.Scorer(model)
+    kept = [r for r in rows if scorer.score(r[1]) >= 0.5]
     assert 0 < len(kept) < len(rows)
 
     def shingles(text):

@@ -189,5 +189,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` in which no window occurs, with their own columns."""
+    """Rows of ``docs`` in which no window occurs, with their own columns.
+
+    Null and empty texts stay, rows that repeat an id are judged each for itself, and an empty table gives no rows. Without
+    items all rows stay. ``__words``, ``__spans`` and ``__items`` are the search's own names.
+    """
     return find_windows(docs, benchmark, **options).where(F.size("__spans") == 0).select(*docs.columns)

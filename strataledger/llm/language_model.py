@@ -450,7 +450,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, modulus: int = 10) -> DataFrame:
     """Learn from the rows whose crc32 of the id is not 0 modulo ``modulus``, and score all rows.
 
-    A null id is not held out. Without training rows, every token has the same probability, 1.
+    A null id is not held out. Without training rows, every token has the same probability, 1. Null and empty texts are one
+    token, texts of any length are scored whole, rows that repeat an id are trained on and scored each for itself, an empty
+    table gives no rows, and columns other than ``doc_id`` and ``text`` are not read.
     """
     held_out = F.coalesce(fold(F.col("doc_id"), modulus) == 0, F.lit(False))
     model = train(docs.where(~held_out).select("text"))

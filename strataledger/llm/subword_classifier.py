@@ -374,7 +374,11 @@ def quality(docs: DataFrame, labels: DataFrame, options: Options = QUALITY) -> D
 
 
 def of_quality(docs: DataFrame, labels: DataFrame, options: Options = QUALITY) -> DataFrame:
-    """Rows of ``docs`` that the quality model does not reject, with their own columns."""
+    """Rows of ``docs`` that the quality model does not reject, with their own columns.
+
+    Null and empty texts have the score of a text without words; rows that repeat an id are judged each for itself; an
+    empty table gives no rows, and without labels of both classes all rows have one score.
+    """
 
     def held_out(c):
         return F.coalesce(fold(c, 3) == 1, F.lit(False))

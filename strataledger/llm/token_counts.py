@@ -181,7 +181,11 @@ def slices(texts: pa.Array, most_bytes: int = 4 << 20):
 
 
 def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of every document; a null text counts as empty, so as 0."""
+    """``doc_id, n_bytes, n_tokens, over_limit`` of every document; a null text counts as empty, so as 0.
+
+    Texts of any length are counted whole. Rows that repeat an id or a text are counted each for itself, an empty table
+    gives no rows, and columns other than ``doc_id`` and ``text`` are not read.
+    """
     schema = T.StructType(
         [
             docs.schema["doc_id"],

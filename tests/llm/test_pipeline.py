@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -34,6 +34,19 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert out.count() == before
 
 
+def test_a_run_on_empty_tables_and_beside_clashing_columns(spark, tmp_path):
+    extra = "score double, predicted int, taken long, target double, node string, item_id int, __size double"
+    rows = spark.createDataFrame([], f"doc_id long, text string, source string, {extra}")
+    labels, items = "doc_id long, quality int, score int", "item_id string, text string, doc_id int"
+    for folder, docs in (("none", rows), ("some", spark.createDataFrame([(k, f"some words {k} of a text", "a", 0.5, 1, 2, 3.0, "n", 4, 0.1) for k in range(6)], rows.schema))):
+        docs.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame([(0, 1, 7), (3, 1, 7)][: docs.count()], labels).write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        spark.createDataFrame([], items).write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert out.count() == 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()} <= set(range(6))
+
+
 def test_rows_of_a_run_equal_brute_force(spark, tmp_path):
     rng = random.Random(6)
     vocabulary_of = [a + b for a in ("al", "be", "ga", "de", "ep", "ze") for b in ("pha", "ta", "mma", "lta", "silon", "eta", "ka")]

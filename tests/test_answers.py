@@ -51,24 +51,26 @@ def test_passages_of_a_daily_report(spark):
         assert " ".join(text[p.start : p.end].split()) == p.quote
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("A short line.\nAnd another approx. 20 bbl", ["A short line.", "And another approx. 20 bbl"]),
-        ("Prose that wraps at the width of the longest line of its own\nparagraph here. It ends", ["Prose that wraps at the width of the longest line of its own paragraph here.", "It ends"]),
-        ("1. one\n   more\n2) two", ["one more", "two"]),
-        ("No stop here\nNext starts", ["No stop here", "Next starts"]),
-        ("    deep\n  less\n   on\n  less\n- item\nanything\n  at all", ["deep", "less on", "less", "item anything at all"]),
-        ('He said "stop." Then (approx. 3) it ran i.e. Fine! 4 more', ['He said "stop."', "Then (approx. 3) it ran i.e. Fine!", "4 more"]),
-        ("A.\r\n\r\nTITLE (X)\r\nBody: note\r\ntext", ["A.", "TITLE (X)", "Body: note", "text"]),
-        ("", []),
-        ("\n \n", []),
-    ],
-)
-def test_units_of_text(spark, text, want):
-    found = passages(spark, text)
-    assert [p.quote for p in found] == want
-    assert all(" ".join(text[p.start : p.end].split()) == p.quote for p in found)
+UNITS = [
+    ("A short line.\nAnd another approx. 20 bbl", ["A short line.", "And another approx. 20 bbl"]),
+    ("Prose that wraps at the width of the longest line of its own\nparagraph here. It ends", ["Prose that wraps at the width of the longest line of its own paragraph here.", "It ends"]),
+    ("1. one\n   more\n2) two", ["one more", "two"]),
+    ("No stop here\nNext starts", ["No stop here", "Next starts"]),
+    ("    deep\n  less\n   on\n  less\n- item\nanything\n  at all", ["deep", "less on", "less", "item anything at all"]),
+    ('He said "stop." Then (approx. 3) it ran i.e. Fine! 4 more', ['He said "stop."', "Then (approx. 3) it ran i.e. Fine!", "4 more"]),
+    ("A.\r\n\r\nTITLE (X)\r\nBody: note\r\ntext", ["A.", "TITLE (X)", "Body: note", "text"]),
+    ("", []),
+    ("\n \n", []),
+]
+
+
+def test_units_of_text(spark):
+    docs = spark.createDataFrame([(str(k), "other", text) for k, (text, _) in enumerate(UNITS)], "doc_id string, doc_type string, text string")
+    found = P.document_passages(docs).orderBy("doc_id", "n").collect()
+    for k, (text, want) in enumerate(UNITS):
+        own = [p for p in found if p.doc_id == str(k)]
+        assert [p.quote for p in own] == want
+        assert all(" ".join(text[p.start : p.end].split()) == p.quote for p in own)
 
 
 def test_passages_need_no_python(spark):

@@ -20,8 +20,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value
     is at its end is carried to the ranges behind, so that a key may fill any number of ranges.
     """
     spark = left.sparkSession
-    own = left.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"), F.struct(*left.columns).alias("__own"), F.lit(None).cast(right.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("__state"))
-    told = right.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), F.lit(None).cast(own.schema["__own"].dataType).alias("__own"), F.struct(*values).alias("__state"))
+    typed = lambda df, column: df.select(column.alias("c")).schema["c"].dataType
+    state, whole = F.struct(*values), F.struct(*left.columns)
+    nothing = F.lit(None).cast(typed(right, state)).alias("__state")
+    no_tie, no_row = F.lit(None).cast(right.schema[tie].dataType).alias("__tie"), F.lit(None).cast(typed(left, whole)).alias("__own")
+    own = left.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), no_tie, whole.alias("__own"), nothing)
+    told = right.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__side"), F.col(tie).alias("__tie"), no_row, state.alias("__state"))
     rows = own.unionByName(told).withColumn("__id", F.monotonically_increasing_id())
     order = ["__at", "__side", "__tie", "__id"]
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

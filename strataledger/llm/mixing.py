@@ -127,9 +127,10 @@ def mix_copies(docs: DataFrame, **options) -> DataFrame:
     as they use nothing of a budget by words.
     """
     names = docs.columns
-    sized = docs.withColumns({"__size": word_count(F.col("text")), "__mark": F.md5("text")}).withColumnsRenamed(
-        {c: f"__own_{i}" for i, c in enumerate(names) if c not in ("doc_id", "source")}
-    )
+    # names of their own first, so that no column of the input can stand for one of the mix's
+    own = docs.withColumnsRenamed({c: f"__own_{i}" for i, c in enumerate(names) if c not in ("doc_id", "source")})
+    text = F.col(f"__own_{names.index('text')}")
+    sized = own.withColumns({"__size": word_count(text), "__mark": F.md5(text)})
     mixed = mix(sized, size="__size", mark="__mark", **options)
     copies = F.when(F.col("__size") > 0, F.floor(F.col("taken") / F.col("__size") + 0.5)).otherwise(1).cast("int")
     out = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))

@@ -9,6 +9,7 @@ from strataledger.operators import digests as D
 from strataledger.operators import passages as PA
 from strataledger.plans import queries as Q
 from strataledger.plans import report_queries as RQ
+from strataledger.sources import ledger_csv as LC
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -42,3 +43,19 @@ def test_entries_that_tie_in_all_that_is_asked_are_told_by_description(spark, pa
     docs = entries.groupBy("doc_id").agg(F.lit("NPT DETAIL\nlost c\nlost a\nlost b").alias("text"), F.lit("ddr").alias("doc_type"))
     found = PA.entry_quotes(docs, entries.repartition(parts, "description"), F.array().cast("array<string>"), 950.0)
     assert {r.quote for r in found.collect()} == {"lost a"}
+
+
+def test_ledgers_come_in_slices_and_give_rows_by_the_batch(spark, monkeypatch):
+    head = "sep=;\r\n\r\nwell;date;code;hours;description\r\n"
+    rows = [f'W-{i};2024-01-{i % 28 + 1:02d};A{"é" * (i % 3)};{i % 9}.5;"says ""{i}""\r\n;over; lines"' for i in range(300)]
+    rows[17:17] = ["W-x;2024-01-01;A;1;too;many", 'W-y;2024-01-01;A;2;"never closed', "W-z;2024-01-02;A;3;alone", ""]
+    texts = {"a": head + "\r\n".join(rows), "b": "﻿" + (head + "\n".join(rows)).replace("\r\n", "\n"), "c": "", "d": "no;ledger\n" + "x;y\n" * 50, "e": "sep=;\n"}
+    files = [(k, v.encode()) for k, v in texts.items()] + [("f", b"well,date\n" * 9 + b"\xe9")]
+    want = [(k, r["line"], r.get("raw"), r.get("hours"), r.get("description"), r.get("error")) for k, v in texts.items() for r in LC.records(v, {}, None)]
+    want.append(("f", 0, None, None, None, "not UTF-8 at byte 90"))
+    monkeypatch.setattr(LC, "SLICE", 7)
+    monkeypatch.setattr(LC, "ROWS", 10)
+    found = LC.read_ledgers(spark.createDataFrame(files, "path string, content binary").coalesce(1))
+    got = [(r.path, r.line, r.raw, r.hours, r.description, r.error) for r in found.collect()]
+    key = lambda r: (r[0], r[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == 2 * 303 + 4

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,36 +53,43 @@ def split_text(text: str) -> list[tuple[int, int, int, str]]:
     return [(n, a, b, text[a:b]) for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(text)], strict=True))]
 
 
-CHUNK = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("n", T.IntegerType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-            T.StructField("chunk", T.StringType()),
-        ]
-    )
+CHUNK = T.StructType(
+    [
+        T.StructField("n", T.IntegerType()),
+        T.StructField("start", T.IntegerType()),
+        T.StructField("end", T.IntegerType()),
+        T.StructField("chunk", T.StringType()),
+    ]
 )
-
-
-@F.pandas_udf(CHUNK)
-def chunks_of(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: split_text(t or ""))
+#: Documents that are cut at a time, whatever a batch holds.
+AT_ONCE = 64
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each document's chunks, keyed ``document#n``; offsets count code points."""
     kept = [c for c in docs.columns if c != "text"]
-    out = docs.select(*kept, F.inline(chunks_of("text")))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(start, AT_ONCE)
+                found = [(row, *cut) for row, text in enumerate(some.column("text").to_pylist()) for cut in split_text(text or "")]
+                row, n, begin, end, chunk = zip(*found, strict=True)
+                own = [some.column(c).take(pa.array(row, pa.int32())) for c in kept]
+                cuts = [pa.array(x, pa.int32()) for x in (n, begin, end)]
+                yield pa.RecordBatch.from_arrays([*own, *cuts, pa.array(chunk, pa.string())], names=[*kept, *CHUNK.names])
+
+    out = docs.select(*kept, "text").mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + CHUNK.fields))
     return out.withColumn("chunk_id", F.concat_ws("#", F.col(key).cast("string"), F.col("n").cast("string")))
 
 
 def postings(chunks: DataFrame, tokens: Column, tenant: str, key: str) -> DataFrame:
     """``tenant, term, key, tf, length`` of every term of every chunk.
 
-    Tokens are made and counted below the explosion, once for each chunk.
+    Tokens are made and counted below the explosion, once for each chunk. Chunks are dealt out by key before it, which is
+    the only exchange: all terms of a key are then in one task.
     """
-    cut = chunks.select(tenant, key, tokens.alias("__tokens"))
+    cut = chunks.repartition(key).select(tenant, key, tokens.alias("__tokens"))
     sized = cut.select(tenant, key, F.size("__tokens").alias("length"), "__tokens")
     terms = sized.select(tenant, key, "length", F.explode("__tokens").alias("term"))
     return terms.groupBy(tenant, "term", key).agg(F.count("*").alias("tf"), F.max("length").alias("length"))

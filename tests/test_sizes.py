@@ -59,3 +59,10 @@ def test_ledgers_come_in_slices_and_give_rows_by_the_batch(spark, monkeypatch):
     got = [(r.path, r.line, r.raw, r.hours, r.description, r.error) for r in found.collect()]
     key = lambda r: (r[0], r[1])
     assert sorted(got, key=key) == sorted(want, key=key) and len(got) == 2 * 303 + 4
+
+
+def test_postings_and_passages_are_dealt_out_once_before_they_multiply(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(Q.postings(spark, SMALL)).count("Exchange hashpartitioning") == 1
+    docs = spark.createDataFrame([("a", "ddr", "REMARKS\nIt ran. It fell.")], "doc_id string, doc_type string, text string")
+    assert plan(PA.document_passages(docs)).count("Exchange hashpartitioning") == 1

@@ -1,8 +1,9 @@
 """A stored search index that grows by segments, and exact top-k from it by block maxima.
 
-Chunks of a segment are put in order of tenant and id and cut into *spans* of ``SPAN``. A block is what one term has in
-one span: its chunks with their counts, and the greatest count and the least length among them, which bound the score
-of any of them whatever the means become. Blocks are filed by term, so a question reads the buckets of its own terms.
+Chunks of a segment are put in order of tenant and id and cut into *spans* of ``SPAN``; ``index_members`` names each
+chunk once, by its span and its place in it. A block is what one term has in one span: places of chunks with their
+counts, and the greatest count and the least length among them, which bound the score of any of them whatever the means
+become. Blocks are filed by term, so a question reads the buckets of its own terms.
 
 A segment is never changed. A document that is replaced or dropped leaves its old blocks behind: ``index_gone`` names it
 with the segment from which on it counts again, and ``index_terms`` and ``index_sizes`` take what it had off again, so
@@ -32,7 +33,7 @@ from strataledger.sources.tables import BUCKETS, Transaction, Warehouse, bucket_
 SPAN, SEGMENTS, FIRST = 128, 8, 8
 #: Bounds are widened by this share, which covers the rounding of sums.
 WIDER = 1e-9
-TABLES = ("index_blocks", "index_terms", "index_sizes", "index_gone", "index_chunks")
+TABLES = ("index_blocks", "index_members", "index_terms", "index_sizes", "index_gone", "index_chunks")
 BLOCK_KEY = ["tenant", "segment", "span"]
 CHUNKS = "doc_id string, tenant string, chunk_id string, chunk string"
 
@@ -51,23 +52,39 @@ def terms_of(chunks: DataFrame, split: Split = tokenize) -> DataFrame:
     return cut.select("doc_id", "tenant", "chunk_id", F.size("tokens").cast("long").alias("length"), "tokens")
 
 
-def blocks_of(cut: DataFrame, segment: int, partitions: int) -> DataFrame:
-    """Blocks of one segment: ``tenant, term, segment, span, n, top_tf, least_length, postings``."""
-    ordered = cut.where("length > 0").repartitionByRange(partitions, "tenant", "chunk_id").sortWithinPartitions("tenant", "chunk_id")
+def in_spans(chunks: DataFrame, partitions: int, split: Split = tokenize) -> DataFrame:
+    """``tenant, span, place, chunk_id, doc_id, length, text``, written: chunks in order, with the text as it is indexed.
+
+    Texts travel, not their terms, which take more than twice the bytes.
+    """
+    texts = chunks.select("tenant", "chunk_id", "doc_id", index_text(F.col("chunk")).alias("text"))
+    ordered = texts.repartitionByRange(partitions, "tenant", "chunk_id").sortWithinPartitions("tenant", "chunk_id")
     # rows of a partition are numbered in order, so neighbours share a span
-    spans = ordered.withColumn("span", F.floor(F.monotonically_increasing_id() / SPAN))
-    each = spans.select("tenant", "chunk_id", "doc_id", "length", "span", F.explode("tokens").alias("term"))
-    counts = each.groupBy("tenant", "term", "span", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf"))
-    entry = F.struct("chunk_id", "doc_id", "tf", "length")
+    ordered = ordered.withColumn("n", F.monotonically_increasing_id())
+    place = (F.col("n") % SPAN).cast("int").alias("place")
+    length = F.size(split(F.col("text"))).cast("long").alias("length")
+    return written(ordered.select("tenant", F.floor(F.col("n") / SPAN).alias("span"), place, "chunk_id", "doc_id", length, "text"), "index-spans").where("length > 0")
+
+
+def blocks_of(spans: DataFrame, segment: int, partitions: int, split: Split = tokenize) -> DataFrame:
+    """Blocks of one segment: ``tenant, term, segment, span, n, top_tf, least_length, place, tf``, the last two arrays.
+
+    A span is in one partition before its terms are told apart, so that neither count moves rows.
+    """
+    dealt = spans.select("tenant", "span", "place", "length", "text").repartition(partitions, "tenant", "span")
+    each = dealt.select("tenant", "span", "place", "length", F.explode(split(F.col("text"))).alias("term"))
+    counts = each.groupBy("tenant", "term", "span", "place", "length").agg(F.count("*").alias("tf"))
+    entry = F.struct("place", F.col("tf").cast("int").alias("tf"))
     # a block holds SPAN chunks at most
-    return counts.groupBy("tenant", "term", "span").agg(
+    blocks = counts.groupBy("tenant", "term", "span").agg(
         F.lit(segment).alias("segment"), F.count("*").alias("n"), F.max("tf").alias("top_tf"), F.min("length").alias("least_length"),
-        F.sort_array(F.collect_list(entry)).alias("postings"),
+        F.sort_array(F.collect_list(entry)).alias("entries"),
     )
+    return blocks.select("tenant", "term", "segment", "span", "n", "top_tf", "least_length", F.col("entries.place").alias("place"), F.col("entries.tf").alias("tf"))
 
 
 def _counted(cut: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
-    """What chunks add to the numbers of each term, and of each tenant."""
+    """What chunks add to the numbers of each term, and of each tenant, or take off."""
     one = F.lit(sign).cast("long")
     terms = cut.select("tenant", "chunk_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("tenant", "term").agg((F.count("*") * one).alias("df"))
     sizes = cut.where("length > 0").groupBy("tenant").agg((F.count("*") * one).alias("n"), (F.sum("length") * one).alias("total"))
@@ -82,7 +99,8 @@ def update(now: Transaction, rebuild: bool = False, split: Split = tokenize) ->
     """
     chunks = now.read("chunks").select("doc_id", "tenant", "chunk_id", "chunk")
     segment = (now.read("index_sizes").agg(F.max("segment")).first()[0] or 0) + 1 if now.has("index_sizes") else 1
-    rebuild = rebuild or not now.has("index_chunks") or segment > SEGMENTS
+    # an index without members is one of an earlier layout
+    rebuild = rebuild or not now.has("index_chunks") or not now.has("index_members") or segment > SEGMENTS
     state = F.sha2(F.concat_ws("\u0000", F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", F.sha2("chunk", 256)))), lambda c: F.concat(c["chunk_id"], c["col2"]))), 256)
     current = written(chunks.groupBy("doc_id", "tenant").agg(state.alias("state")), "index-state")
     if rebuild:
@@ -103,18 +121,23 @@ def update(now: Transaction, rebuild: bool = False, split: Split = tokenize) ->
         now.delete("index_chunks", old)
         now.delete("index_vectors", old)
         now.delete("index_state", old)
-        fresh = chunks.join(new, "doc_id", "left_semi")
-    fresh = written(fresh, "index-fresh")
-    cut = written(terms_of(fresh, split), "index-cut")
-    partitions = max(1, min(int(now.spark.conf.get("spark.sql.shuffle.partitions", "200")), cut.count() // (16 * SPAN) + 1))
-    terms, sizes = _counted(cut, 1)
-    buckets = max(BUCKETS, min(4096, cut.count() // 200_000))
-    now.append("index_blocks", blocks_of(cut, segment, partitions), "term", ("tenant", "term", "span"), buckets)
+        fresh = written(chunks.join(new, "doc_id", "left_semi"), "index-fresh")
+    count = fresh.count()
+    partitions = max(1, min(int(now.spark.conf.get("spark.sql.shuffle.partitions", "200")), count // (16 * SPAN) + 1))
+    spans = in_spans(fresh, partitions, split)
+    members = spans.select("tenant", F.lit(segment).alias("segment"), "span", "place", "chunk_id", "doc_id", "length")
+    now.append("index_members", members, "span", ("tenant", "span", "place"))
+    now.append("index_blocks", blocks_of(spans, segment, partitions, split), "term", ("tenant", "term", "span"), max(BUCKETS, min(4096, count // 200_000)))
+    # blocks and members hold all there is to count
+    own = F.col("segment") == segment
+    terms = now.read("index_blocks").where(own).groupBy("tenant", "term").agg(F.sum("n").alias("df"))
+    sizes = now.read("index_members").where(own).groupBy("tenant").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
     now.append("index_terms", terms, "term", ("term",))
     now.append("index_sizes", sizes.withColumn("segment", F.lit(segment)), "tenant")
     vectors = fresh.select("doc_id", "tenant", "chunk_id", R.embed(index_text(F.col("chunk"))).alias("vector"))
     if rebuild:
-        now.write("index_chunks", fresh, "doc_id")
+        if not now.share("index_chunks", "chunks", "doc_id", fresh.columns):
+            now.write("index_chunks", fresh, "doc_id")
         now.write("index_vectors", vectors, "doc_id")
         now.write("index_state", current, "doc_id")
         now.write("index_gone", now.spark.createDataFrame([], "doc_id string, since int"), "doc_id")
@@ -169,12 +192,13 @@ class StoredIndex:
 
     def _read(self, query: Counter, spans: DataFrame, tenants: list[str] | None, allowed: DataFrame | None) -> DataFrame:
         """``tenant, chunk_id, score`` of all chunks of some spans."""
-        blocks = self._of_terms("index_blocks", list(query)).select(*BLOCK_KEY, "term", "postings").join(spans.select(*BLOCK_KEY), BLOCK_KEY, "left_semi")
-        hits = blocks.select(*BLOCK_KEY, "term", F.inline("postings"))
+        spans = spans.select(*BLOCK_KEY)
+        blocks = self._of_terms("index_blocks", list(query)).select(*BLOCK_KEY, "term", "place", "tf").join(spans, BLOCK_KEY, "left_semi")
         gone = self.now.read("index_gone").groupBy("doc_id").agg(F.max("since").alias("since"))
-        hits = hits.join(gone, "doc_id", "left").where("since is null or segment >= since")
+        members = self.now.read("index_members").join(spans, BLOCK_KEY, "left_semi").join(gone, "doc_id", "left").where("since is null or segment >= since")
         if allowed is not None:
-            hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+            members = members.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+        hits = blocks.select(*BLOCK_KEY, "term", F.inline(F.arrays_zip("place", "tf"))).join(members, [*BLOCK_KEY, "place"])
         scored = hits.join(self.statistics(query, tenants), ["tenant", "term"])
         return scored.groupBy("tenant", "chunk_id").agg(F.sum(self._score("tf", "length")).alias("score"))
 

@@ -66,7 +66,7 @@ def stored(house: Warehouse, settings: Settings = Settings()) -> Archive:
     missing = [k for k in kinds if not now.has(k)]
     empty = read_reports(house.spark.createDataFrame([], "doc_id string, doc_type string, text string, page_ends array<int>")) if missing else None
     tables = [now.read(k) if now.has(k) else getattr(empty, k) for k in kinds]
-    index = SI.StoredIndex(now, settings.retrieval.k1, settings.retrieval.b) if now.has("index_blocks") else None
+    index = SI.StoredIndex(now, settings.retrieval.k1, settings.retrieval.b) if now.has("index_members") else None
     return Archive(now.read("documents", EMPTY["documents"]), now.read("events", EMPTY["events"]), *tables, index, index.vectors() if index else None)
 
 

@@ -116,6 +116,19 @@ class Transaction:
         self.tables[table] = Table(rows.schema, key, n, self._store(table, rows, key, n, sort))
         self._touched(table, None)
 
+    def share(self, table: str, of: str, key: str, columns: list[str]) -> bool:
+        """Let a table be the files of another, which this change itself wrote whole and by that key; whether it could be.
+
+        Files stay as they are, so that each of both changes by itself from then on.
+        """
+        own = self.tables.get(of)
+        if own is None or own.key != key or self.wrote.get(of, set()) is not None:
+            return False
+        schema = T.StructType([own.schema[c] for c in columns])
+        self.tables[table] = Table(schema, key, own.n, {k: list(v) for k, v in own.files.items()})
+        self._touched(table, None)
+        return True
+
     def _rewrite(self, table: str, keys: DataFrame, buckets: set[int], added: dict[int, list[tuple[str, int]]], schema: T.StructType) -> None:
         """Buckets without the rows of ``keys``, and with what was added to them."""
         old = self.tables[table]

@@ -228,7 +228,7 @@ def ensure_index(house: Warehouse, k1: float = K1, b: float = B, rebuild: bool =
     """Bring the index up to date if any tenant's is missing or old; whether that was needed."""
     if not house.has("documents"):
         return False
-    needed = rebuild or not index_status(house, k1, b).where("stale").isEmpty()
+    needed = rebuild or not house.has("index_members") or not index_status(house, k1, b).where("stale").isEmpty()
     if needed:
         build_index(house, k1, b, rebuild)
     return needed

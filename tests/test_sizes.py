@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from strataledger.operators import digests as D
 from strataledger.operators import passages as PA
+from strataledger.operators import search_index as SI
 from strataledger.plans import queries as Q
 from strataledger.plans import report_queries as RQ
 from strataledger.sources import ledger_csv as LC
+from strataledger.sources import tables as TB
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -66,3 +68,30 @@ def test_postings_and_passages_are_dealt_out_once_before_they_multiply(spark):
     assert plan(Q.postings(spark, SMALL)).count("Exchange hashpartitioning") == 1
     docs = spark.createDataFrame([("a", "ddr", "REMARKS\nIt ran. It fell.")], "doc_id string, doc_type string, text string")
     assert plan(PA.document_passages(docs)).count("Exchange hashpartitioning") == 1
+
+
+def test_texts_are_indexed_without_moving_a_posting_more_than_once(spark, tmp_path, monkeypatch):
+    rows = [(f"d{i}", "x" if i % 3 else "y", f"d{i}#0", " ".join(f"w{i * j % 7}" for j in range(i % 9))) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "doc_id string, tenant string, chunk_id string, chunk string")
+    monkeypatch.setattr(SI, "SPAN", 8)
+    spans = SI.in_spans(chunks, 2)
+    # only texts of spans travel, and nothing between the counts of terms and their blocks
+    plan = SI.blocks_of(spans, 1, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 1
+    index = SI.of_chunks(chunks)
+    tables = index.now.tables
+    assert tables["index_chunks"].files == tables["chunks"].files and "postings" not in tables["index_blocks"].schema.names
+    assert index.now.read("index_members").count() == sum(1 for r in rows if r[3])
+    # a change of one leaves the other as it was
+    index.now.delete("chunks", spark.createDataFrame([("d1",)], "doc_id string"))
+    assert index.now.read("chunks").count() == 39 and index.now.read("index_chunks").count() == 40
+
+
+def test_an_index_of_the_earlier_layout_is_made_anew(spark, tmp_path):
+    house = TB.Warehouse(spark, f"file://{tmp_path}")
+    house.merge("chunks", spark.createDataFrame([("a", "x", "a#0", "salt pump")], "doc_id string, tenant string, chunk_id string, chunk string"))
+    house.commit(SI.update)
+    house.commit(lambda now: now.drop("index_members"))
+    told = []
+    house.commit(lambda now: told.append(SI.update(now)))
+    assert told == ["built"] and [r.chunk_id for r in SI.StoredIndex.of(house).best(["salt"], 3).collect()] == ["a#0"]

@@ -1,9 +1,10 @@
 """A stored search index that grows by segments, and exact top-k from it by block maxima.
 
-Chunks of a segment are put in order of tenant and id and cut into *spans* of ``SPAN``; ``index_members`` names each
-chunk once, by its span and its place in it. A block is what one term has in one span: places of chunks with their
-counts, and the greatest count and the least length among them, which bound the score of any of them whatever the means
-become. Blocks are filed by term, so a question reads the buckets of its own terms.
+Chunks of a segment are dealt into shares by document, each put in order of tenant and id and cut into *spans* of at
+most ``SPAN``; ``index_members`` names each chunk once, by its span and its place in it. A block is what one term has in
+one span: places of chunks with their counts, and the greatest count and the least length among them, which bound the
+score of any of them whatever the means become. Blocks are filed by term, so a question reads the buckets of its own
+terms.
 
 A segment is never changed. A document that is replaced or dropped leaves its old blocks behind: ``index_gone`` names it
 with the segment from which on it counts again, and ``index_terms`` and ``index_sizes`` take what it had off again, so
@@ -52,31 +53,33 @@ def terms_of(chunks: DataFrame, split: Split = tokenize) -> DataFrame:
     return cut.select("doc_id", "tenant", "chunk_id", F.size("tokens").cast("long").alias("length"), "tokens")
 
 
-def in_spans(chunks: DataFrame, partitions: int, split: Split = tokenize) -> DataFrame:
-    """``tenant, span, place, chunk_id, doc_id, length, text``, written: chunks in order, with the text as it is indexed.
+def in_spans(chunks: DataFrame, count: int, partitions: int, split: Split = tokenize) -> DataFrame:
+    """``tenant, share, span, place, chunk_id, doc_id, length, text`` of ``count`` chunks, with the text as it is indexed.
 
-    Texts travel, not their terms, which take more than twice the bytes.
+    Chunks that tie in all of the order are named alike, so that spans are the same each time they are made.
     """
     texts = chunks.select("tenant", "chunk_id", "doc_id", index_text(F.col("chunk")).alias("text"))
-    ordered = texts.repartitionByRange(partitions, "tenant", "chunk_id").sortWithinPartitions("tenant", "chunk_id")
-    # rows of a partition are numbered in order, so neighbours share a span
-    ordered = ordered.withColumn("n", F.monotonically_increasing_id())
-    place = (F.col("n") % SPAN).cast("int").alias("place")
-    length = F.size(split(F.col("text"))).cast("long").alias("length")
-    return written(ordered.select("tenant", F.floor(F.col("n") / SPAN).alias("span"), place, "chunk_id", "doc_id", length, "text"), "index-spans").where("length > 0")
+    sized = texts.withColumn("length", F.size(split(F.col("text"))).cast("long")).where("length > 0")
+    shares = count // (4 * SPAN) + 1
+    dealt = sized.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(shares))).repartitionByRange(partitions, "share")
+    # a share is some spans, whatever the table's size
+    n = F.row_number().over(W.partitionBy("share").orderBy("tenant", "chunk_id", "doc_id", "length")) - 1
+    numbered = dealt.withColumn("n", n)
+    span, place = F.col("share") * (1 << 32) + F.floor(F.col("n") / SPAN), (F.col("n") % SPAN).cast("int")
+    return numbered.select("tenant", "share", span.alias("span"), place.alias("place"), "chunk_id", "doc_id", "length", "text")
 
 
-def blocks_of(spans: DataFrame, segment: int, partitions: int, split: Split = tokenize) -> DataFrame:
+def blocks_of(spans: DataFrame, segment: int, split: Split = tokenize) -> DataFrame:
     """Blocks of one segment: ``tenant, term, segment, span, n, top_tf, least_length, place, tf``, the last two arrays.
 
-    A span is in one partition before its terms are told apart, so that neither count moves rows.
+    Texts travel, not their terms, which take more than twice the bytes. A share is in one partition, and is told by
+    both counts so that neither moves rows.
     """
-    dealt = spans.select("tenant", "span", "place", "length", "text").repartition(partitions, "tenant", "span")
-    each = dealt.select("tenant", "span", "place", "length", F.explode(split(F.col("text"))).alias("term"))
-    counts = each.groupBy("tenant", "term", "span", "place", "length").agg(F.count("*").alias("tf"))
+    each = spans.select("tenant", "share", "span", "place", "length", F.explode(split(F.col("text"))).alias("term"))
+    counts = each.groupBy("share", "tenant", "term", "span", "place", "length").agg(F.count("*").alias("tf"))
     entry = F.struct("place", F.col("tf").cast("int").alias("tf"))
     # a block holds SPAN chunks at most
-    blocks = counts.groupBy("tenant", "term", "span").agg(
+    blocks = counts.groupBy("share", "tenant", "term", "span").agg(
         F.lit(segment).alias("segment"), F.count("*").alias("n"), F.max("tf").alias("top_tf"), F.min("length").alias("least_length"),
         F.sort_array(F.collect_list(entry)).alias("entries"),
     )
@@ -124,10 +127,10 @@ def update(now: Transaction, rebuild: bool = False, split: Split = tokenize) ->
         fresh = written(chunks.join(new, "doc_id", "left_semi"), "index-fresh")
     count = fresh.count()
     partitions = max(1, min(int(now.spark.conf.get("spark.sql.shuffle.partitions", "200")), count // (16 * SPAN) + 1))
-    spans = in_spans(fresh, partitions, split)
+    spans = in_spans(fresh, count, partitions, split)
     members = spans.select("tenant", F.lit(segment).alias("segment"), "span", "place", "chunk_id", "doc_id", "length")
     now.append("index_members", members, "span", ("tenant", "span", "place"))
-    now.append("index_blocks", blocks_of(spans, segment, partitions, split), "term", ("tenant", "term", "span"), max(BUCKETS, min(4096, count // 200_000)))
+    now.append("index_blocks", blocks_of(spans, segment, split), "term", ("tenant", "term", "span"), max(BUCKETS, min(4096, count // 200_000)))
     # blocks and members hold all there is to count
     own = F.col("segment") == segment
     terms = now.read("index_blocks").where(own).groupBy("tenant", "term").agg(F.sum("n").alias("df"))

@@ -74,10 +74,10 @@ def test_texts_are_indexed_without_moving_a_posting_more_than_once(spark, tmp_pa
     rows = [(f"d{i}", "x" if i % 3 else "y", f"d{i}#0", " ".join(f"w{i * j % 7}" for j in range(i % 9))) for i in range(40)]
     chunks = spark.createDataFrame(rows, "doc_id string, tenant string, chunk_id string, chunk string")
     monkeypatch.setattr(SI, "SPAN", 8)
-    spans = SI.in_spans(chunks, 2)
-    # only texts of spans travel, and nothing between the counts of terms and their blocks
-    plan = SI.blocks_of(spans, 1, 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == 1
+    spans = SI.in_spans(chunks, 40, 2)
+    # texts travel once, and nothing between the counts of terms and their blocks
+    plan = SI.blocks_of(spans, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1
     index = SI.of_chunks(chunks)
     tables = index.now.tables
     assert tables["index_chunks"].files == tables["chunks"].files and "postings" not in tables["index_blocks"].schema.names

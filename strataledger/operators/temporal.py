@@ -60,8 +60,8 @@ def interval_join(
 
     An interval without a start is its end alone; one without an end, or that ends before it starts, meets nothing. Bins
     double in width from level to level. An interval is filed at the level at which it covers two bins at most, and looks
-    for longer ones at each level above, so that its rows grow with the number of levels and not with its length. A pair
-    comes from the one bin in which the later of both begins.
+    for longer ones at those levels above at which the other side has any, so that its rows grow with the number of such
+    levels and not with its length. A pair comes from the one bin in which the later of both begins.
     """
 
     def sized(rows: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
@@ -79,12 +79,13 @@ def interval_join(
         return rows.withColumn("__bin", F.explode(bins))
 
     a, b = written(sized(a, span_a, "a"), "intervals"), written(sized(b, span_b, "b"), "intervals")
-    top = max(r.agg(F.coalesce(F.max(c), F.lit(0))).first()[0] for r, c in ((a, "__level_a"), (b, "__level_b")))
+    # a level is an exponent, so there are few whatever the tables hold
+    held = {s: sorted(r[0] for r in rows.select(f"__level_{s}").distinct().collect()) for s, rows in (("a", a), ("b", b))}
     home = lambda side: F.array(f"__level_{side}")
-    above = lambda side, start: F.filter(F.sequence(F.lit(0), F.lit(top)), lambda x: x >= F.col(f"__level_{side}") + start)
+    above = lambda side, other, start: F.filter(F.lit(held[other]).cast("array<int>"), lambda x: x >= F.col(f"__level_{side}") + start)
     at = [*keys, "__level", "__bin"]
-    pairs = _spread(binned(a, "a", above("a", 0)), binned(b, "b", home("b")), at, most)
-    pairs = pairs.unionByName(_spread(binned(a, "a", home("a")), binned(b, "b", above("b", 1)), at, most))
+    pairs = _spread(binned(a, "a", above("a", "b", 0)), binned(b, "b", home("b")), at, most)
+    pairs = pairs.unionByName(_spread(binned(a, "a", home("a")), binned(b, "b", above("b", "a", 1)), at, most))
     later = F.greatest("__low_a", "__low_b")
     meets = (F.col("__low_a") <= F.col("__high_b")) & (F.col("__low_b") <= F.col("__high_a"))
     once = F.col("__bin") == F.floor(later / width(F.col("__level")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataledger.operators import digests as D
 from strataledger.operators import passages as PA
 from strataledger.operators import search_index as SI
+from strataledger.operators import temporal as TM
 from strataledger.plans import queries as Q
 from strataledger.plans import report_queries as RQ
 from strataledger.sources import ledger_csv as LC
@@ -95,3 +96,20 @@ def test_an_index_of_the_earlier_layout_is_made_anew(spark, tmp_path):
     told = []
     house.commit(lambda now: told.append(SI.update(now)))
     assert told == ["built"] and [r.chunk_id for r in SI.StoredIndex.of(house).best(["salt"], 3).collect()] == ["a#0"]
+
+
+def test_reports_are_grouped_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(RQ, "GROUPED", 500)  # 6,000 order lines
+    assert RQ.drilled_intervals(spark, SMALL).rdd.getNumPartitions() == 13
+
+
+def test_intervals_look_only_at_levels_that_the_other_side_has(spark, monkeypatch):
+    a = [(k, 0.0, 1000.0 + k) for k in range(3)] + [(7, None, 3.0)]
+    b = [(k % 4, float(i), i + 0.5) for i in range(200) for k in (i,)] + [(1, 5.0, None), (2, 9.0, 1.0)]
+    dealt, spread = [], TM._spread
+    monkeypatch.setattr(TM, "_spread", lambda left, right, *rest: [dealt.append(right.count()), spread(left, right, *rest)][1])
+    frames = spark.createDataFrame(a, "k long, a0 double, a1 double"), spark.createDataFrame(b, "k long, b0 double, b1 double")
+    found = TM.interval_join(*frames, ["k"], ("a0", "a1"), ("b0", "b1")).select("k", "b0").collect()
+    assert sorted(map(tuple, found)) == sorted((k, b0) for k, b0, b1 in b if k < 3 and b1 is not None and b0 <= b1)
+    assert dealt[1] == 200  # one level of windows, in place of ten
+    assert TM.interval_join(frames[0].where("false"), frames[1], ["k"], ("a0", "a1"), ("b0", "b1")).isEmpty()

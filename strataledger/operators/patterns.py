@@ -18,6 +18,10 @@ from pyspark.sql import Window as W
 from strataledger.operators.ledger import cost, depth_window
 from strataledger.sources.storage import written
 
+#: Rows of a group and a span of entities, on average, from which entities are counted as bits: a span's bitmap takes 4 KB
+#: in memory.
+DENSE = 64
+
 #: Columns of losses that patterns use.
 LEDGER = ("tenant", "code", "section", "formation", "rig", "tool", "entity", "report_id", "line", "hours", "depth")
 
@@ -47,12 +51,37 @@ def finite(value: Column) -> Column:
     return F.when(value < F.lit(float("inf")), value)
 
 
+def with_entities(rows: DataFrame, by: list[str], count: str, entities: str, total: str | None = None) -> DataFrame:
+    """Rows of each group under ``count``, its distinct entities under ``entities`` and its hours under ``total``.
+
+    Entities that are whole numbers are bits of bitmaps, one for each group and 32,768 of them: these travel in place of a
+    row for each entity. Where bitmaps would hold few bits each, and for other entities, the rows travel. ``rows`` are read
+    twice, so they should be written.
+    """
+    parts = [F.count("*").alias(count)] + ([F.sum("hours").alias(total)] if total else [])
+    span = F.bitmap_bucket_number("entity")
+    bits = isinstance(rows.schema["entity"].dataType, T.IntegralType)
+    if bits:
+        n, groups = rows.agg(F.count("*"), F.approx_count_distinct(F.struct(*by, span))).first()
+        bits = n >= DENSE * groups
+    if bits:
+        held = rows.groupBy(*by, span.alias("__span")).agg(
+            *parts, F.bitmap_construct_agg(F.bitmap_bit_position("entity")).alias("__bits")
+        )
+        out = held.groupBy(*by).agg(
+            F.sum(count).alias(count), F.sum(F.bitmap_count("__bits")).alias(entities), *([F.sum(total).alias(total)] if total else [])
+        )
+    else:
+        out = rows.groupBy(*by).agg(*parts, F.countDistinct("entity").alias(entities))
+    return out.withColumn(total, F.coalesce(F.col(total).cast("double"), F.lit(0.0))) if total else out
+
+
 def exposure_counts(exposures: DataFrame, by: list[str]) -> DataFrame:
     """Reports and entities of each group, where every key is known."""
     known = exposures
     for key in by:
         known = known.where(F.col(key).isNotNull() & (F.col(key) != ""))
-    return known.groupBy(*by).agg(F.count("*").alias("days"), F.countDistinct("entity").alias("exposed"))
+    return with_entities(known, by, "days", "exposed")
 
 
 def code_totals(exposures: DataFrame, losses: DataFrame) -> DataFrame:
@@ -81,9 +110,7 @@ def equipment_stats(exposures: DataFrame, losses: DataFrame, kind: str) -> DataF
     A category without a rest to compare with has no ratio and is left out.
     """
     keys = ["tenant", kind]
-    here = losses.groupBy(*keys, "code").agg(
-        hours().alias("hours"), F.count("*").alias("events"), F.countDistinct("entity").alias("affected")
-    )
+    here = with_entities(losses, [*keys, "code"], "events", "affected", "hours")
     joined = here.join(exposure_counts(exposures, keys), keys).join(code_totals(exposures, losses), ["tenant", "code"])
     rest_days = F.col("tenant_days") - F.col("days")
     rest_hours = F.col("tenant_hours") - F.col("hours")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataledger.operators import digests as D
 from strataledger.operators import passages as PA
+from strataledger.operators import patterns as P
 from strataledger.operators import search_index as SI
 from strataledger.operators import temporal as TM
 from strataledger.plans import queries as Q
@@ -113,3 +114,38 @@ def test_intervals_look_only_at_levels_that_the_other_side_has(spark, monkeypatc
     assert sorted(map(tuple, found)) == sorted((k, b0) for k, b0, b1 in b if k < 3 and b1 is not None and b0 <= b1)
     assert dealt[1] == 200  # one level of windows, in place of ten
     assert TM.interval_join(frames[0].where("false"), frames[1], ["k"], ("a0", "a1"), ("b0", "b1")).isEmpty()
+
+
+def reports_of(spark, entities, kind="long"):
+    rows = [("T", f"S{i % 3}", "F", "R", f"B{i % 2}", "AB"[i % 5 > 1], None if e is None else e, i % 4) for i, e in enumerate(entities)]
+    rows = spark.createDataFrame(rows, "tenant string, section string, formation string, rig string, tool string, code string, entity long, hours int")
+    return rows.withColumns({"hours": F.col("hours").cast("decimal(18,1)"), "entity": F.col("entity").cast(kind)})
+
+
+EDGES = [-32768, -32767, -1, 0, 1, 32767, 32768, 32769, 65536, 65537, None]
+
+
+def entities_do_not_travel(spark, stats, by):
+    daily = reports_of(spark, [*EDGES, *range(-500, 1500), *range(1000)])
+    lost = daily.where("hours > 0")
+    found = stats(daily, lost)
+    assert "entity" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+    want = {tuple(r) for r in lost.groupBy(*by, "code").agg(F.count("*"), F.countDistinct("entity"), F.sum("hours").cast("double")).collect()}
+    assert {tuple(r) for r in found.select(*by, "code", "events", "affected", "hours").collect()} == want
+    want = {tuple(r) for r in daily.groupBy(*by).agg(F.count("*"), F.countDistinct("entity")).collect()}
+    assert {tuple(r) for r in found.select(*by, "days", "exposed").distinct().collect()} == want
+
+
+def test_entities_of_a_fleet_are_counted_without_a_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(P, "DENSE", 2)
+    fleet = lambda daily, lost: P.equipment_stats(daily, lost, "tool").withColumn("tool", F.col("category"))
+    entities_do_not_travel(spark, fleet, ["tenant", "tool"])
+
+
+@pytest.mark.parametrize("kind, far", (("long", 1), ("long", 1_000_003), ("string", 1), ("int", 1)))
+def test_entities_of_any_kind_are_counted_each_once(spark, kind, far):
+    daily = reports_of(spark, [None, *(k * far for k in range(-300, 900)), *(k * far for k in range(400))], kind)
+    found = P.with_entities(daily, ["tenant", "section"], "n", "entities", "hours")
+    want = daily.groupBy("tenant", "section").agg(F.count("*"), F.countDistinct("entity"), F.sum("hours").cast("double"))
+    assert {tuple(r) for r in found.select("tenant", "section", "n", "entities", "hours").collect()} == {tuple(r) for r in want.collect()}
+    assert P.with_entities(daily.where("false"), ["section"], "n", "entities", "hours").count() == 0

@@ -93,9 +93,7 @@ def code_totals(exposures: DataFrame, losses: DataFrame) -> DataFrame:
 def interval_stats(exposures: DataFrame, losses: DataFrame) -> DataFrame:
     """Every (code, section, formation) of a tenant with its support and lift, before any threshold."""
     place = ["tenant", "section", "formation"]
-    here = losses.groupBy(*place, "code").agg(
-        hours().alias("hours"), F.count("*").alias("events"), F.countDistinct("entity").alias("affected")
-    )
+    here = with_entities(losses, [*place, "code"], "events", "affected", "hours")
     joined = here.join(exposure_counts(exposures, place), place).join(code_totals(exposures, losses), ["tenant", "code"])
     return joined.select(
         *place, "code", "days", "exposed", "affected", "events", "hours",

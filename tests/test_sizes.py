@@ -142,6 +142,11 @@ def test_entities_of_a_fleet_are_counted_without_a_row_for_each(spark, monkeypat
     entities_do_not_travel(spark, fleet, ["tenant", "tool"])
 
 
+def test_entities_of_places_are_counted_without_a_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(P, "DENSE", 2)
+    entities_do_not_travel(spark, P.interval_stats, ["tenant", "section", "formation"])
+
+
 @pytest.mark.parametrize("kind, far", (("long", 1), ("long", 1_000_003), ("string", 1), ("int", 1)))
 def test_entities_of_any_kind_are_counted_each_once(spark, kind, far):
     daily = reports_of(spark, [None, *(k * far for k in range(-300, 900)), *(k * far for k in range(400))], kind)

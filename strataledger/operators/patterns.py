@@ -23,7 +23,7 @@ from strataledger.sources.storage import written
 DENSE = 64
 
 #: Columns of losses that patterns use.
-LEDGER = ("tenant", "code", "section", "formation", "rig", "tool", "entity", "report_id", "line", "hours", "depth")
+LEDGER = ("tenant", "code", "section", "formation", "rig", "tool", "entity", "hours", "depth")
 
 
 @dataclass(frozen=True)
@@ -217,15 +217,17 @@ def find_patterns(
     rig_codes: Iterable[str] | None = None,
     tool_codes: Iterable[str] | None = None,
     thresholds: Thresholds = Thresholds(),
+    kept: bool = False,
 ) -> DataFrame:
     """Every pattern that clears its thresholds, with its owned losses counted once, largest first.
 
     Losses are counted by the combination of candidates that hold them. Who owns what is decided in one task for each
-    tenant and code, from these counts alone.
+    tenant and code, from these counts alone. ``kept``: exposures and losses are read from written tables already.
     """
     t = thresholds
-    exposures = written(exposures.select("tenant", "entity", "section", "formation", "rig", "tool"), "pattern-exposures")
-    losses = written(losses.select(*LEDGER), "pattern-losses")
+    exposures, losses = exposures.select("tenant", "entity", "section", "formation", "rig", "tool"), losses.select(*LEDGER)
+    if not kept:
+        exposures, losses = written(exposures, "pattern-exposures"), written(losses, "pattern-losses")
     intervals = qualified_intervals(interval_stats(exposures, losses), t, avoidable)
     equipment = qualified_equipment(equipment_stats(exposures, losses, "rig"), t, rig_codes).unionByName(
         qualified_equipment(equipment_stats(exposures, losses, "tool"), t, tool_codes)
@@ -234,12 +236,12 @@ def find_patterns(
     found_i = intervals.select(
         F.concat_ws("|", F.lit("interval"), "tenant", "code", "section", "formation").alias("candidate"), "tenant", "code",
         F.lit("interval").alias("scope"), "section", "formation", none.alias("kind"), none.alias("category"), "lift",
-        F.lit(None).cast("double").alias("ratio"), "hours", "exposed", F.concat_ws("|", "section", "formation").alias("rank"),
+        F.lit(None).cast("double").alias("ratio"), "hours", "days", "exposed", F.concat_ws("|", "section", "formation").alias("rank"),
     )
     found_e = equipment.select(
         F.concat_ws("|", F.lit("equipment"), "tenant", "code", "kind", "category").alias("candidate"), "tenant", "code",
         F.lit("equipment").alias("scope"), none.alias("section"), none.alias("formation"), "kind", "category",
-        F.lit(None).cast("double").alias("lift"), "ratio", "hours", "exposed", F.concat_ws("|", "kind", "category").alias("rank"),
+        F.lit(None).cast("double").alias("lift"), "ratio", "hours", "days", "exposed", F.concat_ws("|", "kind", "category").alias("rank"),
     )
     candidates = written(found_i.unionByName(found_e), "pattern-candidates")
     found_i, found_e = (candidates.where(F.col("scope") == scope) for scope in ("interval", "equipment"))
@@ -253,7 +255,7 @@ def find_patterns(
         marks = marks.join(own, ["tenant", "code", kind], "left")
     members = ("m_interval", "m_rig", "m_tool")
     marks = marks.where(F.coalesce(*members).isNotNull()).withColumn("group", F.concat_ws("&", *members))
-    marks = written(marks, "pattern-marks")
+    marks = written(marks.select("tenant", "code", "entity", "hours", "depth", "group"), "pattern-marks")
     counted = marks.groupBy("tenant", "code", "group").agg(F.count("*").alias("n"))
     owned = (
         candidates.groupBy("tenant", "code")
@@ -267,16 +269,18 @@ def find_patterns(
 
 def _finalised(patterns: DataFrame, owned: DataFrame, exposures: DataFrame, losses: DataFrame, t: Thresholds) -> DataFrame:
     """Figures over the owned losses; per-entity figures stay within the exposed population."""
+    place = F.concat_ws("|", "kind", "tenant", "category").alias("place")
+    equipment = patterns.where(F.col("scope") == "equipment").select(place).distinct()
     fleet = exposures.select(
         "entity", F.explode(F.array(
             F.concat_ws("|", F.lit("rig"), "tenant", "rig"), F.concat_ws("|", F.lit("tool"), "tenant", "tool")
         )).alias("place")
-    ).distinct()
+    ).join(equipment, "place", "left_semi").distinct()
     keyed = owned.join(patterns.select("candidate", "scope", "kind", "category"), "candidate")
-    keyed = keyed.withColumn("place", F.concat_ws("|", "kind", "tenant", "category"))
-    keyed = keyed.join(fleet.withColumn("inside", F.lit(True)), ["place", "entity"], "left")
-    keyed = keyed.withColumn("inside", (F.col("scope") == "interval") | F.coalesce("inside", F.lit(False)))
-    per = keyed.where("inside").groupBy("candidate", "entity").agg(F.sum("hours").cast("double").alias("h"))
+    # hours of an entity come before its place, so that one row for each entity of a candidate meets the fleet
+    per = keyed.groupBy("candidate", "scope", place, "entity").agg(F.sum("hours").cast("double").alias("h"))
+    inside = per.where(F.col("scope") != "interval").join(fleet, ["place", "entity"], "left_semi")
+    per = per.where(F.col("scope") == "interval").unionByName(inside)
     people = per.groupBy("candidate").agg(
         F.count("*").alias("entities_affected"),
         (F.sum("h") / F.count("*")).alias("mean_hours"),
@@ -284,13 +288,11 @@ def _finalised(patterns: DataFrame, owned: DataFrame, exposures: DataFrame, loss
     )
     sums = keyed.groupBy("candidate").agg(F.count("*").alias("events"), F.sum("hours").cast("double").alias("total_hours"))
     totals = code_totals(exposures, losses).select("tenant", "code", "tenant_hours", "tenant_days")
-    days = exposure_counts(exposures, ["tenant", "section", "formation"]).select("tenant", "section", "formation", "days")
     full = (
         patterns.join(sums, "candidate")
         .join(people, "candidate", "left")
         .join(depth_window(keyed, ["candidate"]), "candidate")
         .join(totals, ["tenant", "code"])
-        .join(days, ["tenant", "section", "formation"], "left")
     )
     new_lift = ratio(F.col("total_hours") / F.col("days"), F.col("tenant_hours") / F.col("tenant_days"))
     full = full.withColumn("lift", F.when(F.col("retest"), new_lift).otherwise(F.col("lift")))

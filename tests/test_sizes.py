@@ -154,3 +154,22 @@ def test_entities_of_any_kind_are_counted_each_once(spark, kind, far):
     want = daily.groupBy("tenant", "section").agg(F.count("*"), F.countDistinct("entity"), F.sum("hours").cast("double"))
     assert {tuple(r) for r in found.select("tenant", "section", "n", "entities", "hours").collect()} == {tuple(r) for r in want.collect()}
     assert P.with_entities(daily.where("false"), ["section"], "n", "entities", "hours").count() == 0
+
+
+def test_patterns_copy_no_ledger_that_is_written(spark, monkeypatch):
+    told, written = [], P.written
+    monkeypatch.setattr(P, "written", lambda rows, label: [told.append((label, rows.columns)), written(rows, label)][1])
+    found = {tuple(r) for r in Q.patterns(spark, SMALL).collect()}
+    assert [label for label, _ in told] == ["pattern-candidates", "pattern-marks", "pattern-owners"]
+    assert dict(told)["pattern-marks"] == ["tenant", "code", "entity", "hours", "depth", "group"]
+    daily, lost = Q.ledger(spark, SMALL, *P.LEDGER)
+    assert {tuple(r) for r in P.find_patterns(daily, lost, Q.AVOIDABLE, thresholds=Q.RELAXED).collect()} == found and found
+
+
+def test_entities_outside_a_fleet_lose_hours_and_are_not_counted(spark):
+    columns = "tenant string, section string, formation string, rig string, tool string, code string, entity long, hours int, depth double"
+    rows = [("T", "S", "F", rig, "B", "A", e, 9 if rig == "N" else 1, 5.0) for rig, es in (("N", range(4)), ("M", range(4, 9))) for e in es]
+    daily = spark.createDataFrame(rows, columns).withColumn("hours", F.col("hours").cast("decimal(18,1)"))
+    lost = daily.unionByName(daily.limit(1).withColumns({"entity": F.lit(99).cast("long"), "rig": F.lit("N")}))
+    found = {r.category: r for r in P.find_patterns(daily, lost).collect() if r.kind == "rig"}
+    assert (found["N"].events, found["N"].entities_affected, found["N"].entities_total, found["N"].total_hours, found["N"].mean_hours) == (5, 4, 4, 45.0, 9.0)

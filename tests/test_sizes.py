@@ -190,3 +190,12 @@ def test_headings_and_blanks_of_any_spelling(spark):
     found = [(r.quote, r.section, r.role) for r in PA.document_passages(docs).orderBy("n").collect()]
     assert found[:2] == [("ROOT CAUSE", "", "content"), ("ROOT CAUSE (b)", "ROOT CAUSE", "heading")]
     assert ("12. ÀÉ Ω:", "ÀÉ Ω", "heading") in found and found[-1][2] == "content"
+
+
+def test_terms_are_made_of_passages_of_the_first_tier_alone(spark):
+    docs = spark.createDataFrame([("a", "ddr", "REMARKS\nIt ran. It fell.\n\nRig: pump"), ("b", "ddr", "Rig: pump\nPumps: rig"), ("c", "ddr", "REMARKS")], "doc_id string, doc_type string, text string")
+    found = PA.best_passages(docs, F.array(F.lit("pump"), F.lit("fell")))
+    assert {r.doc_id: r.quote for r in found.collect()} == {"a": "It fell.", "b": "Rig: pump", "c": "REMARKS"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    terms, kept = plan.index("array_distinct"), plan.index("= least#")
+    assert terms < kept and "array_distinct" not in plan[kept:]

@@ -94,11 +94,11 @@ def _counted(cut: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
     return terms, sizes
 
 
-def update(now: Transaction, rebuild: bool = False, split: Split = tokenize) -> str:
+def update(now: Transaction, rebuild: bool = False, split: Split = tokenize, dense: bool = True) -> str:
     """Bring the index up to ``chunks``; whether that ``added`` a segment, made one of all (``built``), or found ``nothing``.
 
     Chunks that are not those last indexed, by document and digest of texts, are new; documents of theirs and those that
-    are gone leave the index first.
+    are gone leave the index first. ``dense``: whether an index made anew gets vectors of chunks, which only dense search reads.
     """
     chunks = now.read("chunks").select("doc_id", "tenant", "chunk_id", "chunk")
     segment = (now.read("index_sizes").agg(F.max("segment")).first()[0] or 0) + 1 if now.has("index_sizes") else 1
@@ -141,7 +141,8 @@ def update(now: Transaction, rebuild: bool = False, split: Split = tokenize) ->
     if rebuild:
         if not now.share("index_chunks", "chunks", "doc_id", fresh.columns):
             now.write("index_chunks", fresh, "doc_id")
-        now.write("index_vectors", vectors, "doc_id")
+        if dense:
+            now.write("index_vectors", vectors, "doc_id")
         now.write("index_state", current, "doc_id")
         now.write("index_gone", now.spark.createDataFrame([], "doc_id string, since int"), "doc_id")
         return "built"
@@ -240,13 +241,14 @@ class StoredIndex:
         return chunks if documents is None else chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
 
 
-def of_chunks(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, split: Split = tokenize) -> StoredIndex:
-    """An index of ``chunks`` (``doc_id, tenant, chunk_id, chunk``) in the session's folder for intermediate tables."""
+def of_chunks(chunks: DataFrame, k1: float = 1.5, b: float = 0.75, split: Split = tokenize, dense: bool = True) -> StoredIndex:
+    """An index of ``chunks`` (``doc_id, tenant, chunk_id, chunk``) in the session's folder for intermediate tables; without
+    ``dense`` it has no vectors and serves searches by terms."""
     house = Warehouse(chunks.sparkSession, new_path(chunks.sparkSession, "index"))
 
     def change(now: Transaction) -> None:
         now.write("chunks", chunks.select("doc_id", "tenant", "chunk_id", "chunk"), "doc_id")
-        update(now, True, split)
+        update(now, True, split, dense)
 
     house.commit(change)
     return StoredIndex.of(house, k1, b)

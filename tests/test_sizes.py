@@ -199,3 +199,12 @@ def test_terms_are_made_of_passages_of_the_first_tier_alone(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     terms, kept = plan.index("array_distinct"), plan.index("= least#")
     assert terms < kept and "array_distinct" not in plan[kept:]
+
+
+def test_an_index_that_is_searched_by_terms_makes_no_vectors(spark, monkeypatch):
+    kept, of_chunks = [], SI.of_chunks
+    monkeypatch.setattr(SI, "of_chunks", lambda *a, **k: [kept.append(of_chunks(*a, **k)), kept[-1]][1])
+    found = {tuple(r) for r in RQ.stored_index_search(spark, SMALL).collect()}
+    assert found == set(oracle("stored_index_search", SMALL)) and "index_vectors" not in kept[0].now.tables
+    chunks = spark.createDataFrame([("a", "x", "a#0", "salt pump")], "doc_id string, tenant string, chunk_id string, chunk string")
+    assert of_chunks(chunks).vectors().count() == 1
